@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, toxicity
+from . import quality, topk, toxicity, warc
 from .common import table
 from .packing import packed
 from .token_counts import token_counts
@@ -18,6 +18,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model).selectExpr("doc_id", "held_out", "score", "predicted", "cast(size(passages) as int) as n_passages")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.searched(rows, rows.where("vec_id % 100 = 0"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
@@ -33,10 +42,15 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_warc": op3_warc,
+    "op4_topk": op4_topk,
     "op5_packing": op5_packing,
     "op6_token_counts": op6_token_counts,
     "op7_quality": op7_quality,
 }
 
 #: DuckDB's form of those queries that SQL can express over whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": warc.SQL,
+    "op4_topk": topk.SQL,
+}
