@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, topk, toxicity, warc
+from . import extraction, quality, topk, toxicity, warc
 from .common import table
 from .packing import packed
 from .token_counts import token_counts
@@ -40,6 +40,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.fitted(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extracted(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_warc": op3_warc,
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_token_counts": op6_token_counts,
     "op7_quality": op7_quality,
+    "op9_extraction": op9_extraction,
 }
 
 #: DuckDB's form of those queries that SQL can express over whole tables.
