@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import extraction, quality, topk, toxicity, warc
 from .common import table
+from .near_dedup import near_duplicates
 from .packing import packed
 from .token_counts import token_counts
 
@@ -18,6 +19,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model).selectExpr("doc_id", "held_out", "score", "predicted", "cast(size(passages) as int) as n_passages")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -46,6 +51,7 @@ def op9_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_near_dedup": op2_near_dedup,
     "op3_warc": op3_warc,
     "op4_topk": op4_topk,
     "op5_packing": op5_packing,
