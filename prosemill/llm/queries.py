@@ -10,6 +10,7 @@ from . import extraction, quality, topk, toxicity, warc
 from .common import table
 from .near_dedup import near_duplicates
 from .packing import packed
+from .substring_dedup import deduplicated
 from .token_counts import token_counts
 
 
@@ -49,6 +50,10 @@ def op9_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extracted(table(spark, sf_dir, "pages"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_quality": op7_quality,
     "op9_extraction": op9_extraction,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 #: DuckDB's form of those queries that SQL can express over whole tables.
