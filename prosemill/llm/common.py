@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,11 +49,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def texts(batch: pa.RecordBatch, column: int = 1) -> Iterator[str]:
-    """The strings of a column, nulls as empty ones, one Python object at a time."""
-    for x in batch.column(column):
-        yield x.as_py() or ""
+def among(rows: DataFrame, ids: DataFrame, id_col: str, kept: bool = True, most: int = 2_000_000) -> DataFrame:
+    """The rows whose id is among ids, or with kept=False the others; null ids are among none.
 
-
-def lists(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in columns.values()], names=list(columns))
+    Up to most ids are broadcast, which spares the rows a shuffle; beyond it both sides are shuffled.
+    """
+    ids = written(ids.select(F.col(ids.columns[0]).cast("long").alias("__id")).where("__id is not null").distinct(), "ids")
+    side = F.broadcast(ids) if ids.count() <= most else ids
+    return rows.join(side, F.col(f"`{id_col}`").cast("long") == side["__id"], "left_semi" if kept else "left_anti")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import extraction, quality, topk, toxicity, warc
 from .common import table
+from .decontamination import contaminated
 from .near_dedup import near_duplicates
 from .packing import packed
 from .substring_dedup import deduplicated
@@ -46,6 +47,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.fitted(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extracted(table(spark, sf_dir, "pages"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_token_counts": op6_token_counts,
     "op7_quality": op7_quality,
+    "op8_decontamination": op8_decontamination,
     "op9_extraction": op9_extraction,
     "op10_substring_dedup": op10_substring_dedup,
 }

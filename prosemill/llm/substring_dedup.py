@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import among, written
 
 LENGTH, GRAM = 50, 24
 #: Grams of a window; positions hashed at once; text of a batch of anchors; text for each bucket.
@@ -35,7 +35,7 @@ SPAN, CHUNK, BATCH, BUCKET_BYTES = LENGTH - GRAM + 1, 1 << 15, 4 << 20, 2 << 20
 #: Bytes of a shard: three ranks fit in one 63-bit key.
 SHARD_BITS = 21
 SHARD = (1 << SHARD_BITS) - 64
-#: Document ids that are broadcast to filter texts; beyond it texts and ids are joined by a shuffle.
+#: Documents with cuts whose ids are broadcast; beyond it texts and ids are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _B = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -359,12 +359,6 @@ def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*spans, strict=True)], names=["id", "first", "last"])
 
 
-def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows with one of ids (distinct): broadcast if they are few, else by a shuffle."""
-    few = ids.count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-
-
 def covered_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, first, last): spans of bytes of each document, not yet joined, that a smaller document's strings cover."""
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.encode(F.col(f"`{text_col}`").cast("string"), "UTF-8").alias("data")).where(f"id is not null and octet_length(data) >= {LENGTH}")
@@ -386,7 +380,7 @@ def covered_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([pa.array((mixed(ids) % np.uint64(buckets)).astype(np.int32)), b.column(0), b.column(1)], names=["group", "id", "data"])
 
     nothing = F.lit(None).cast("binary")
-    texts = among(source, met).mapInArrow(grouping, "group int, id long, data binary")
+    texts = among(source, met, "id").mapInArrow(grouping, "group int, id long, data binary")
     texts = texts.select("group", F.lit(1).alias("kind"), "id", nothing.alias("ids"), nothing.alias("keys"), nothing.alias("flags"), "data")
     asked = verdicts.select("group", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), "ids", "keys", "flags", nothing.alias("data"))
     both = asked.union(texts).repartition(F.col("group")).sortWithinPartitions("group", "kind")
