@@ -7,7 +7,10 @@
 3. A pair's signatures are compared batch by batch. It is pruned as soon as the posterior probability that it is
    similar enough, under a uniform prior, falls below a miss probability. Full sets of survivors decide.
 4. In a key that these links leave in several components, all classes outside the largest one meet all members: in
-   blocks of bounded size, within Python functions that return survivors only. Then 3 again.
+   blocks of bounded size, within Python functions that return survivors only. Then 3 again. One link joins two
+   components, so at first only each class's FIRST most promising survivors in each other component are verified. For
+   what that leaves apart all survivors are, dealt to cells of at most about CELL classes a side, which hold each text
+   once and return links only.
 
 What is missed: a pair at the threshold that shares no band, (1 - t^ROWS)^BANDS, and MISS by the pruning.
 """
@@ -32,6 +35,10 @@ HASHES = BANDS * ROWS
 BATCH, MISS = 32, 1e-6
 #: Classes of a block, and members that meet one leader in a task.
 BLOCK = 2048
+#: Survivors of a class in another component that are verified before all of them are.
+FIRST = 4
+#: Classes of one side of a cell in which pairs are verified together.
+CELL = 256
 KNOWN_WORDS = 300_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _A, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -184,29 +191,45 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFr
     return rows.mapInArrow(run, "a long, b long")
 
 
-def met_in_blocks(keys: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a key and survive, from (key, id, component) rows.
+def met_in_blocks(keys: DataFrame, classes: DataFrame, percent: int, first: int | None = None) -> DataFrame:
+    """Pairs (a, b) of different components that share a key and survive, from (key, id, component) rows; with first,
+    of each class outside and each other component only so many of most equal signatures.
 
     In a key of several components all classes outside the most frequent one meet all members. Both sides are dealt to
     blocks of at most about BLOCK classes, and a block meets a block in one task.
     """
     sizes = keys.groupBy("key", "component").agg(F.count("*").alias("n"))
     most = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("members"), F.count("*").alias("parts"))
-    most = most.where("parts > 1 and members > 2").select("key", F.col("most.component").alias("main"), F.ceil((F.col("members") - F.col("most.n")) / BLOCK).cast("int").alias("n_out"), F.ceil(F.col("members") / BLOCK).cast("int").alias("n_all"))
-    rows = keys.join(most, "key").withColumn("h", F.xxhash64("id"))
-    out = rows.where("component <> main").select("key", F.pmod("h", "n_out").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"), F.lit(0).alias("role"), "id", "component")
-    members = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("i"), F.pmod("h", "n_all").cast("int").alias("j"), F.lit(1).alias("role"), "id", "component")
+    most = most.where("parts > 1 and members > 2").select("key", "members", F.col("most.component").alias("main"), F.ceil((F.col("members") - F.col("most.n")) / BLOCK).cast("int").alias("n_out"), F.ceil(F.col("members") / BLOCK).cast("int").alias("n_all"))
+    # keys of one main component share its cells
+    sides = most.groupBy("main").agg(F.ceil(F.max("members") / CELL).cast("int").alias("sides"))
+    rows = keys.join(most.join(sides, "main"), "key").withColumn("h", F.xxhash64("id"))
+    out = rows.where("component <> main").select("key", F.pmod("h", "n_out").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"), F.lit(0).alias("role"), "id", "component", "main", "sides")
+    members = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("i"), F.pmod("h", "n_all").cast("int").alias("j"), F.lit(1).alias("role"), "id", "component", "main", "sides")
     at = ["key", "i", "j"]
-    dealt = out.unionByName(members).join(classes.select("id", "n", "signature"), "id").select(*at, "role", "id", "component", "n", "signature").repartition(*at).sortWithinPartitions(*at, "role")
+    dealt = out.unionByName(members).join(classes.select("id", "n", "signature"), "id").select(*at, "role", "id", "component", "n", "main", "sides", "signature").repartition(*at).sortWithinPartitions(*at, "role")
+
+    def out(cell: tuple[int, int], found: dict[tuple[int, int], list[tuple[int, int]]]) -> pa.RecordBatch:
+        both = np.array(sorted({(min(x, y), max(x, y)) for (x, _), others in found.items() for _, y in others}), np.int64).reshape(-1, 2)
+        if first is not None:
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+        main, sides = cell
+        side = ((both.astype(np.uint64) * _A) >> np.uint64(40)).astype(np.int64) % sides
+        side.sort(axis=1)  # a pair's order in a cell doesn't matter
+        place = side[:, 0] * sides + side[:, 1]
+        rows = [(main, int(p) // sides, int(p) % sides, both[place == p].tobytes()) for p in np.unique(place)]
+        columns = zip(*rows, strict=True) if rows else ((),) * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["main", "i", "j", "pairs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, head, seen = None, [], None
+        block, head, seen, cell = None, [], None, (0, 1)
+        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for b in batches:
-            found: set[tuple[int, int]] = set()
-            columns = [b.column(i).to_pylist() for i in range(7)]
-            for *cell, role, node, component, n, signature in zip(*columns, b.column(7).to_pylist(), strict=True):
-                if cell != block:
-                    block, head, seen = cell, [], None
+            columns = [b.column(i).to_pylist() for i in range(9)]
+            for *at_block, role, node, component, n, main, sides, signature in zip(*columns, b.column(9).to_pylist(), strict=True):
+                if at_block != block:
+                    yield out(cell, found)
+                    block, head, seen, found, cell = at_block, [], None, {}, (main, sides)
                 mine = np.frombuffer(signature, "<u2")
                 if role == 0:
                     head.append((node, component, n, mine))
@@ -215,14 +238,73 @@ def met_in_blocks(keys: DataFrame, classes: DataFrame, percent: int) -> DataFram
                     seen = tuple(np.array(x) for x in zip(*head, strict=True))
                 others, comps, sizes, signatures = seen
                 fit = np.flatnonzero((comps != component) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
-                for i in fit[survivors(signatures[fit], np.broadcast_to(mine, (len(fit), HASHES)), percent / 100)] if len(fit) else ():
-                    found.add((min(node, int(others[i])), max(node, int(others[i]))))
-            a, c = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
-
+                if len(fit):
+                    fit = fit[survivors(signatures[fit], np.broadcast_to(mine, (len(fit), HASHES)), percent / 100)]
+                for i, equal in zip(fit.tolist(), (signatures[fit] == mine).sum(axis=1).tolist(), strict=True):
+                    best = found.setdefault((int(others[i]), component), [])
+                    best.append((equal, node))
+                    if first is not None and len(best) > 4 * first:
+                        best.sort(reverse=True)
+                        del best[first:]
+            if first is None:
+                yield out(cell, found)
+                found = {}
+            for best in found.values():
+                best.sort(reverse=True)
+                del best[first:]
+        yield out(cell, found)
+
+    if first is None:
+        return dealt.mapInArrow(run, "main long, i long, j long, pairs binary")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def verified_in_cells(packed: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+    """The links (a, b) among packed pairs, from (main, i, j, pairs) rows. A cell holds each of its texts once."""
+    at = ["main", "i", "j"]
+
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = [np.unique(np.frombuffer(x, np.int64)) for x in b.column(3).to_pylist()]
+            repeat = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(repeat)) for i in range(3)), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int64))], names=[*at, "id"])
+
+    asked = packed.mapInArrow(nodes, "main long, i long, j long, id long").distinct()
+    held = asked.join(texts, "id").select(*at, F.lit(0).alias("role"), "id", "text", F.lit(None).cast("binary").alias("pairs"))
+    rows = held.unionByName(packed.select(*at, F.lit(1).alias("role"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), "pairs"))
+    rows = rows.select(*at, "role", "id", "pairs", "text").repartition(*at).sortWithinPartitions(*at, "role")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, cell, sets, done, ready = Shingler(k), None, {}, set(), None
+        for b in batches:
+            found: list[tuple[int, int]] = []
+            columns = [b.column(i).to_pylist() for i in range(6)]
+            for *at_cell, role, node, pairs, text in zip(*columns, b.column(6), strict=True):
+                if at_cell != cell:
+                    cell, sets, done, ready = at_cell, {}, set(), None
+                if role == 0:
+                    sets[node] = shingler.set(text.as_py() or "")
+                    continue
+                if ready is None:  # shingles as places in the cell's own list
+                    all_sets = np.unique(np.concatenate(list(sets.values())))
+                    ready = {x: np.searchsorted(all_sets, y) for x, y in sets.items()}
+                    mark, marked = np.zeros(len(all_sets), bool), None
+                for x, y in np.frombuffer(pairs, np.int64).reshape(-1, 2).tolist():
+                    if (x, y) in done:
+                        continue
+                    done.add((x, y))
+                    if marked != x:
+                        mark[:] = False
+                        mark[ready[x]] = True
+                        marked = x
+                    both = int(np.count_nonzero(mark[ready[y]]))
+                    if 100 * both >= percent * (len(ready[x]) + len(ready[y]) - both):
+                        found.append((x, y))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs: the id, n_shingles, component_id (the smallest id that links reach) and kept (it is that one).
 
@@ -248,10 +330,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = source.where("id is not null").join(classes.select("id").distinct(), "id", "left_semi")
     links = written(verified(pruned(pairs, classes, percent), texts, percent, k), "links")
     found = components(links)
-    member = keys.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    more = written(met_in_blocks(member, classes, percent), "survivors")
-    links = links.unionByName(verified(more, texts, percent, k))
-    found = components(links)
+    for first in (FIRST, None):
+        member = keys.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        more = written(met_in_blocks(member, classes, percent, first), "survivors")
+        check = verified if first is not None else verified_in_cells
+        links = written(links.unionByName(check(more, texts, percent, k)), "links")
+        found = components(links)
     named_class = classes.select("digest", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     result = rows.select("id", "n", "digest").join(named_class, "digest", "left")
     component = F.coalesce("component", "id")
