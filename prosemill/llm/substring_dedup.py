@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, written
+from .common import written
 
 LENGTH, GRAM = 50, 24
-#: Grams of a window; positions hashed at once; text of a batch of anchors; text for each bucket.
-SPAN, CHUNK, BATCH, BUCKET_BYTES = LENGTH - GRAM + 1, 1 << 15, 4 << 20, 2 << 20
+#: Grams of a window; positions hashed at once; bytes of a batch of anchors; text for each bucket and each group.
+SPAN, CHUNK, BATCH, BUCKET_BYTES, GROUP_BYTES = LENGTH - GRAM + 1, 1 << 15, 8 << 20, 8 << 20, 32 << 20
 #: Bytes of a shard: three ranks fit in one 63-bit key.
 SHARD_BITS = 21
 SHARD = (1 << SHARD_BITS) - 64
@@ -363,24 +363,17 @@ def covered_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, first, last): spans of bytes of each document, not yet joined, that a smaller document's strings cover."""
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.encode(F.col(f"`{text_col}`").cast("string"), "UTF-8").alias("data")).where(f"id is not null and octet_length(data) >= {LENGTH}")
     total = source.agg(F.coalesce(F.sum(F.octet_length("data").cast("long")), F.lit(0)).alias("n")).first().n
-    buckets = max(64, total // BUCKET_BYTES)
+    buckets, groups = max(64, total // BUCKET_BYTES), max(64, total // GROUP_BYTES)
     offers = source.mapInArrow(offered(buckets), "bucket int, ids binary, keys binary").repartition(F.col("bucket")).sortWithinPartitions("bucket")
-    verdicts = written(offers.mapInArrow(judged(buckets), "group int, ids binary, keys binary, flags binary"), "verdicts")
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = np.unique(np.concatenate([unplaned(x) for x in b.column(0).to_pylist()])) if b.num_rows else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64())], names=["id"])
-
-    met = verdicts.select("ids").mapInArrow(named, "id long").distinct()
+    verdicts = written(offers.mapInArrow(judged(groups), "group int, ids binary, keys binary, flags binary"), "verdicts")
 
     def grouping(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy().astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array((mixed(ids) % np.uint64(buckets)).astype(np.int32)), b.column(0), b.column(1)], names=["group", "id", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array((mixed(ids) % np.uint64(groups)).astype(np.int32)), b.column(0), b.column(1)], names=["group", "id", "data"])
 
     nothing = F.lit(None).cast("binary")
-    texts = among(source, met, "id").mapInArrow(grouping, "group int, id long, data binary")
+    texts = source.mapInArrow(grouping, "group int, id long, data binary")
     texts = texts.select("group", F.lit(1).alias("kind"), "id", nothing.alias("ids"), nothing.alias("keys"), nothing.alias("flags"), "data")
     asked = verdicts.select("group", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), "ids", "keys", "flags", nothing.alias("data"))
     both = asked.union(texts).repartition(F.col("group")).sortWithinPartitions("group", "kind")
