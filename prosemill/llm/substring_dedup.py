@@ -205,12 +205,12 @@ def opened(buckets: int):
         out: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["bucket", "id", "first", "last", "data"])
+            types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["bucket", "id", "mark", "first", "last", "data"])
 
         for b in batches:
-            columns = [b.column(i).to_pylist() for i in (0, 1, 2, 4, 5)]
-            for g, kind, doc, keys, flags, ids, x in zip(*columns, b.column(3).to_pylist(), b.column(6), strict=True):
+            columns = [b.column(i).to_pylist() for i in range(7)]
+            for g, kind, doc, mark, ids, keys, flags, x in zip(*columns, b.column(7), strict=True):
                 if g != group:
                     group, verdicts, ready = g, [], None
                 if kind == 0:
@@ -232,10 +232,10 @@ def opened(buckets: int):
                 met = ready[1][at] == key
                 whole = met & ~ready[2][at]
                 for s, e in zip(*(y.tolist() for y in joined(first[whole], last[whole] + LENGTH)), strict=True):
-                    out.append((None, doc, s, e, None))
+                    out.append((None, doc, mark, s, e, None))
                 for k in np.flatnonzero(met & ready[2][at]).tolist():
                     s, e = int(first[k]), int(last[k]) + LENGTH
-                    out.append((int(bucket_of(gram[k : k + 1], buckets)[0]), doc, s, e, text[s:e].tobytes()))
+                    out.append((int(bucket_of(gram[k : k + 1], buckets)[0]), doc, mark, s, e, text[s:e].tobytes()))
                 if len(out) >= 20_000:
                     yield flush()
                     out = []
@@ -299,7 +299,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, cap: int = LENGTH) -> n
 class Shard:
     """Sorted distinct windows of one shard, with the smallest document of each."""
 
-    def __init__(self, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, data: bytes):
+    def __init__(self, ids: np.ndarray, marks: np.ndarray, starts: np.ndarray, lengths: np.ndarray, data: bytes):
         text = np.frombuffer(data, np.uint8)
         order = suffix_array(text)
         owner = np.repeat(np.arange(len(ids)), lengths)
@@ -311,7 +311,7 @@ class Shard:
         at = order[window]
         new = np.concatenate([[True], run[1:] != run[:-1]])
         self.run, self.owner, self.place = np.cumsum(new) - 1, owner[at], place[at]
-        self.ids, self.starts = ids, starts
+        self.ids, self.marks, self.starts = ids, marks, starts
         heads = np.flatnonzero(new)
         self.least = np.minimum.reduceat(ids[self.owner], heads)
         padded = np.lib.stride_tricks.sliding_window_view(text, LENGTH)
@@ -323,8 +323,8 @@ class Shard:
         same = other.windows[at] == self.windows
         self.least = np.where(same, np.minimum(self.least, other.least[at]), self.least)
 
-    def covered(self) -> Iterator[tuple[int, int, int]]:
-        """(document, start, end) of joined covered spans."""
+    def covered(self) -> Iterator[tuple[int, int, int, int]]:
+        """(document, mark, start, end) of joined covered spans."""
         hit = self.least[self.run] < self.ids[self.owner]
         owner, place = self.owner[hit], self.place[hit]
         order = np.lexsort((place, owner))
@@ -335,18 +335,18 @@ class Shard:
         tails = np.concatenate([heads[1:], [len(owner)]]) - 1 if len(heads) else heads
         for h, t in zip(heads.tolist(), tails.tolist(), strict=True):
             s = int(self.starts[owner[h]])
-            yield int(self.ids[owner[h]]), s + int(place[h]), s + int(place[t]) + LENGTH
+            yield int(self.ids[owner[h]]), int(self.marks[owner[h]]), s + int(place[h]), s + int(place[t]) + LENGTH
 
 
 def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Covered spans (id, first, last) from the bytes of undecided segments, by bucket."""
-    for _, (ids, firsts, data) in grouped(batches, 3):
+    """Covered spans (id, mark, first, last) from the bytes of undecided segments, by bucket."""
+    for _, (ids, marks, firsts, data) in grouped(batches, 4):
         shards, start, size = [], 0, 0
         for k in range(len(data) + 1):
             if k == len(data) or size + len(data[k]) > SHARD:
                 part = slice(start, k)
                 lengths = np.fromiter(map(len, data[part]), np.int64, k - start)
-                shards.append(Shard(np.array(ids[part], np.int64), np.array(firsts[part], np.int64), lengths, b"".join(data[part])))
+                shards.append(Shard(np.array(ids[part], np.int64), np.array(marks[part], np.int64), np.array(firsts[part], np.int64), lengths, b"".join(data[part])))
                 start, size = k, 0
             if k < len(data):
                 size += len(data[k])
@@ -356,11 +356,14 @@ def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     a.merge(b)
         spans = [span for shard in shards for span in shard.covered()]
         if spans:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*spans, strict=True)], names=["id", "first", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*spans, strict=True)], names=["id", "mark", "first", "last"])
 
 
 def covered_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, first, last): spans of bytes of each document, not yet joined, that a smaller document's strings cover."""
+    """(id, mark, first, last): spans of bytes of each document, not yet joined, that a smaller document's strings cover.
+
+    mark is a hash of the text: rows that repeat an id with other texts keep their own spans.
+    """
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.encode(F.col(f"`{text_col}`").cast("string"), "UTF-8").alias("data")).where(f"id is not null and octet_length(data) >= {LENGTH}")
     total = source.agg(F.coalesce(F.sum(F.octet_length("data").cast("long")), F.lit(0)).alias("n")).first().n
     buckets, groups = max(64, total // BUCKET_BYTES), max(64, total // GROUP_BYTES)
@@ -370,17 +373,17 @@ def covered_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def grouping(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy().astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array((mixed(ids) % np.uint64(groups)).astype(np.int32)), b.column(0), b.column(1)], names=["group", "id", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array((mixed(ids) % np.uint64(groups)).astype(np.int32)), *b.columns], names=["group", "id", "data", "mark"])
 
     nothing = F.lit(None).cast("binary")
-    texts = source.mapInArrow(grouping, "group int, id long, data binary")
-    texts = texts.select("group", F.lit(1).alias("kind"), "id", nothing.alias("ids"), nothing.alias("keys"), nothing.alias("flags"), "data")
-    asked = verdicts.select("group", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), "ids", "keys", "flags", nothing.alias("data"))
+    texts = source.withColumn("mark", F.xxhash64("data")).mapInArrow(grouping, "group int, id long, data binary, mark long")
+    texts = texts.select("group", F.lit(1).alias("kind"), "id", "mark", nothing.alias("ids"), nothing.alias("keys"), nothing.alias("flags"), "data")
+    asked = verdicts.select("group", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("mark"), "ids", "keys", "flags", nothing.alias("data"))
     both = asked.union(texts).repartition(F.col("group")).sortWithinPartitions("group", "kind")
-    opened_rows = both.select("group", "kind", "id", "ids", "keys", "flags", "data").mapInArrow(opened(buckets), "bucket int, id long, first long, last long, data binary")
+    opened_rows = both.mapInArrow(opened(buckets), "bucket int, id long, mark long, first long, last long, data binary")
     found = written(opened_rows, "segments")
-    undecided = found.where("bucket is not null").select("bucket", "id", "first", "data").repartition(F.col("bucket")).sortWithinPartitions("bucket")
-    return found.where("bucket is null").select("id", "first", "last").unionByName(undecided.mapInArrow(resolved, "id long, first long, last long"))
+    undecided = found.where("bucket is not null").select("bucket", "id", "mark", "first", "data").repartition(F.col("bucket")).sortWithinPartitions("bucket")
+    return found.where("bucket is null").select("id", "mark", "first", "last").unionByName(undecided.mapInArrow(resolved, "id long, mark long, first long, last long"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -392,15 +395,17 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table gives an empty result. kept_text drops what no longer is UTF-8 where a cut parts a character. Columns of docs
     named as those made here are replaced with keep_text, and other columns aren't read without it.
     """
-    spans = written(covered_spans(docs, id_col, text_col).groupBy("id").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans")), "spans")
+    spans = written(covered_spans(docs, id_col, text_col).groupBy("id", "mark").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans")), "spans")
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     others = [c for c in docs.columns if c not in made] if keep_text else [id_col]
-    rows = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{id_col}`").cast("long").alias("__id"), F.encode(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), "UTF-8").alias("__data"))
-    ids = spans.select(F.col("id").alias("__id"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{id_col}`").cast("long").alias("__id"), F.encode(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), "UTF-8").alias("__data")).withColumn("__mark", F.xxhash64("__data"))
+    at = ["__id", "__mark"]
+    spans = spans.toDF(*at, "spans")
+    ids = spans.select(at)
     few = ids.count() <= BROADCAST_IDS
     ids = F.broadcast(ids) if few else ids
-    untouched = rows.join(ids, "__id", "left_anti").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
-    touched = rows.join(ids, "__id", "left_semi").join(spans.withColumnRenamed("id", "__id"), "__id").select(untouched.columns)
+    untouched = rows.join(ids, at, "left_anti").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    touched = rows.join(ids, at, "left_semi").join(spans, at).select(untouched.columns)
     both = untouched.unionByName(touched).select(*[F.col(f"`{c}`") for c in others], "__data", "spans")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema.fields[: len(others)])
 
