@@ -340,3 +340,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     result = rows.select("id", "n", "digest").join(named_class, "digest", "left")
     component = F.coalesce("component", "id")
     return result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+
+
+#: near_duplicates(k=2) over whole tables in DuckDB.
+SQL = r"""
+with recursive w as (
+    select row_number() over () as r, doc_id,
+           list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+    from documents
+), s as (
+    select r, doc_id, list_sort(case when len(w) = 0 then [] when len(w) = 1 then [w[1]]
+           else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end) as s
+    from w
+), classes as (
+    select min(doc_id) as id, s, len(s) as n from s where len(s) > 0 group by s
+), grams as (
+    select id, n, unnest(s) as gram from classes
+), pairs as (
+    select a.id as a, b.id as b from grams a join grams b on a.gram = b.gram and a.id < b.id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+    group by a.id, b.id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), edges as (
+    select a, b from pairs union select b, a from pairs union select id, id from classes
+), reach as (
+    select a as node, b as other from edges
+    union
+    select reach.node, edges.b from reach join edges on reach.other = edges.a
+), found as (
+    select node, min(other) as component from reach group by node
+)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, coalesce(f.component, s.doc_id) as component_id,
+       coalesce(s.doc_id = coalesce(f.component, s.doc_id), false) as kept
+from s left join classes c on len(s.s) > 0 and s.s = c.s left join found f on f.node = c.id
+"""

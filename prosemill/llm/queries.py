@@ -6,10 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extraction, quality, topk, toxicity, warc
+from . import extraction, near_dedup, quality, topk, toxicity, warc
 from .common import table
 from .decontamination import contaminated
-from .near_dedup import near_duplicates
 from .packing import packed
 from .substring_dedup import deduplicated
 from .token_counts import token_counts
@@ -22,7 +21,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), k=2)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB's form of those queries that SQL can express over whole tables.
 ORACLE_SQL: dict[str, str] = {
+    "op2_near_dedup": near_dedup.SQL,
     "op3_warc": warc.SQL,
     "op4_topk": topk.SQL,
 }
