@@ -1,4 +1,4 @@
-"""Command line: lint (default), fix, rules, init. Exit 0 clean, 1 blocking findings, 2 for what can't be loaded."""
+"""Command line: lint, fix, rules, plugins, init. Exit 0 clean, 1 blocking findings, 2 for what can't be loaded."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from . import config as configs
 from .plans import engine, render
-from .plugins import loaded
+from .plugins import BUILTIN, loaded
 from .rules.loader import LoadErrors, load, starter
 from .sources import from_files
 
@@ -30,6 +30,7 @@ def main(argv: list[str] | None = None) -> int:
     fix.add_argument("--out", help="folder for the rewritten table; without it nothing is written")
     rules = commands.add_parser("rules")
     rules.add_argument("--json", action="store_true")
+    commands.add_parser("plugins")
     commands.add_parser("init")
     args = top.parse_args(argv)
     if args.command == "init":
@@ -38,6 +39,9 @@ def main(argv: list[str] | None = None) -> int:
             return 2
         Path(configs.NAME).write_text(configs.TEMPLATE, "utf-8")
         return 0
+    if args.command == "plugins":
+        print("\n".join(f"[plugin.{p.id}]  # tier {p.tier}, {p.category}; " + ", ".join(f"{k} = {v}" for k, v in p.defaults.items()) for p in BUILTIN.values()))
+        return 0
     try:
         config = configs.discover(explicit=args.config)
         packs = [starter()] if "starter" in config.builtin else []
