@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Pages that a host needs for its text runs to be judged, and the share of them that makes a run the template's.
-LEAST_PAGES, TEMPLATE_SHARE = 5, 0.6
+LEAST_PAGES, TEMPLATE_SHARE = 10, 0.9
 #: Share of pages with a role, and of the text under it, that make it a region.
 ROLE_SHARE, REGION_SHARE = 0.5, 0.6
 #: Largest size of all templates that is broadcast; beyond it pages and templates are joined by a shuffle.
@@ -241,15 +241,9 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     kind = joined.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[tuple, frozenset[int]] = {}
         for b in batches:
-            out = []
-            for source, region, texts in zip(b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                key = (region, len(texts or ()), *(texts or ())[:4])
-                if key not in sets:
-                    sets = sets if len(sets) < 10_000 else {}
-                    sets[key] = frozenset(texts or ())
-                out.append(extract(source.as_py() or "", region, sets[key]))
+            rows = zip(b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)
+            out = [extract(source.as_py() or "", region, frozenset(texts or ())) for source, region, texts in rows]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     return joined.mapInArrow(run, f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long")
