@@ -400,13 +400,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     others = [c for c in docs.columns if c not in made] if keep_text else [id_col]
     rows = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{id_col}`").cast("long").alias("__id"), F.encode(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), "UTF-8").alias("__data")).withColumn("__mark", F.xxhash64("__data"))
     at = ["__id", "__mark"]
-    spans = spans.toDF(*at, "spans")
+    spans = spans.toDF(*at, "__spans")
     ids = spans.select(at)
     few = ids.count() <= BROADCAST_IDS
     ids = F.broadcast(ids) if few else ids
-    untouched = rows.join(ids, at, "left_anti").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    untouched = rows.join(ids, at, "left_anti").withColumn("__spans", F.lit(None).cast(spans.schema["__spans"].dataType))
     touched = rows.join(ids, at, "left_semi").join(spans, at).select(untouched.columns)
-    both = untouched.unionByName(touched).select(*[F.col(f"`{c}`") for c in others], "__data", "spans")
+    both = untouched.unionByName(touched).select(*[F.col(f"`{c}`") for c in others], "__data", "__spans")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema.fields[: len(others)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from prosemill.llm import near_dedup as near
 from prosemill.llm import substring_dedup as sub
@@ -132,7 +133,7 @@ def test_substrings(spark, seed):
 
 
 def test_substrings_keep_text(spark):
-    docs = spark.createDataFrame([(1, "k" + "a" * 60, "x"), (2, "a" * 60 + " rest é", "y"), (3, None, "z")], "doc_id long, text string, kept_text string")
+    docs = spark.createDataFrame([(1, "k" + "a" * 60, "x"), (2, "a" * 60 + " rest é", "y"), (3, None, "z")], "doc_id long, text string, kept_text string").withColumn("spans", F.lit(1))
     got = {r.doc_id: r for r in sub.deduplicated(docs, keep_text=True).collect()}
     assert got[2].kept_text == " rest é" and got[2].n_removed == 60 and got[3].text is None and got[3].n_bytes == 0
     assert sub.deduplicated(docs.limit(0)).count() == 0
