@@ -3,6 +3,7 @@
 1. Document frequencies of the benchmark's words over all documents give inverse frequencies.
 2. The benchmark's TF-IDF passages are decomposed by a distributed randomised SVD: tasks return A'(A Omega) for a random
    Omega, whose sum spans the range; after orthogonalising, tasks return Q'A'(A Q), and its eigenvectors give the basis.
+   A basis serves as many passages as it has vectors, so that it spans them and cosines in it are those of TF-IDF.
 3. Every document is cut into overlapping windows of words. A window's latent vector, the sum of its words' rows of the
    basis, meets the items' by cosine. A window whose words can't reach the cosine by any item is skipped first.
 4. Around the windows that meet an item the longest common subsequence of words with the item decides: alone if it
@@ -19,7 +20,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of a window and between two windows' beginnings; singular vectors kept; cosine that makes a candidate.
@@ -45,15 +46,24 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 @dataclass
-class Index:
-    """vocabulary: word -> row; rows: the basis's rows times inverse frequency; latent: the items' unit vectors."""
+class Block:
+    """At most RANK passages and their basis. place: word -> row, 0 if no passage has the word; rows: the basis's rows
+    times inverse frequency; latent: the passages' unit vectors; most: the most that each word gives any; owner: items."""
 
-    vocabulary: dict[bytes, int]
-    idf: np.ndarray
-    unknown: float
+    place: np.ndarray
     rows: np.ndarray
     latent: np.ndarray
     most: np.ndarray
+    owner: np.ndarray
+
+
+@dataclass
+class Index:
+    """vocabulary: word -> number; idf: inverse frequencies, the last that of all other words."""
+
+    vocabulary: dict[bytes, int]
+    idf: np.ndarray
+    blocks: list[Block]
     items: list[tuple[int, list[bytes]]]
 
 
@@ -84,7 +94,7 @@ def passages(words: list[list[bytes]], vocabulary: dict[bytes, int], idf: np.nda
 
 
 def basis(items: DataFrame, vocabulary: dict[bytes, int], idf: np.ndarray, rank: int) -> np.ndarray:
-    """The right singular vectors (vocabulary x rank) of the items' TF-IDF rows."""
+    """The right singular vectors (vocabulary x rank) of the TF-IDF rows of passages (words joined by spaces)."""
 
     def summed(right: np.ndarray, left: np.ndarray | None) -> np.ndarray:
         """The sum over tasks of A'(A right), or of left'A'(A right)."""
@@ -93,7 +103,7 @@ def basis(items: DataFrame, vocabulary: dict[bytes, int], idf: np.ndarray, rank:
             total = None
             for b in batches:
                 for at in range(0, b.num_rows, 256):
-                    a = passages([words_of(x) for x in b.column(0).slice(at, 256).to_pylist()], vocabulary, idf)
+                    a = passages([x.split() for x in b.column(0).slice(at, 256).to_pylist()], vocabulary, idf)
                     part = (a if left is None else a @ left).T @ (a @ right)
                     total = part if total is None else total + part
             if total is not None:
@@ -101,7 +111,7 @@ def basis(items: DataFrame, vocabulary: dict[bytes, int], idf: np.ndarray, rank:
 
         shape = (right.shape[0] if left is None else left.shape[1], right.shape[1])
         found = np.zeros(shape, np.float32)
-        for row in items.select("text").coalesce(16).mapInArrow(run, "part binary").toLocalIterator():
+        for row in items.coalesce(16).mapInArrow(run, "part binary").toLocalIterator():
             found += np.frombuffer(row.part, "<f4").reshape(shape)
         return found
 
@@ -112,18 +122,30 @@ def basis(items: DataFrame, vocabulary: dict[bytes, int], idf: np.ndarray, rank:
     return (q @ vectors[:, ::-1][:, :rank].astype(np.float32)).astype(np.float32)
 
 
+def block_of(spark: SparkSession, cut: list[tuple[int, list[bytes]]], vocabulary: dict[bytes, int], idf: np.ndarray) -> Block:
+    """cut: (item number, words) of at most RANK passages."""
+    own = {w: k for k, w in enumerate(sorted({w for _, words in cut for w in words}))}
+    at = np.fromiter((vocabulary[w] for w in own), np.int64, len(own))
+    weights = idf[at]
+    vectors = basis(spark.createDataFrame([(bytearray(b" ".join(words)),) for _, words in cut], "words binary"), own, weights, min(RANK, len(cut)))
+    a = passages([words for _, words in cut], own, weights)
+    place, most = np.zeros(len(idf), np.int32), np.zeros(len(idf))
+    place[at] = np.arange(1, len(at) + 1)
+    most[at] = a.max(axis=0) * weights
+    rows = np.concatenate([np.zeros((1, vectors.shape[1])), vectors * weights[:, None]]).astype(np.float32)
+    return Block(place, rows, (a @ vectors).astype(np.float32), most, np.array([j for j, _ in cut]))
+
+
 def indexed(docs: DataFrame, items: DataFrame, text_col: str) -> Index:
     """items: (item_id, text), few enough for a task's memory."""
     held = [(r.item_id, words_of(r.text)) for r in items.orderBy("item_id", "text").collect()]
     held = [(i, w) for i, w in held if w]
     vocabulary = {w: k for k, w in enumerate(sorted({w for _, item in held for w in item}))}
     counts, n = frequencies(docs, vocabulary, text_col)
-    idf = np.log((n + 1) / (counts + 1)) + 0.05
-    vectors = basis(items, vocabulary, idf, min(RANK, len(held))) if held else np.zeros((0, 1), np.float32)
-    a = passages([w for _, w in held], vocabulary, idf)
-    latent = a @ vectors
-    most = a.max(axis=0) if held else np.zeros(0, np.float32)
-    return Index(vocabulary, idf, float(np.log(n + 1) + 0.05), (vectors * idf[:, None]).astype(np.float32), latent.astype(np.float32), most, held)
+    idf = np.log((n + 1) / (np.append(counts, 0) + 1)) + 0.05
+    cut = [(j, w) for j, (_, w) in enumerate(held)]
+    blocks = max(1, -(-len(cut) // RANK))
+    return Index(vocabulary, idf, [block_of(items.sparkSession, cut[k::blocks], vocabulary, idf) for k in range(blocks) if cut], held)
 
 
 def common(item: list[bytes], region: list[bytes]) -> int:
@@ -148,26 +170,32 @@ class Searcher:
             rare = sorted(set(item), key=lambda w: (-index.idf[index.vocabulary[w]], w))
             self.answers.append(frozenset(rare[: max(3, int(len(rare) * ANSWER_PART))]))
 
-    def candidates(self, words: list[bytes]) -> dict[int, list[tuple[int, float]]]:
-        """Item number -> (a window's first word, cosine) of the windows that meet it."""
-        x, n = self.index, len(words)
-        ids = np.fromiter(map(x.vocabulary.get, words, repeat(-1)), np.int64, n)
-        known = ids >= 0
-        idf = np.where(known, x.idf[ids], x.unknown)
+    def candidates(self, words: list[bytes]) -> dict[int, dict[int, float]]:
+        """Item number -> a window's first word -> cosine, of the windows that meet it."""
+        x, n, other = self.index, len(words), len(self.index.vocabulary)
         firsts = np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE)
+        # a window is two strides, the last filled up with words that no item has
+        ids = np.full((len(firsts) + 1) * STRIDE, other)
+        ids[:n] = np.fromiter(map(x.vocabulary.get, words, repeat(other)), np.int64, n)
         ends = np.minimum(firsts + WINDOW, n)
-        sums = np.concatenate([[0.0], np.cumsum(idf * idf)])
+        sums = np.concatenate([[0.0], np.cumsum(x.idf[ids] ** 2)])
         norms = np.sqrt(sums[ends] - sums[firsts]) + 1e-9
-        # no item gives a word more than its largest weight in any
-        reach = np.concatenate([[0.0], np.cumsum(np.where(known, x.most[ids] * idf, 0.0))])
-        fit = np.flatnonzero(reach[ends] - reach[firsts] >= COSINE * norms)
-        found: dict[int, list[tuple[int, float]]] = {}
-        for k in range(0, len(fit), 512):
-            part = fit[k : k + 512]
-            latent = np.stack([x.rows[i[i >= 0]].sum(axis=0) for i in (ids[a:b] for a, b in zip(firsts[part], ends[part], strict=True))])
-            cosines = latent @ x.latent.T / norms[part][:, None]
-            for i, j in zip(*np.nonzero(cosines >= COSINE), strict=True):
-                found.setdefault(int(j), []).append((int(firsts[part[i]]), float(cosines[i, j])))
+        found: dict[int, dict[int, float]] = {}
+        for block in x.blocks:
+            # no item gives a word more than its largest weight in any
+            reach = np.concatenate([[0.0], np.cumsum(block.most[ids])])
+            fit = np.flatnonzero(reach[ends] - reach[firsts] >= COSINE * norms)
+            place = block.place[ids].reshape(-1, STRIDE)
+            for k in range(0, len(fit), 512):
+                part = fit[k : k + 512]
+                strides = np.union1d(part, part + 1)
+                at = np.searchsorted(strides, part)
+                latent = block.rows[place[strides]].sum(axis=1)
+                dots = (latent[at] + latent[at + 1]) @ block.latent.T
+                cosines = dots / norms[part][:, None]
+                for i, j in zip(*np.nonzero(cosines >= COSINE), strict=True):
+                    windows, first = found.setdefault(int(block.owner[j]), {}), int(firsts[part[i]])
+                    windows[first] = max(windows.get(first, 0.0), float(cosines[i, j]))
         return found
 
     def hits(self, text: str | None) -> list[tuple[int, float, float, float, int]]:
@@ -178,13 +206,13 @@ class Searcher:
         best: dict[int, tuple[int, float, float, float, int]] = {}
         for j, windows in self.candidates(words).items():
             item_id, item = self.index.items[j]
-            met_to = -1
-            for first, cosine in windows:
-                if first + WINDOW <= met_to:
+            met_to, further = -1, max(STRIDE, len(item) // 4)
+            for first, cosine in sorted(windows.items()):
+                if first <= met_to:
                     continue
-                start = max(0, first - len(item))
-                met_to = first + WINDOW + len(item)
-                region = words[start:met_to]
+                # the region has room for the item around each window that is passed over for this one
+                start, met_to = max(0, first - len(item)), first + further
+                region = words[start : met_to + WINDOW + len(item)]
                 # what is in common counts distinct words and repeats of an item's words at most
                 if len(self.distinct[j].intersection(region)) + len(item) - len(self.distinct[j]) < PARAPHRASED * len(item):
                     continue

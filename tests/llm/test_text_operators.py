@@ -81,6 +81,20 @@ def test_contamination(spark):
     assert dec.contaminated(df.limit(0), bench).count() == 0 and dec.contaminated(df, bench.limit(0)).count() == 0
 
 
+def copies_found(spark, items, docs):
+    """Of documents that hold the item of their number, those found with it."""
+    df, bench = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {r.doc_id for r in dec.contaminated(df, bench).collect() if r.doc_id == r.item_id}
+
+
+def test_more_items_than_vectors(spark):
+    rng = random.Random(5)
+    noise = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    items = [noise(rng.randint(15, 30)) for _ in range(1500)]
+    docs = [f"{noise(60)} {item} {noise(60)}" for item in items]
+    assert copies_found(spark, items, docs) == set(range(1500))
+
+
 def test_latent_search_recalls_brute_force(spark):
     docs, bench = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in dec.contaminated(docs, bench).collect()}
