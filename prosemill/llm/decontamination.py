@@ -1,7 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of the benchmark's words over all documents give inverse frequencies.
-2. The benchmark's TF-IDF passages are decomposed by a distributed randomised SVD: tasks return A'(A Omega) for a random
+2. Items are cut into passages of at most a window, each of which stands for its item, so that an item of any length
+   meets windows part by part. The passages' TF-IDF rows are decomposed by a distributed randomised SVD: tasks return A'(A Omega) for a random
    Omega, whose sum spans the range; after orthogonalising, tasks return Q'A'(A Q), and its eigenvectors give the basis.
    A basis serves as many passages as it has vectors, so that it spans them and cosines in it are those of TF-IDF.
 3. Every document is cut into overlapping windows of words. A window's latent vector, the sum of its words' rows of the
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 WINDOW, STRIDE, RANK, COSINE = 32, 16, 256, 0.25
 #: Share of an item's words that a common subsequence must cover, alone or with this share of its answer's words.
 COVERED, PARAPHRASED, ANSWERED = 0.7, 0.5, 0.8
-#: Part of an item's distinct words that makes its answer; items held by a task at once, more go in further passes.
+#: Part of an item's distinct words that makes its answer; passages held by a task at once, more go in further passes.
 ANSWER_PART, ITEMS = 0.25, 4096
 SEED = 11
 #: ASCII that parts words, as spaces, and punctuation beyond ASCII.
@@ -122,6 +123,22 @@ def basis(items: DataFrame, vocabulary: dict[bytes, int], idf: np.ndarray, rank:
     return (q @ vectors[:, ::-1][:, :rank].astype(np.float32)).astype(np.float32)
 
 
+def cut_up(words: list[bytes]) -> list[list[bytes]]:
+    """Passages of at most WINDOW words, as even as can be, that make up an item."""
+    n = -(-len(words) // WINDOW)
+    return [words[k * len(words) // n : (k + 1) * len(words) // n] for k in range(n)]
+
+
+def n_passages(items: DataFrame) -> int:
+    """The passages of all items' texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(cut_up(words_of(x))) for x in b.column(0).to_pylist())], pa.int64())], names=["n"])
+
+    return items.select("text").mapInArrow(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+
+
 def block_of(spark: SparkSession, cut: list[tuple[int, list[bytes]]], vocabulary: dict[bytes, int], idf: np.ndarray) -> Block:
     """cut: (item number, words) of at most RANK passages."""
     own = {w: k for k, w in enumerate(sorted({w for _, words in cut for w in words}))}
@@ -143,7 +160,7 @@ def indexed(docs: DataFrame, items: DataFrame, text_col: str) -> Index:
     vocabulary = {w: k for k, w in enumerate(sorted({w for _, item in held for w in item}))}
     counts, n = frequencies(docs, vocabulary, text_col)
     idf = np.log((n + 1) / (np.append(counts, 0) + 1)) + 0.05
-    cut = [(j, w) for j, (_, w) in enumerate(held)]
+    cut = [(j, part) for j, (_, w) in enumerate(held) for part in cut_up(w)]
     blocks = max(1, -(-len(cut) // RANK))
     return Index(vocabulary, idf, [block_of(items.sparkSession, cut[k::blocks], vocabulary, idf) for k in range(blocks) if cut], held)
 
@@ -229,10 +246,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Null or empty texts and items hold nothing and are in nothing; null ids are carried. Repeated rows of docs give
     their rows each; of items with one id the best counts. An empty table on either side gives an empty result. Other
-    columns aren't read. Benchmarks of over ITEMS items are searched in several passes of that many.
+    columns aren't read. Benchmarks of over ITEMS passages are searched in several passes of about that many.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    blocks = max(1, -(-items.count() // ITEMS))
+    blocks = max(1, -(-n_passages(items) // ITEMS))
     side = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = side.schema[0].dataType.simpleString()
     result = None

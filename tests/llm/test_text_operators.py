@@ -95,6 +95,14 @@ def test_more_items_than_vectors(spark):
     assert copies_found(spark, items, docs) == set(range(1500))
 
 
+def test_long_items(spark):
+    rng = random.Random(6)
+    noise = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    items = [noise(rng.choice([33, 700, 1500, 3000])) for _ in range(60)]
+    docs = [f"{noise(60)} {item} {noise(60)}" for item in items]
+    assert copies_found(spark, items, docs) == set(range(60))
+
+
 def test_latent_search_recalls_brute_force(spark):
     docs, bench = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in dec.contaminated(docs, bench).collect()}
