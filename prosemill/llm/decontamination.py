@@ -6,7 +6,9 @@
    Omega, whose sum spans the range; after orthogonalising, tasks return Q'A'(A Q), and its eigenvectors give the basis.
    A basis serves as many passages as it has vectors, so that it spans them and cosines in it are those of TF-IDF.
 3. Every document is cut into overlapping windows of words. A window's latent vector, the sum of its words' rows of the
-   basis, meets the items' by cosine. A window whose words can't reach the cosine by any item is skipped first.
+   basis, meets the passages' by cosine, or by the share of a passage's energy that it holds, which no words around a
+   copy lessen: of a copy one of two windows holds half at least. A window whose words can't reach either by any passage
+   is skipped first.
 4. Around the windows that meet an item the longest common subsequence of words with the item decides: alone if it
    covers most of the item, else with the item's rarest words, its answer, nearly all there: a paraphrase.
 """
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 
 #: Words of a window and between two windows' beginnings; singular vectors kept; cosine that makes a candidate.
 WINDOW, STRIDE, RANK, COSINE = 32, 16, 256, 0.25
+#: Share of a passage's energy that makes a candidate too; under half, so that copies always are.
+ENERGY = 0.45
 #: Share of an item's words that a common subsequence must cover, alone or with this share of its answer's words.
 COVERED, PARAPHRASED, ANSWERED = 0.7, 0.5, 0.8
 #: Part of an item's distinct words that makes its answer; passages held by a task at once, more go in further passes.
@@ -49,12 +53,15 @@ def words_of(text: str | None) -> list[bytes]:
 @dataclass
 class Block:
     """At most RANK passages and their basis. place: word -> row, 0 if no passage has the word; rows: the basis's rows
-    times inverse frequency; latent: the passages' unit vectors; most: the most that each word gives any; owner: items."""
+    times inverse frequency; latent: the passages' unit vectors; norms: their lengths before; most, most_energy: the most
+    that each word gives to any's cosine and share of energy; owner: items."""
 
     place: np.ndarray
     rows: np.ndarray
     latent: np.ndarray
+    norms: np.ndarray
     most: np.ndarray
+    most_energy: np.ndarray
     owner: np.ndarray
 
 
@@ -146,11 +153,13 @@ def block_of(spark: SparkSession, cut: list[tuple[int, list[bytes]]], vocabulary
     weights = idf[at]
     vectors = basis(spark.createDataFrame([(bytearray(b" ".join(words)),) for _, words in cut], "words binary"), own, weights, min(RANK, len(cut)))
     a = passages([words for _, words in cut], own, weights)
-    place, most = np.zeros(len(idf), np.int32), np.zeros(len(idf))
+    norms = np.array([np.sqrt(sum((n * idf[vocabulary[w]]) ** 2 for w, n in Counter(words).items())) for _, words in cut])
+    place, most, most_energy = np.zeros(len(idf), np.int32), np.zeros(len(idf)), np.zeros(len(idf))
     place[at] = np.arange(1, len(at) + 1)
     most[at] = a.max(axis=0) * weights
+    most_energy[at] = (a / norms[:, None]).max(axis=0) * weights
     rows = np.concatenate([np.zeros((1, vectors.shape[1])), vectors * weights[:, None]]).astype(np.float32)
-    return Block(place, rows, (a @ vectors).astype(np.float32), most, np.array([j for j, _ in cut]))
+    return Block(place, rows, (a @ vectors).astype(np.float32), norms, most, most_energy, np.array([j for j, _ in cut]))
 
 
 def indexed(docs: DataFrame, items: DataFrame, text_col: str) -> Index:
@@ -200,8 +209,8 @@ class Searcher:
         found: dict[int, dict[int, float]] = {}
         for block in x.blocks:
             # no item gives a word more than its largest weight in any
-            reach = np.concatenate([[0.0], np.cumsum(block.most[ids])])
-            fit = np.flatnonzero(reach[ends] - reach[firsts] >= COSINE * norms)
+            reach, energy = (np.concatenate([[0.0], np.cumsum(most[ids])]) for most in (block.most, block.most_energy))
+            fit = np.flatnonzero((reach[ends] - reach[firsts] >= COSINE * norms) | (energy[ends] - energy[firsts] >= ENERGY))
             place = block.place[ids].reshape(-1, STRIDE)
             for k in range(0, len(fit), 512):
                 part = fit[k : k + 512]
@@ -210,7 +219,7 @@ class Searcher:
                 latent = block.rows[place[strides]].sum(axis=1)
                 dots = (latent[at] + latent[at + 1]) @ block.latent.T
                 cosines = dots / norms[part][:, None]
-                for i, j in zip(*np.nonzero(cosines >= COSINE), strict=True):
+                for i, j in zip(*np.nonzero((cosines >= COSINE) | (dots >= ENERGY * block.norms)), strict=True):
                     windows, first = found.setdefault(int(block.owner[j]), {}), int(firsts[part[i]])
                     windows[first] = max(windows.get(first, 0.0), float(cosines[i, j]))
         return found

@@ -103,6 +103,15 @@ def test_long_items(spark):
     assert copies_found(spark, items, docs) == set(range(60))
 
 
+def test_short_items_in_foreign_words(spark):
+    rng = random.Random(7)
+    noise = lambda n, k: " ".join(f"{k}{rng.randrange(20_000)}" for _ in range(n))
+    common = [f"c{k}" for k in range(60)]
+    items = [" ".join(rng.choice(common) for _ in range(rng.randint(6, 14))) for _ in range(60)]
+    docs = [f"{noise(60, 'x')} {item} {noise(60, 'x')}" for item in items] + [f"{noise(100, 'x')} {' '.join(common)}" for _ in range(300)]
+    assert copies_found(spark, items, docs) == set(range(60))
+
+
 def test_latent_search_recalls_brute_force(spark):
     docs, bench = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in dec.contaminated(docs, bench).collect()}
