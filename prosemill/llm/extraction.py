@@ -1,14 +1,15 @@
-"""Main text of web pages by templates deduced from equivalence classes.
+"""Main text of web pages by occurrence counts over the pages of a host.
 
 Every element of a page has a role: its name, class words and id, under its parent's role. Over the pages of one host
-each role, and each run of text, has an occurrence vector, how often each page holds it. Tokens with equal vectors form
-an equivalence class. A vector isn't gathered: it is summed to a signature, the sum over pages of a hash of the page
-times the count, which adds up in any order, so that a host of any size costs one row a token and task.
-
-Classes whose roles stand once in the pages that hold them, in at least half of the host's pages, are valid: each is
-nested by its roles' paths in the class of the pages' roots. Together they are the host's template. The template role
-that holds the article's text is the region; runs of text that most pages share are template text. What remains in
-the region's slots, without subtrees that say that they are menus, forms, adverts and the like, is the page's text.
+each role, and each run of text, is counted: on how many pages it is, how often in all, how much text it holds. The
+counts add up in any order, so that a host of any size costs one row a token and task.
+
+Roles that stand once in the pages that hold them, in at least half of the host's pages, are the host's template. The
+template role that holds the article's text is the region; runs of text that most pages share are template text. What
+remains in the region, without subtrees that say that they are menus, forms, adverts and the like, is the page's text.
+
+Equivalence classes of tokens with equal occurrence vectors aren't formed: a class's order and gaps would say where
+slots are, not which of them hold an article, and what is kept or dropped is decided by the counts alone.
 """
 
 from __future__ import annotations
@@ -177,18 +178,16 @@ def tokens(source: str) -> dict[int, tuple[int, int, bool, bool, int]]:
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (host, token) for each distinct page, with the page's share of the token's signature."""
+    """Rows of (host, token) for each page."""
     for b in batches:
-        columns: list[list] = [[] for _ in range(7)]
+        columns: list[list] = [[] for _ in range(6)]
         for host, source in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             source = source.as_py() or ""
-            page = hashed(source)
             for token, (count, depth, named, role, mass) in tokens(source).items():
-                signature = (page * 0x9E3779B97F4A7C15 * count) & 0xFFFFFFFF  # small enough to add up in a long
-                for column, x in zip(columns, (host, token, count, signature, depth, (2 if role else 0) + named, mass), strict=True):
+                for column, x in zip(columns, (host, token, count, depth, (2 if role else 0) + named, mass), strict=True):
                     column.append(x)
-        types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=["host", "token", "count", "signature", "depth", "kind", "mass"])
+        types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=["host", "token", "count", "depth", "kind", "mass"])
 
 
 def host_of(url: str) -> F.Column:
@@ -200,16 +199,14 @@ def host_of(url: str) -> F.Column:
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, region, texts): of each host the region's role and the hashes of its template text, from all its pages."""
     rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html")).where("host is not null and html is not null")
-    seen = rows.mapInArrow(counted, "host string, token long, count long, signature long, depth int, kind int, mass long")
-    # a token's occurrence vector: in how many pages it is, how often in all, and its signature
-    vectors = seen.groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum("count").alias("count"), F.sum("signature").alias("signature"), F.max("depth").alias("depth"), F.max("kind").alias("kind"), F.sum("mass").alias("mass"))
+    seen = rows.mapInArrow(counted, "host string, token long, count long, depth int, kind int, mass long")
+    # in how many pages a token is, and how often in all
+    vectors = seen.groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum("count").alias("count"), F.max("depth").alias("depth"), F.max("kind").alias("kind"), F.sum("mass").alias("mass"))
     vectors = written(vectors.where(f"kind >= 2 or pages >= {LEAST_PAGES} * {TEMPLATE_SHARE}"), "page-vectors")
     hosts = vectors.where("kind >= 2").groupBy("host").agg(F.max("pages").alias("all_pages"), F.max("mass").alias("all_mass"))
     vectors = vectors.join(hosts, "host")
-    # equivalence classes: equal vectors; valid ones stand once in a page and in enough pages
-    roles = vectors.where(f"kind >= 2 and count = pages and pages >= {ROLE_SHARE} * all_pages")
-    classes = roles.groupBy("host", "pages", "count", "signature").agg(F.collect_list(F.struct("token", "depth", "kind", "mass")).alias("members"), F.max("all_mass").alias("all_mass"))
-    members = classes.select("host", "pages", "all_mass", F.inline("members"))
+    # the template's roles stand once in a page and in enough pages
+    members = vectors.where(f"kind >= 2 and count = pages and pages >= {ROLE_SHARE} * all_pages")
     # a role named as an article's is the region if there is text in it, else the deepest that holds most of the text
     fits = members.where(f"mass > 0 and (kind = 3 or mass >= {REGION_SHARE} * all_mass)")
     regions = fits.groupBy("host").agg(F.max(F.struct((F.col("kind") == 3).alias("named"), F.when(F.col("kind") == 3, F.col("mass")).otherwise(0).alias("text"), "depth", "pages", "token")).alias("best")).select("host", F.col("best.token").alias("region"))
