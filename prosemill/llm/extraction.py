@@ -2,7 +2,8 @@
 
 Every element of a page has a role: its name, class words and id, under its parent's role. Over the pages of one host
 each role, and each run of text, is counted: on how many pages it is, how often in all, how much text it holds. The
-counts add up in any order, so that a host of any size costs one row a token and task.
+counts add up in any order, so that a host of any size costs one row a token and task. Of n pages of a host with the
+same elements and text each counts as an nth.
 
 Roles that stand once in the pages that hold them, in at least half of the host's pages, are the host's template. The
 template role that holds the article's text is the region; runs of text that most pages share are template text. What
@@ -26,12 +27,17 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Pages that a host needs for its text runs to be judged, and the share of them that makes a run the template's.
-LEAST_PAGES, TEMPLATE_SHARE = 10, 0.9
+#: Distinct pages that a host needs for its text runs to be judged (two that share a run may be versions of one page), and
+#: the share of them that makes a run the template's: of fewer than ten, all.
+LEAST_PAGES, TEMPLATE_SHARE = 3, 0.9
+#: Share of a host's text in runs of that kind from which on its pages are versions of one page, and no run is judged.
+VERSIONS_SHARE = 0.5
 #: Share of pages with a role, and of the text under it, that make it a region.
 ROLE_SHARE, REGION_SHARE = 0.5, 0.6
 #: Largest size of all templates that is broadcast; beyond it pages and templates are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
+#: Pages with copies that are broadcast; beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
@@ -163,31 +169,54 @@ class Page:
                 return
 
 
-def tokens(source: str) -> dict[int, tuple[int, int, bool, bool, int]]:
+def content(host: str, page: Page) -> int:
+    """A hash of the host, the elements and the text outside menus and the like."""
+    return hashed(f"{host} {[role for role, _, _ in page.roles]}{[text for _, text, _ in page.blocks]}")
+
+
+def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(source, content) of each page, from (host, html, source)."""
+    for b in batches:
+        found = [content(host, Page(x.as_py())) for host, x in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(2), pa.array(found, pa.int64())], names=["source", "content"])
+
+
+def with_copies(rows: DataFrame) -> DataFrame:
+    """(host, html, copies): how many pages of the host have the row's elements and text; null if no other has."""
+    rows = rows.withColumn("source", F.xxhash64("host", "html"))
+    pairs = written(rows.mapInArrow(fingerprints, "source long, content long"), "page-contents")
+    many = written(pairs.groupBy("content").agg(F.count("*").alias("copies")).where("copies > 1"), "page-copies")
+    sources = pairs.join(F.broadcast(many) if many.count() <= BROADCAST_ROWS else many, "content").groupBy("source").agg(F.max("copies").alias("copies"))
+    sources = written(sources, "page-copies")
+    return rows.join(F.broadcast(sources) if sources.count() <= BROADCAST_ROWS else sources, "source", "left").select("host", "html", "copies")
+
+
+def tokens(page: Page) -> dict[int, tuple[int, int, bool, bool, int]]:
     """hash -> (count, depth, named as an article, is a role, characters of text without links) of a page's tokens."""
-    page, mass = Page(source), Counter()
+    mass, runs = Counter(), Counter()
     for stack, text, linked in page.blocks:
         for role in {e.role_hash for e in stack}:
             mass[role] += len(text) - linked
+        runs[hashed(text)] += len(text) - linked
     found: dict[int, tuple[int, int, bool, bool, int]] = {}
     for role, depth, named in page.roles:
         found[role] = (found[role][0] + 1 if role in found else 1, depth, named, True, mass[role])
     for text, n in Counter(hashed(text) for _, text, _ in page.blocks).items():
-        found.setdefault(text, (n, 0, False, False, 0))
+        found.setdefault(text, (n, 0, False, False, runs[text]))
     return found
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (host, token) for each page."""
+    """Rows of (host, token) for each page, of weight 1 over its copies."""
     for b in batches:
-        columns: list[list] = [[] for _ in range(6)]
-        for host, source in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            source = source.as_py() or ""
-            for token, (count, depth, named, role, mass) in tokens(source).items():
-                for column, x in zip(columns, (host, token, count, depth, (2 if role else 0) + named, mass), strict=True):
+        columns: list[list] = [[] for _ in range(7)]
+        for host, source, copies in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            weight = 1 / (copies or 1)
+            for token, (count, depth, named, role, mass) in tokens(Page(source.as_py())).items():
+                for column, x in zip(columns, (host, token, weight, count * weight, depth, (2 if role else 0) + named, mass * weight), strict=True):
                     column.append(x)
-        types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=["host", "token", "count", "depth", "kind", "mass"])
+        types = [pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=["host", "token", "pages", "count", "depth", "kind", "mass"])
 
 
 def host_of(url: str) -> F.Column:
@@ -199,9 +228,9 @@ def host_of(url: str) -> F.Column:
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, region, texts): of each host the region's role and the hashes of its template text, from all its pages."""
     rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html")).where("host is not null and html is not null")
-    seen = rows.mapInArrow(counted, "host string, token long, count long, depth int, kind int, mass long")
-    # in how many pages a token is, and how often in all
-    vectors = seen.groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum("count").alias("count"), F.max("depth").alias("depth"), F.max("kind").alias("kind"), F.sum("mass").alias("mass"))
+    seen = with_copies(rows).mapInArrow(counted, "host string, token long, pages double, count double, depth int, kind int, mass double")
+    # in how many distinct pages a token is, and how often in all: whole numbers but for the rounding of their sums
+    vectors = seen.groupBy("host", "token").agg(*(F.round(F.sum(c)).cast("long").alias(c) for c in ("pages", "count", "mass")), F.max("depth").alias("depth"), F.max("kind").alias("kind"))
     vectors = written(vectors.where(f"kind >= 2 or pages >= {LEAST_PAGES} * {TEMPLATE_SHARE}"), "page-vectors")
     hosts = vectors.where("kind >= 2").groupBy("host").agg(F.max("pages").alias("all_pages"), F.max("mass").alias("all_mass"))
     vectors = vectors.join(hosts, "host")
@@ -210,7 +239,7 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     # a role named as an article's is the region if there is text in it, else the deepest that holds most of the text
     fits = members.where(f"mass > 0 and (kind = 3 or mass >= {REGION_SHARE} * all_mass)")
     regions = fits.groupBy("host").agg(F.max(F.struct((F.col("kind") == 3).alias("named"), F.when(F.col("kind") == 3, F.col("mass")).otherwise(0).alias("text"), "depth", "pages", "token")).alias("best")).select("host", F.col("best.token").alias("region"))
-    texts = vectors.where(f"kind < 2 and all_pages >= {LEAST_PAGES} and pages >= {TEMPLATE_SHARE} * all_pages").groupBy("host").agg(F.collect_set("token").alias("texts"))
+    texts = vectors.where(f"kind < 2 and all_pages >= {LEAST_PAGES} and pages >= {TEMPLATE_SHARE} * all_pages").groupBy("host").agg(F.collect_set("token").alias("texts"), F.sum("mass").alias("shared"), F.max("all_mass").alias("all_mass")).where(f"shared < {VERSIONS_SHARE} * all_mass or all_mass = 0").select("host", "texts")
     return hosts.select("host").join(regions, "host", "left").join(texts, "host", "left")
 
 
@@ -228,8 +257,8 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """id, url, text and n_chars (code points of text) for each row of pages.
 
     A null or empty page has an empty text. A page without a host (null or odd URL), or one that lacks its host's
-    region, keeps all blocks outside menus and the like. Pages of one host that are equal count each in its vectors;
-    repeated rows are extracted each; a null id stays null; an empty table gives an empty one. Other columns aren't read.
+    region, keeps all blocks outside menus and the like. Pages of one host with equal elements and text count once; of
+    hosts of under LEAST_PAGES distinct pages no text run is judged; repeated rows are extracted each; a null id stays null; an empty table gives an empty one. Other columns aren't read.
     """
     found = written(templates(pages, url_col, html_col), "page-templates")
     size = found.agg(F.coalesce(F.sum(F.length("host") + 16 + 8 * F.greatest(F.size("texts"), F.lit(0))), F.lit(0)).alias("n")).first().n

@@ -59,6 +59,25 @@ def test_extraction_of_generated_pages(spark):
         assert got[r.page_id] == "\n\n".join(p for p in parts if p)
 
 
+def texts_of(spark, sources):
+    pages = spark.createDataFrame([(k, f"http://host.example/{k}", s) for k, s in enumerate(sources)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in ext.extracted(pages).collect()}
+
+
+def test_copies_are_no_template(spark):
+    rng = random.Random(3)
+    body = lambda: "".join(f"<p>{' '.join(f'word{rng.randrange(200)}' for _ in range(40))}</p>" for _ in range(3))
+    whole = lambda b, k: f"<html><body><nav>{k}</nav><article>{b}<p>All rights kept</p></article></body></html>"
+    copied, others = body(), [body() for _ in range(3)]
+    paragraphs = lambda b: "\n\n".join(re.findall("<p>(.*?)</p>", b))
+    # copies with other menus, and the notice that all four distinct pages share
+    got = texts_of(spark, [whole(copied, k) for k in range(60)] + [whole(b, 0) for b in others])
+    assert all(got[k] == paragraphs(copied) for k in range(60)) and [got[60 + k] for k in range(3)] == [paragraphs(b) for b in others]
+    # versions of one page
+    got = texts_of(spark, [whole(f"<p>{k} o'clock</p>{copied}", k) for k in range(40)])
+    assert all(paragraphs(copied) in text for text in got.values())
+
+
 def test_contamination(spark):
     rng = random.Random(2)
     words = [f"w{k}" for k in range(3000)]
