@@ -5,9 +5,11 @@ each role, and each run of text, is counted: on how many pages it is, how often
 counts add up in any order, so that a host of any size costs one row a token and task. Of n pages of a host with the
 same elements and text each counts as an nth.
 
-Roles that stand once in the pages that hold them, in at least half of the host's pages, are the host's template. The
-template role that holds the article's text is the region; runs of text that most pages share are template text. What
-remains in the region, without subtrees that say that they are menus, forms, adverts and the like, is the page's text.
+Roles that stand once in the pages that hold them, in at least half of the host's pages, are the host's template; runs
+of text that most pages share are template text. Where elements named as articles hold most of a host's text, they are
+its regions, all of a page's. Elsewhere the regions are all of the template but the slots whose text is mostly template
+text or links. What remains in the regions, without template text and subtrees that say that they are menus, forms,
+adverts and the like, is the page's text.
 
 Equivalence classes of tokens with equal occurrence vectors aren't formed: a class's order and gaps would say where
 slots are, not which of them hold an article, and what is kept or dropped is decided by the counts alone.
@@ -19,6 +21,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import pyarrow as pa
 import xxhash
@@ -32,8 +35,11 @@ from .common import written
 LEAST_PAGES, TEMPLATE_SHARE = 3, 0.9
 #: Share of a host's text in runs of that kind from which on its pages are versions of one page, and no run is judged.
 VERSIONS_SHARE = 0.5
-#: Share of pages with a role, and of the text under it, that make it a region.
-ROLE_SHARE, REGION_SHARE = 0.5, 0.6
+#: Share of pages with a role that makes it the template's, of a host's text in named articles that makes them its
+#: regions, and of the text under a role in template text and links from which on it is no slot of an article's.
+ROLE_SHARE, NAMED_SHARE, FILLED_SHARE = 0.5, 0.5, 0.5
+#: Stands for all elements named as articles of a page.
+NAMED = 0
 #: Largest size of all templates that is broadcast; beyond it pages and templates are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 #: Pages with copies that are broadcast; beyond it they are joined by a shuffle.
@@ -42,6 +48,7 @@ BROADCAST_ROWS = 1_000_000
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
 _BLOCK = frozenset("address article aside blockquote body center details dd dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul caption".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CELL = frozenset("td th br img input".split())
 #: Elements that never hold an article's text.
 _NOT_TEXT = frozenset("head nav footer aside form button select script style noscript iframe svg math template menu dialog object canvas audio video title textarea label datalist".split())
@@ -88,7 +95,7 @@ class Element:
 
 
 class Page:
-    """roles: every element's role, in order; blocks: (elements open around it, text, characters of links in it)."""
+    """roles: every element's role, its parent's and if it is an article's, in order; blocks: (elements open around it, text, characters of links in it)."""
 
     def __init__(self, source: str):
         self.roles: list[tuple[int, int, bool]] = []
@@ -148,7 +155,7 @@ class Page:
         if made is None:
             made = self.made[key] = Element(name, attributes.removesuffix("/"), parent)
         self.stack.append(made)
-        self.roles.append((made.role_hash, len(self.stack), name in ("article", "main") or "articlebody" in attributes.lower()))
+        self.roles.append((made.role_hash, parent.role_hash if parent else 0, made.article))
 
     def end(self, names: set[str], holders: frozenset[str] | set[str]) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
@@ -191,32 +198,35 @@ def with_copies(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(sources) if sources.count() <= BROADCAST_ROWS else sources, "source", "left").select("host", "html", "copies")
 
 
-def tokens(page: Page) -> dict[int, tuple[int, int, bool, bool, int]]:
-    """hash -> (count, depth, named as an article, is a role, characters of text without links) of a page's tokens."""
-    mass, runs = Counter(), Counter()
+def tokens(page: Page) -> dict[int, list]:
+    """hash -> [count, parent or for a run the innermost role, kind, characters, those without links] of a page's tokens.
+
+    kind: 0 a run of text, 1 a role, 2 a role with a heading in it, or a heading.
+    """
+    found: dict[int, list] = {}
+    for role, parent, _ in page.roles:
+        found.setdefault(role, [0, parent, 1, 0, 0])[0] += 1
     for stack, text, linked in page.blocks:
-        for role in {e.role_hash for e in stack}:
-            mass[role] += len(text) - linked
-        runs[hashed(text)] += len(text) - linked
-    found: dict[int, tuple[int, int, bool, bool, int]] = {}
-    for role, depth, named in page.roles:
-        found[role] = (found[role][0] + 1 if role in found else 1, depth, named, True, mass[role])
-    for text, n in Counter(hashed(text) for _, text, _ in page.blocks).items():
-        found.setdefault(text, (n, 0, False, False, runs[text]))
+        heading = any(e.name in _HEADINGS for e in stack)
+        for role in {e.role_hash for e in stack} | ({NAMED} if any(e.article for e in stack) else set()):
+            t = found.setdefault(role, [1, 0, 1, 0, 0])
+            t[2:] = max(t[2], 1 + heading), t[3] + len(text), t[4] + len(text) - linked
+        t = found.setdefault(hashed(text), [0, stack[-1].role_hash if stack else 0, 0, 0, 0])
+        t[0], t[3], t[4] = t[0] + 1, t[3] + len(text), t[4] + len(text) - linked
     return found
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (host, token) for each page, of weight 1 over its copies."""
     for b in batches:
-        columns: list[list] = [[] for _ in range(7)]
+        columns: list[list] = [[] for _ in range(8)]
         for host, source, copies in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
             weight = 1 / (copies or 1)
-            for token, (count, depth, named, role, mass) in tokens(Page(source.as_py())).items():
-                for column, x in zip(columns, (host, token, weight, count * weight, depth, (2 if role else 0) + named, mass * weight), strict=True):
+            for token, (count, parent, kind, size, mass) in tokens(Page(source.as_py())).items():
+                for column, x in zip(columns, (host, token, weight, count * weight, parent, kind, size * weight, mass * weight), strict=True):
                     column.append(x)
-        types = [pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.float64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=["host", "token", "pages", "count", "depth", "kind", "mass"])
+        types = [pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int32(), pa.float64(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=["host", "token", "pages", "count", "parent", "kind", "size", "mass"])
 
 
 def host_of(url: str) -> F.Column:
@@ -225,51 +235,83 @@ def host_of(url: str) -> F.Column:
     return F.when(host != "", host)
 
 
+def filled(roles: list, texts: list) -> list[int]:
+    """The template's roles that are no slots of an article's, of a host without named articles.
+
+    roles: (token, parent, kind, pages, count, size, mass) of those on enough pages; texts: (parent, size, mass) of
+    template text. A role whose text is mostly template text and links is left out, unless it holds half of all other
+    text, or a heading and no template text.
+    """
+    parents = {r.token: r.parent for r in roles}
+    size, mass = Counter(), Counter()
+    for t in texts:
+        at = t.parent
+        while at in parents:
+            size[at] += t.size
+            mass[at] += t.mass
+            at = parents[at]
+    own = {r.token: r.mass - mass[r.token] for r in roles}
+    most = max(own.values(), default=0)
+    return sorted(
+        r.token
+        for r in roles
+        if r.count == r.pages and r.size and own[r.token] < 0.5 * most and own[r.token] <= FILLED_SHARE * r.size and not (r.kind == 2 and not size[r.token])
+    )
+
+
+def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, filled) from (host, roles, texts)."""
+    for b in batches:
+        found = []
+        for roles, texts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            found.append(filled([SimpleNamespace(**r) for r in roles], [SimpleNamespace(**t) for t in texts or ()]))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["host", "filled"])
+
+
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, region, texts): of each host the region's role and the hashes of its template text, from all its pages."""
+    """(host, named, filled, texts): of each host if its regions are named articles, the roles that else are none's, and
+    the hashes of its template text, from all its pages."""
     rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html")).where("host is not null and html is not null")
-    seen = with_copies(rows).mapInArrow(counted, "host string, token long, pages double, count double, depth int, kind int, mass double")
+    seen = with_copies(rows).mapInArrow(counted, "host string, token long, pages double, count double, parent long, kind int, size double, mass double")
     # in how many distinct pages a token is, and how often in all: whole numbers but for the rounding of their sums
-    vectors = seen.groupBy("host", "token").agg(*(F.round(F.sum(c)).cast("long").alias(c) for c in ("pages", "count", "mass")), F.max("depth").alias("depth"), F.max("kind").alias("kind"))
-    vectors = written(vectors.where(f"kind >= 2 or pages >= {LEAST_PAGES} * {TEMPLATE_SHARE}"), "page-vectors")
-    hosts = vectors.where("kind >= 2").groupBy("host").agg(F.max("pages").alias("all_pages"), F.max("mass").alias("all_mass"))
-    vectors = vectors.join(hosts, "host")
-    # the template's roles stand once in a page and in enough pages
-    members = vectors.where(f"kind >= 2 and count = pages and pages >= {ROLE_SHARE} * all_pages")
-    # a role named as an article's is the region if there is text in it, else the deepest that holds most of the text
-    fits = members.where(f"mass > 0 and (kind = 3 or mass >= {REGION_SHARE} * all_mass)")
-    regions = fits.groupBy("host").agg(F.max(F.struct((F.col("kind") == 3).alias("named"), F.when(F.col("kind") == 3, F.col("mass")).otherwise(0).alias("text"), "depth", "pages", "token")).alias("best")).select("host", F.col("best.token").alias("region"))
-    texts = vectors.where(f"kind < 2 and all_pages >= {LEAST_PAGES} and pages >= {TEMPLATE_SHARE} * all_pages").groupBy("host").agg(F.collect_set("token").alias("texts"), F.sum("mass").alias("shared"), F.max("all_mass").alias("all_mass")).where(f"shared < {VERSIONS_SHARE} * all_mass or all_mass = 0").select("host", "texts")
-    return hosts.select("host").join(regions, "host", "left").join(texts, "host", "left")
-
-
-def extract(source: str, region: int | None, texts: frozenset[int] = frozenset()) -> str:
-    """The page's text: blocks in the region's slots, or in any if the page lacks it, joined by empty lines."""
-    page = Page(source)
-    inside = region is not None and any(role == region for role, _, _ in page.roles)
-    kept = [text for stack, text, _ in page.blocks if not inside or any(e.role_hash == region for e in stack)]
-    if texts:
-        kept = [t for t in kept if hashed(t) not in texts]
-    return "\n\n".join(kept)
+    vectors = seen.groupBy("host", "token").agg(*(F.round(F.sum(c)).cast("long").alias(c) for c in ("pages", "count", "size", "mass")), F.max("parent").alias("parent"), F.max("kind").alias("kind"))
+    vectors = written(vectors.where(f"kind >= 1 or pages >= {LEAST_PAGES} * {TEMPLATE_SHARE}"), "page-vectors")
+    hosts = vectors.where("kind >= 1").groupBy("host").agg(F.max("pages").alias("all_pages"), F.max("mass").alias("all_mass"), F.max(F.when(F.col("token") == NAMED, F.col("mass"))).alias("named"))
+    vectors = vectors.join(hosts.drop("named"), "host")
+    texts = vectors.where(f"kind = 0 and all_pages >= {LEAST_PAGES} and pages >= {TEMPLATE_SHARE} * all_pages").groupBy("host").agg(F.collect_list(F.struct("token", "parent", "size", "mass")).alias("texts"), F.sum("mass").alias("shared"), F.max("all_mass").alias("all_mass"))
+    texts = texts.where(f"shared < {VERSIONS_SHARE} * all_mass or all_mass = 0").select("host", "texts")
+    # named articles are the regions if they hold enough of the text; else the template's roles are looked at
+    hosts = hosts.select("host", F.expr(f"coalesce(named > 0 and named >= {NAMED_SHARE} * all_mass, false)").alias("named")).join(texts, "host", "left")
+    roles = vectors.where(f"kind >= 1 and token <> {NAMED} and pages >= {ROLE_SHARE} * all_pages").groupBy("host").agg(F.collect_list(F.struct("token", "parent", "kind", "pages", "count", "size", "mass")).alias("roles"))
+    slots = hosts.where("not named").select("host", "texts").join(roles, "host").select("host", "roles", "texts").mapInArrow(decided, "host string, filled array<long>")
+    return hosts.join(slots, "host", "left").select("host", "named", "filled", F.col("texts.token").alias("texts"))
+
+
+def extract(source: str, filled: frozenset[int] | None = None, texts: frozenset[int] = frozenset(), named: bool = False) -> str:
+    """The page's text: blocks in its named articles if there is text in them, or in no filled role, joined by empty lines."""
+    blocks = [(stack, text) for stack, text, _ in Page(source).blocks]
+    inside = [(stack, text) for stack, text in blocks if any(e.article for e in stack)] if named else []
+    kept = inside or [(stack, text) for stack, text in blocks if not filled or not any(e.role_hash in filled for e in stack)]
+    return "\n\n".join(text for _, text in kept if not texts or hashed(text) not in texts)
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text and n_chars (code points of text) for each row of pages.
 
     A null or empty page has an empty text. A page without a host (null or odd URL), or one that lacks its host's
-    region, keeps all blocks outside menus and the like. Pages of one host with equal elements and text count once; of
+    regions, keeps all blocks outside menus and the like. Pages of one host with equal elements and text count once; of
     hosts of under LEAST_PAGES distinct pages no text run is judged; repeated rows are extracted each; a null id stays null; an empty table gives an empty one. Other columns aren't read.
     """
     found = written(templates(pages, url_col, html_col), "page-templates")
-    size = found.agg(F.coalesce(F.sum(F.length("host") + 16 + 8 * F.greatest(F.size("texts"), F.lit(0))), F.lit(0)).alias("n")).first().n
+    size = found.agg(F.coalesce(F.sum(F.length("host") + 16 + 8 * (F.greatest(F.size("texts"), F.lit(0)) + F.greatest(F.size("filled"), F.lit(0)))), F.lit(0)).alias("n")).first().n
     rows = pages.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{url_col}`").cast("string").alias("__url"), F.col(f"`{html_col}`").cast("string").alias("__html"), host_of(url_col).alias("host"))
-    joined = rows.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left").select("__id", "__url", "__html", "region", "texts")
+    joined = rows.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left").select("__id", "__url", "__html", "filled", "texts", "named")
     kind = joined.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = zip(b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)
-            out = [extract(source.as_py() or "", region, frozenset(texts or ())) for source, region, texts in rows]
+            rows = zip(b.column(2), *(b.column(k).to_pylist() for k in (3, 4, 5)), strict=True)
+            out = [extract(source.as_py() or "", frozenset(filled or ()), frozenset(texts or ()), bool(named)) for source, filled, texts, named in rows]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     return joined.mapInArrow(run, f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long")

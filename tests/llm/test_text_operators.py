@@ -78,6 +78,16 @@ def test_copies_are_no_template(spark):
     assert all(paragraphs(copied) in text for text in got.values())
 
 
+def test_all_regions_stay(spark):
+    rng = random.Random(4)
+    words = lambda n: " ".join(f"word{rng.randrange(200)}" for _ in range(n))
+    parts = [(words(5), words(30), words(70)) for _ in range(12)]
+    lead = [f"<html><body><h1>{a}</h1><div class=lead>{b}</div><div class=text><p>{c}</p></div><div class=k3><p>All rights kept</p></div></body></html>" for a, b, c in parts]
+    two = [f"<html><body><div class=k0><p>Home of words</p></div><article class=a>{b}</article><article class=b>{c}</article></body></html>" for _, b, c in parts]
+    assert texts_of(spark, lead) == {k: "\n\n".join(p) for k, p in enumerate(parts)}
+    assert texts_of(spark, two) == {k: f"{b}\n\n{c}" for k, (_, b, c) in enumerate(parts)}
+
+
 def test_contamination(spark):
     rng = random.Random(2)
     words = [f"w{k}" for k in range(3000)]
