@@ -5,7 +5,7 @@ A byte goes if it is covered by a string of LENGTH bytes that also starts in a d
 1. Anchors: of the grams (GRAM bytes) in a window of LENGTH bytes the one of least hash is its anchor. Equal windows
    have equal anchors at equal places, so windows can be dealt out by their anchors. The windows next to each other
    that share an anchor make a segment.
-2. Segments meet by anchor, as hashes only. An anchor of one document can't repeat. Of equal segments the smallest
+2. Segments meet by anchor, as hashes of 64 bits only. An anchor of one document can't repeat. Of equal segments the smallest
    document's stands for all; the others are covered whole. A segment that stands alone though its anchor doesn't is
    undecided.
 3. The bytes of undecided segments are dealt to shards by anchor. Each shard of at most SHARD bytes gets a suffix
@@ -89,9 +89,9 @@ def bucket_of(gram: np.ndarray, buckets: int) -> np.ndarray:
     return ((gram >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
 
 
-def key_of(gram: np.ndarray, segment: np.ndarray) -> np.ndarray:
-    """The gram's low half above the segment's high one."""
-    return (gram << np.uint64(32)) | (segment >> np.uint64(32))
+def low_half(gram: np.ndarray) -> np.ndarray:
+    """What goes with a segment's hash, to find the segments of one gram: the half that buckets aren't made by."""
+    return (gram & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
 def planes(ids: np.ndarray) -> bytes:
@@ -117,24 +117,24 @@ def dealt(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
 
 
 def offered(buckets: int):
-    """Rows (bucket, ids, keys): the distinct segments of each document, dealt by anchor."""
+    """Rows (bucket, ids, grams, keys): the distinct segments of each document, by their whole hashes, dealt by anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, size = [], 0
 
         def out() -> pa.RecordBatch:
-            ids, keys, bucket = (np.concatenate(x) for x in zip(*waiting, strict=True))
-            rows = [(b, planes(i), k.tobytes()) for b, i, k in dealt(bucket, ids, keys)]
-            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "ids", "keys"])
+            ids, grams, keys, bucket = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            rows = [(b, planes(i), g.tobytes(), k.tobytes()) for b, i, g, k in dealt(bucket, ids, grams, keys)]
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "ids", "grams", "keys"])
 
         for b in batches:
             for doc, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 gram, segment, _, _ = anchors(as_bytes(x))
                 if len(gram):
-                    keys, at = np.unique(key_of(gram, segment), return_index=True)
-                    waiting.append((np.full(len(keys), doc, np.int64), keys, bucket_of(gram[at], buckets)))
+                    keys, at = np.unique(segment, return_index=True)
+                    waiting.append((np.full(len(keys), doc, np.int64), low_half(gram[at]), keys, bucket_of(gram[at], buckets)))
                     size += len(keys)
-                if size * 14 >= BATCH:
+                if size * 18 >= BATCH:
                     yield out()
                     waiting, size = [], 0
         if waiting:
@@ -164,14 +164,14 @@ def judged(groups: int):
     """Rows (group, ids, keys, undecided) for segments that are covered whole or undecided."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (all_ids, all_keys) in grouped(batches, 2):
-            ids, keys = np.concatenate([unplaned(x) for x in all_ids]), np.concatenate([np.frombuffer(x, np.uint64) for x in all_keys])
-            order = np.lexsort((ids, keys))
-            ids, keys = ids[order], keys[order]
-            new_key = np.concatenate([[True], keys[1:] != keys[:-1]])
-            first = ids[np.flatnonzero(new_key)][np.cumsum(new_key) - 1]  # of each equal segment
-            gram = keys >> np.uint64(32)
+        for _, (all_ids, all_grams, all_keys) in grouped(batches, 3):
+            ids = np.concatenate([unplaned(x) for x in all_ids])
+            gram, keys = np.concatenate([np.frombuffer(x, np.uint32) for x in all_grams]), np.concatenate([np.frombuffer(x, np.uint64) for x in all_keys])
+            order = np.lexsort((ids, keys, gram))
+            ids, keys, gram = ids[order], keys[order], gram[order]
             new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
+            new_key = new_gram | np.concatenate([[True], keys[1:] != keys[:-1]])
+            first = ids[np.flatnonzero(new_key)][np.cumsum(new_key) - 1]  # of each equal segment
             at = np.cumsum(new_gram) - 1
             segments = np.bincount(at, new_key)
             least, most = (f.reduceat(ids, np.flatnonzero(new_gram)) for f in (np.minimum, np.maximum))
@@ -227,9 +227,8 @@ def opened(buckets: int):
                     continue
                 text = as_bytes(x)
                 gram, segment, first, last = anchors(text)
-                key = key_of(gram, segment)
-                at = np.minimum(np.searchsorted(ready[1][lo:hi], key), hi - lo - 1) + lo
-                met = ready[1][at] == key
+                at = np.minimum(np.searchsorted(ready[1][lo:hi], segment), hi - lo - 1) + lo
+                met = ready[1][at] == segment
                 whole = met & ~ready[2][at]
                 for s, e in zip(*(y.tolist() for y in joined(first[whole], last[whole] + LENGTH)), strict=True):
                     out.append((None, doc, mark, s, e, None))
@@ -367,7 +366,7 @@ def covered_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.encode(F.col(f"`{text_col}`").cast("string"), "UTF-8").alias("data")).where(f"id is not null and octet_length(data) >= {LENGTH}")
     total = source.agg(F.coalesce(F.sum(F.octet_length("data").cast("long")), F.lit(0)).alias("n")).first().n
     buckets, groups = max(64, total // BUCKET_BYTES), max(64, total // GROUP_BYTES)
-    offers = source.mapInArrow(offered(buckets), "bucket int, ids binary, keys binary").repartition(F.col("bucket")).sortWithinPartitions("bucket")
+    offers = source.mapInArrow(offered(buckets), "bucket int, ids binary, grams binary, keys binary").repartition(F.col("bucket")).sortWithinPartitions("bucket")
     verdicts = written(offers.mapInArrow(judged(groups), "group int, ids binary, keys binary, flags binary"), "verdicts")
 
     def grouping(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

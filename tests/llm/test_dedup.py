@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +158,19 @@ def test_suffix_arrays(seed):
         assert got[k] == n
 
 
+def test_segments_differ_by_any_bit_of_their_hashes(monkeypatch):
+    """Segments of one anchor whose hashes share their high or their low half aren't taken as equal."""
+    hashes = {b"a": 7 << 32 | 1, b"b": 7 << 32 | 2, b"c": 9 << 32 | 1, b"d": 7 << 32 | 1}
+    one = lambda x, kind: np.array([x], kind)
+    monkeypatch.setattr(sub, "anchors", lambda text: (one(5, np.uint64), one(hashes[text.tobytes()], np.uint64), one(0, np.int64), one(0, np.int64)))
+    docs = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([b"a", b"b", b"c", b"d"])], names=["id", "data"])
+    got = {}
+    for b in sub.judged(1)(sub.offered(1)(iter([docs]))):
+        for ids, flags in zip(b.column("ids").to_pylist(), b.column("flags").to_pylist(), strict=True):
+            got |= dict(zip(sub.unplaned(ids).tolist(), np.frombuffer(flags, bool).tolist(), strict=True))
+    assert got == {1: True, 2: True, 3: True, 4: False}
+
+
 def test_shards_merge():
     a, b = b"p" * 10 + b"the same fifty bytes stand in both of these shards, yes", b"the same fifty bytes stand in both of these shards, yes"
     first = sub.Shard(np.array([9]), np.array([1]), np.array([100]), np.array([len(a)]), a)
