@@ -3,7 +3,7 @@
 A word's vector is the average of the learnt vectors of the word itself and of its character n-grams; a word that
 repeats the one before it adds a mark, which has a vector too. A document is the average over its words and marks.
 Features are hashed to a fixed number of rows. A softmax over a document's average gives the class. Vectors and output
-are trained together by stochastic gradient descent in numpy, on a bounded sample.
+are trained together by stochastic gradient descent in numpy, on the whole texts of a bounded sample of rows.
 
 Since averages and output are linear, a trained model folds to one weight a feature. Each word's weight is computed
 once and kept, so whole texts are scored at the cost of a lookup a word.
@@ -23,11 +23,9 @@ from .common import held_out
 from .labelled import labelled_sample
 from .token_counts import by_bytes
 
-#: Rows of the sample, words taken of each, hashed features, dimensions, passes, step size.
-MAX_ROWS, MAX_WORDS, BUCKETS, DIM, EPOCHS, RATE = 4000, 256, 1 << 18, 8, 6, 0.2
+#: Rows of the sample, hashed features, dimensions, passes, step size.
+MAX_ROWS, BUCKETS, DIM, EPOCHS, RATE = 4000, 1 << 18, 8, 6, 0.2
 NGRAMS = (3, 4, 5)
-#: A word of the sample stands with the words around it, so that repeats show.
-RUN = 16
 #: Words whose sums a worker keeps.
 KNOWN = 300_000
 SEED = 7
@@ -70,15 +68,6 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(buckets)
 
 
-def sampled_words(text: str, most: int = MAX_WORDS) -> list[str]:
-    """All words of a short text; runs of words spread evenly over a long one."""
-    words = text.split()
-    if len(words) <= most:
-        return words
-    first = np.linspace(0, len(words) - RUN, most // RUN).astype(int)
-    return [w for a in first for w in words[a : a + RUN]]
-
-
 @dataclass
 class Model:
     """weights: of each feature; bias. A document's log-odds are the mean weight of its words and marks, and the bias."""
@@ -90,23 +79,29 @@ class Model:
 def bag(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct features of a document and their shares."""
     if not words:
-        return np.empty(0, np.int64), np.empty(0, np.float32)
+        return np.empty(0, np.int32), np.empty(0, np.float32)
     repeats = sum(a == b for a, b in zip(words, words[1:], strict=False))
-    owner, bucket = features(words)
-    share = (1 / np.bincount(owner))[owner]
-    found, at = np.unique(np.concatenate([bucket, [REPEATED]]), return_inverse=True)
-    shares = np.bincount(at, np.concatenate([share, [repeats]]))
-    return found, (shares / shares.sum()).astype(np.float32)
+    total = np.zeros(BUCKETS)
+    for k in range(0, len(words), AT_ONCE):
+        owner, bucket = features(words[k : k + AT_ONCE])
+        total += np.bincount(bucket, (1 / np.bincount(owner))[owner], BUCKETS)
+    total[REPEATED] += repeats
+    found = np.flatnonzero(total)
+    return found.astype(np.int32), (total[found] / total.sum()).astype(np.float32)
 
 
 def trained(rows: list[tuple[list[str], int]], epochs: int = EPOCHS, rate: float = RATE) -> Model:
-    """Stochastic gradient descent over (words, label) rows, each step scaled by its feature's past gradients."""
+    """The model of (words, label) rows."""
+    return descended([(*bag(words), int(label > 0)) for words, label in rows], epochs, rate)
+
+
+def descended(bags: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, rate: float = RATE) -> Model:
+    """Stochastic gradient descent over rows of (features, shares, label), each step scaled by its feature's past gradients."""
     rng = np.random.default_rng(SEED)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     past = np.full(BUCKETS, 1e-8, np.float32)
     out, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
     past_out = np.full((2, DIM), 1e-8, np.float32)
-    bags = [(*bag(words), int(label > 0)) for words, label in rows]
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for k in rng.permutation(len(bags)):
@@ -161,15 +156,17 @@ class Scorer:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> Model:
-    """Trains on at most max_rows rows of labelled_sample(), of each at most MAX_WORDS words: some 10 MB at the driver."""
+    """Trains on at most max_rows rows of labelled_sample(), whole texts: tasks send each one's features and shares, 8
+    bytes for each distinct feature."""
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept = [" ".join(sampled_words(x.as_py())) for x in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), b.column(1)], names=["text", "label"])
+            found = [bag(x.as_py().split()) for x in b.column(0)]
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[k].tobytes() for x in found], pa.binary()) for k in (0, 1)), b.column(1)], names=["features", "shares", "label"])
 
-    rows = labelled_sample(docs, labels, label, max_rows).mapInArrow(words, "text string, label int").collect()
-    return trained([(r.text.split(), r.label) for r in sorted(rows)])
+    rows = labelled_sample(docs, labels, label, max_rows).mapInArrow(bags, "features binary, shares binary, label int").collect()
+    rows = sorted((bytes(r.features), bytes(r.shares), int(r.label > 0)) for r in rows)
+    return descended([(np.frombuffer(f, np.int32), np.frombuffer(s, np.float32), label) for f, s, label in rows])
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:

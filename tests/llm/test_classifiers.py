@@ -75,6 +75,18 @@ def test_quality_scores_whole_texts():
     assert good > 0.5 > mixed > bad and s.scores(["good prose"])[0] == pytest.approx(good)
 
 
+def test_quality_learns_from_whole_texts(spark):
+    """Long texts that differ only between sixteen evenly spread runs of sixteen words."""
+    rng = random.Random(8)
+    runs = {a + k for a in np.linspace(0, 984, 16).astype(int).tolist() for k in range(16)}
+    text = lambda mark: " ".join(f"word{rng.randrange(50)}" if k in runs else mark for k in range(1000))
+    rows = [(k, text("prose" if k % 2 else "junk"), k % 2) for k in range(120)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, label) for k, _, label in rows], "doc_id long, quality int")
+    good, bad = quality.Scorer(quality.fitted(docs, labels)).scores([text("prose"), text("junk")])
+    assert good > 0.8 and bad < 0.2
+
+
 def test_training_again_gives_the_same():
     rows = [(["a", "b"], 1), (["c"], 0), ([], 1)] * 5
     a, b = quality.trained(rows), quality.trained(rows)
