@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only on one machine (master local) where the session names no shared folder, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints/prosemill"
 
 
@@ -16,9 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local one serves on one
+    machine; a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = LOCAL_SHARED
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
             spark.sparkContext.setCheckpointDir(root)
@@ -44,6 +47,23 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Scratch:
+    """Tables of one operator in the shared folder, by name; they can be deleted once nothing reads them."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.root, self.tables = spark, shared_path(spark, tag), {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}"
+        df.write.parquet(path)
+        self.tables[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def cleared(self, *names: str) -> None:
+        for name in names:
+            removed(self.spark, self.tables.pop(name))
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels must not be learnt from: crc32 of the id as text leaves 1 modulo 3."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -1,16 +1,17 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 1. Every document's set of word shingles gives a signature of minima and a digest; documents of equal sets are one
-   class, which its smallest id stands for.
+   class, numbered as a node, which the text of its smallest id stands for.
 2. Bands of a signature are keys; classes that share one are candidates. In each key the class whose keys are the
-   largest, the likely original of a group, meets all others: as many pairs as rows, however large the group.
+   largest, the likely original of a group, leads: all others meet it, as many pairs as rows, however large the group.
 3. A pair's signatures are compared batch by batch. It is pruned as soon as the posterior probability that it is
-   similar enough, under a uniform prior, falls below a miss probability. Full sets of survivors decide.
-4. In a key that these links leave in several components, all classes outside the largest one meet all members: in
-   blocks of bounded size, within Python functions that return survivors only. Then 3 again. One link joins two
-   components, so at first only each class's FIRST most promising survivors in each other component are verified. For
-   what that leaves apart all survivors are, dealt to cells of at most about CELL classes a side, which hold each text
-   once and return links only.
+   similar enough, under a uniform prior, falls below a miss probability. Of the leaders that survive, each class is
+   verified against the one of most equal signatures, on full sets. These links make trees, whose roots are labels.
+4. In a key that still holds several labels, all classes outside the most frequent one meet all members. Such classes
+   and members of one label are one group, whatever keys they share, and meet in blocks within Python functions: first
+   signatures, of which only the classes that survive with any other are returned; then full sets of these, of which
+   only the links that join labels are returned. So rows stay in proportion to a group's classes times its blocks.
+5. Connected components of the links.
 
 What is missed: a pair at the threshold that shares no band, (1 - t^ROWS)^BANDS, and MISS by the pruning.
 """
@@ -23,22 +24,20 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch
 from .components import components
 
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: Signature values compared between two looks at the posterior; miss probability of each pair.
 BATCH, MISS = 32, 1e-6
-#: Classes of a block, and members that meet one leader in a task.
-BLOCK = 2048
-#: Survivors of a class in another component that are verified before all of them are.
-FIRST = 4
-#: Classes of one side of a cell in which pairs are verified together.
-CELL = 256
+#: Signatures that a block holds, and those that pass by it.
+BLOCK, PASSING = 2048, 8192
+#: Shingles of full sets that a block holds, and those that pass by it.
+HELD, SHOWN = 1 << 20, 1 << 22
 KNOWN_WORDS = 300_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _A, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -87,22 +86,24 @@ class Shingler:
 
 
 def signed(k: int):
+    """Rows (id, mark, n, digest, signature) of (id, mark, text) rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
         for b in batches:
             sizes, digests, signatures = [], [], []
-            for x in b.column(1):
+            for x in b.column(2):
                 s = shingler.set(x.as_py() or "")
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 signatures.append(shingler.signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], names=["id", "n", "digest", "signature"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], names=["id", "mark", "n", "digest", "signature"])
 
     return run
 
 
 def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """BANDS rows (key, id) of each class."""
+    """BANDS rows (key, node) of each class."""
     for b in batches:
         if not b.num_rows:
             continue
@@ -111,7 +112,7 @@ def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(ROWS):
             key = (key ^ (key >> np.uint64(31))) * _A + m[:, :, i] * _C
         key ^= key >> np.uint64(32)
-        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["key", "id"])
+        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["key", "node"])
 
 
 def least_matches(threshold: float, miss: float = MISS) -> list[tuple[int, int]]:
@@ -142,204 +143,218 @@ def survivors(left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarr
     return alive
 
 
-def could_be(n_a, n_b, percent: int):
-    """Sizes that allow the similarity at all."""
-    return (100 * F.least(n_a, n_b)) >= (percent * F.greatest(n_a, n_b))
-
-
 def pruned(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and signatures allow the similarity."""
-    sides = [classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}")) for x in ("a", "b")]
-    joined = pairs.join(sides[0], "a").join(sides[1], "b").where(could_be(F.col("n_a"), F.col("n_b"), percent)).select("a", "b", "s_a", "s_b")
+    """Of the pairs (a, b) those whose sizes and signatures allow the similarity, and their number of equal values."""
+    sides = [classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}")) for x in ("a", "b")]
+    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    joined = pairs.join(sides[0], "a").join(sides[1], "b").where(fits).select("a", "b", "s_a", "s_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 left, right = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u2").reshape(-1, HASHES) for i in (2, 3))
-                kept = pa.array(survivors(left, right, percent / 100))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(kept), b.column(1).take(kept)], names=["a", "b"])
-
-    return joined.mapInArrow(run, "a long, b long")
+                kept = survivors(left, right, percent / 100)
+                equal = pa.array((left[kept] == right[kept]).sum(axis=1).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(kept)) for i in (0, 1)), equal], names=["a", "b", "equal"])
 
+    return joined.mapInArrow(run, "a long, b long, equal int")
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
-    """The pairs (a, b) of which the full sets are similar enough. texts: (id, text), an id once.
 
-    The text of an a goes to as many tasks as its number of partners needs, each partner's text to one.
-    """
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    pairs = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    heads = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("id"))
-    asked = heads.unionByName(pairs.select("a", "part", F.lit(1).alias("role"), F.col("b").alias("id")))
-    rows = asked.join(texts, "id").select("a", "part", "role", "id", "text").repartition("a", "part").sortWithinPartitions("a", "part", "role")
+def in_blocks(members: DataFrame, held: Column, shown: Column) -> DataFrame:
+    """(main, role, node, label) rows dealt to blocks (main, i, j): those that are held (role 0) to one i and all j, those
+    that are shown to them (role 1) to one j and all i. held and shown: of each group the number of blocks."""
+    blocks = members.groupBy("main").agg(F.greatest(F.lit(1), held).cast("int").alias("n_i"), F.greatest(F.lit(1), shown).cast("int").alias("n_j"))
+    h = F.xxhash64("node")
+    i = F.when(F.col("role") == 0, F.array(F.pmod(h, "n_i").cast("int"))).otherwise(F.sequence(F.lit(0), F.col("n_i") - 1))
+    j = F.when(F.col("role") == 0, F.sequence(F.lit(0), F.col("n_j") - 1)).otherwise(F.array(F.pmod(h, "n_j").cast("int")))
+    rows = members.join(blocks, "main").withColumns({"i": i, "j": j})
+    return rows.withColumn("i", F.explode("i")).withColumn("j", F.explode("j")).drop("n_i", "n_j")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, head, s = Shingler(k), None, None
-        for batch in batches:
-            found_a, found_b = [], []
-            for a, role, other, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
-                mine = shingler.set(text.as_py() or "")
-                if role == 0:
-                    head, s = a, mine
-                elif head == a:
-                    both = len(np.intersect1d(s, mine, assume_unique=True))
-                    if 100 * both >= percent * (len(s) + len(mine) - both):
-                        found_a.append(a)
-                        found_b.append(other)
-            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+def sized(role: int, per: int, column: Column | None = None) -> Column:
+    """Blocks for so many rows of a role, or for the sum of a column of them."""
+    return F.ceil(F.sum(F.when(F.col("role") == role, F.lit(1) if column is None else column).otherwise(0)) / per)
 
 
-def met_in_blocks(keys: DataFrame, classes: DataFrame, percent: int, first: int | None = None) -> DataFrame:
-    """Pairs (a, b) of different components that share a key and survive, from (key, id, component) rows; with first,
-    of each class outside and each other component only so many of most equal signatures.
+def met(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Of the members (main, role, node, label) of each group those that survive with one of the other role and another
+    label."""
+    at = ["main", "i", "j"]
+    dealt = in_blocks(members, sized(0, BLOCK), sized(1, PASSING)).join(classes.select("node", "n", "signature"), "node")
+    rows = dealt.select(*at, "role", "node", "label", "n", "signature").repartition(*at).sortWithinPartitions(*at, "role")
 
-    In a key of several components all classes outside the most frequent one meet all members. Both sides are dealt to
-    blocks of at most about BLOCK classes, and a block meets a block in one task.
-    """
-    sizes = keys.groupBy("key", "component").agg(F.count("*").alias("n"))
-    most = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("members"), F.count("*").alias("parts"))
-    most = most.where("parts > 1 and members > 2").select("key", "members", F.col("most.component").alias("main"), F.ceil((F.col("members") - F.col("most.n")) / BLOCK).cast("int").alias("n_out"), F.ceil(F.col("members") / BLOCK).cast("int").alias("n_all"))
-    # keys of one main component share its cells
-    sides = most.groupBy("main").agg(F.ceil(F.max("members") / CELL).cast("int").alias("sides"))
-    rows = keys.join(most.join(sides, "main"), "key").withColumn("h", F.xxhash64("id"))
-    out = rows.where("component <> main").select("key", F.pmod("h", "n_out").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"), F.lit(0).alias("role"), "id", "component", "main", "sides")
-    members = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("i"), F.pmod("h", "n_all").cast("int").alias("j"), F.lit(1).alias("role"), "id", "component", "main", "sides")
-    at = ["key", "i", "j"]
-    dealt = out.unionByName(members).join(classes.select("id", "n", "signature"), "id").select(*at, "role", "id", "component", "n", "main", "sides", "signature").repartition(*at).sortWithinPartitions(*at, "role")
-
-    def out(cell: tuple[int, int], found: dict[tuple[int, int], list[tuple[int, int]]]) -> pa.RecordBatch:
-        both = np.array(sorted({(min(x, y), max(x, y)) for (x, _), others in found.items() for _, y in others}), np.int64).reshape(-1, 2)
-        if first is not None:
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-        main, sides = cell
-        side = ((both.astype(np.uint64) * _A) >> np.uint64(40)).astype(np.int64) % sides
-        side.sort(axis=1)  # a pair's order in a cell doesn't matter
-        place = side[:, 0] * sides + side[:, 1]
-        rows = [(main, int(p) // sides, int(p) % sides, both[place == p].tobytes()) for p in np.unique(place)]
-        columns = zip(*rows, strict=True) if rows else ((),) * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["main", "i", "j", "pairs"])
+    def out(main: int | None, held: list[tuple], seen: np.ndarray, others: list[tuple[int, int]]) -> pa.RecordBatch:
+        found = [(main, 0, held[k][0], held[k][1]) for k in np.flatnonzero(seen).tolist()] + [(main, 1, *x) for x in others]
+        columns = zip(*found, strict=True) if found else ((),) * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["main", "role", "node", "label"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, head, seen, cell = None, [], None, (0, 1)
-        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        block, held, ready, seen, others = [None], [], None, np.zeros(0, bool), []
         for b in batches:
-            columns = [b.column(i).to_pylist() for i in range(9)]
-            for *at_block, role, node, component, n, main, sides, signature in zip(*columns, b.column(9).to_pylist(), strict=True):
+            columns = [b.column(i).to_pylist() for i in range(7)]
+            for *at_block, role, node, label, n, signature in zip(*columns, b.column(7).to_pylist(), strict=True):
                 if at_block != block:
-                    yield out(cell, found)
-                    block, head, seen, found, cell = at_block, [], None, {}, (main, sides)
+                    yield out(block[0], held, seen, others)
+                    block, held, ready, seen, others = at_block, [], None, np.zeros(0, bool), []
                 mine = np.frombuffer(signature, "<u2")
                 if role == 0:
-                    head.append((node, component, n, mine))
+                    held.append((node, label, n, mine))
                     continue
-                if seen is None:
-                    seen = tuple(np.array(x) for x in zip(*head, strict=True))
-                others, comps, sizes, signatures = seen
-                fit = np.flatnonzero((comps != component) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
+                if ready is None:
+                    if not held:
+                        continue
+                    ready, seen = tuple(np.array(x) for x in zip(*held, strict=True)), np.zeros(len(held), bool)
+                _, labels, sizes, signatures = ready
+                fit = np.flatnonzero((labels != label) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
                 if len(fit):
                     fit = fit[survivors(signatures[fit], np.broadcast_to(mine, (len(fit), HASHES)), percent / 100)]
-                for i, equal in zip(fit.tolist(), (signatures[fit] == mine).sum(axis=1).tolist(), strict=True):
-                    best = found.setdefault((int(others[i]), component), [])
-                    best.append((equal, node))
-                    if first is not None and len(best) > 4 * first:
-                        best.sort(reverse=True)
-                        del best[first:]
-            if first is None:
-                yield out(cell, found)
-                found = {}
-            for best in found.values():
-                best.sort(reverse=True)
-                del best[first:]
-        yield out(cell, found)
-
-    if first is None:
-        return dealt.mapInArrow(run, "main long, i long, j long, pairs binary")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def verified_in_cells(packed: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
-    """The links (a, b) among packed pairs, from (main, i, j, pairs) rows. A cell holds each of its texts once."""
+                if len(fit):
+                    seen[fit] = True
+                    others.append((node, label))
+        yield out(block[0], held, seen, others)
+
+    return rows.mapInArrow(run, "main long, role int, node long, label long").distinct()
+
+
+class Block:
+    """Full sets by their shingles, to count what another set has in common with each."""
+
+    def __init__(self, held: list[tuple[int, int, np.ndarray]]):
+        self.nodes, labels = (np.array([h[k] for h in held], np.int64) for k in (0, 1))
+        self.sizes = np.array([len(h[2]) for h in held], np.int64)
+        every, owner = np.concatenate([h[2] for h in held]), np.repeat(np.arange(len(held), dtype=np.int32), self.sizes)
+        order = np.argsort(every, kind="stable")
+        self.owner = owner[order]
+        self.shingles, self.start = np.unique(every[order], return_index=True)
+        self.count = np.diff(np.append(self.start, len(every)))
+        #: a label's root; the roots of those held
+        self.up: dict[int, int] = {}
+        self.roots = labels
+
+    def common(self, s: np.ndarray, at_once: int = 1 << 21) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.shingles, s), len(self.shingles) - 1)
+        at = at[self.shingles[at] == s]
+        ends, total, k = np.cumsum(self.count[at]), np.zeros(len(self.nodes), np.int64), 0
+        while k < len(at):  # few postings at once
+            before = ends[k - 1] if k else 0
+            to = max(k + 1, int(np.searchsorted(ends, before + at_once, "right")))
+            part = self.count[at[k:to]]
+            places = np.repeat(self.start[at[k:to]] - (ends[k:to] - part - before), part) + np.arange(ends[to - 1] - before)
+            total += np.bincount(self.owner[places], minlength=len(total))
+            k = to
+        return total
+
+    def root(self, label: int) -> int:
+        while label in self.up:
+            label = self.up[label]
+        return label
+
+    def links(self, node: int, label: int, s: np.ndarray, percent: int) -> list[tuple[int, int]]:
+        """Of the links between node and those held one for each label that they join."""
+        both = self.common(s)
+        fine = (100 * both >= percent * (self.sizes + len(s) - both)) & (self.nodes != node)
+        mine, found = self.root(label), []
+        roots, at = np.unique(self.roots[fine], return_index=True)
+        for r, k in zip(roots.tolist(), np.flatnonzero(fine)[at].tolist(), strict=True):
+            if r != mine:
+                found.append((int(self.nodes[k]), node))
+                self.up[r] = mine
+                self.roots[self.roots == r] = mine
+        return found
+
+
+def linked(members: DataFrame, classes: DataFrame, source: DataFrame, percent: int, k: int) -> DataFrame:
+    """The links (a, b) by full sets between the two roles of each group of members (main, role, node, label), as many as
+    join all labels that links of a block join. source: (id, mark, text)."""
     at = ["main", "i", "j"]
-
-    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [np.unique(np.frombuffer(x, np.int64)) for x in b.column(3).to_pylist()]
-            repeat = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-            yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(repeat)) for i in range(3)), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int64))], names=[*at, "id"])
-
-    asked = packed.mapInArrow(nodes, "main long, i long, j long, id long").distinct()
-    held = asked.join(texts, "id").select(*at, F.lit(0).alias("role"), "id", "text", F.lit(None).cast("binary").alias("pairs"))
-    rows = held.unionByName(packed.select(*at, F.lit(1).alias("role"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), "pairs"))
-    rows = rows.select(*at, "role", "id", "pairs", "text").repartition(*at).sortWithinPartitions(*at, "role")
+    sizes = members.join(classes.select("node", "n", "id", "mark"), "node")
+    held, shown = F.greatest(sized(0, HELD, F.col("n")), sized(0, BLOCK)), sized(1, SHOWN, F.col("n"))
+    cell = [*at, "role", "node", "label"]
+    # one text of a node, where rows repeat
+    texts = in_blocks(sizes, held, shown).join(source, ["id", "mark"]).select(*cell, "text").dropDuplicates(cell)
+    rows = texts.repartition(*at).sortWithinPartitions(*at, "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, cell, sets, done, ready = Shingler(k), None, {}, set(), None
+        shingler, now, held, block = Shingler(k), None, [], None
         for b in batches:
             found: list[tuple[int, int]] = []
             columns = [b.column(i).to_pylist() for i in range(6)]
-            for *at_cell, role, node, pairs, text in zip(*columns, b.column(6), strict=True):
-                if at_cell != cell:
-                    cell, sets, done, ready = at_cell, {}, set(), None
+            for *at_block, role, node, label, text in zip(*columns, b.column(6), strict=True):
+                if at_block != now:
+                    now, held, block = at_block, [], None
                 if role == 0:
-                    sets[node] = shingler.set(text.as_py() or "")
+                    held.append((node, label, shingler.set(text.as_py() or "")))
                     continue
-                if ready is None:  # shingles as places in the cell's own list
-                    all_sets = np.unique(np.concatenate(list(sets.values())))
-                    ready = {x: np.searchsorted(all_sets, y) for x, y in sets.items()}
-                    mark, marked = np.zeros(len(all_sets), bool), None
-                for x, y in np.frombuffer(pairs, np.int64).reshape(-1, 2).tolist():
-                    if (x, y) in done:
+                if block is None:
+                    if not held:
                         continue
-                    done.add((x, y))
-                    if marked != x:
-                        mark[:] = False
-                        mark[ready[x]] = True
-                        marked = x
-                    both = int(np.count_nonzero(mark[ready[y]]))
-                    if 100 * both >= percent * (len(ready[x]) + len(ready[y]) - both):
-                        found.append((x, y))
+                    block = Block(held)
+                if (block.roots != block.root(label)).any():
+                    found += block.links(node, label, shingler.set(text.as_py() or ""), percent)
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, more: bool = False) -> DataFrame:
     """Per row of docs: the id, n_shingles, component_id (the smallest id that links reach) and kept (it is that one).
 
     Two texts are linked if 100 * |intersection| >= percent * |union| of their sets of k-word shingles. A text of fewer
     words has its whole sequence as one shingle; an empty or null text has none and is linked with nothing: its
     component is its own id. Rows that repeat an id are rows of their own with that id. A null id names no component:
     such a row gets that of the texts it is linked with, if they have one, and isn't kept. An empty table gives an
-    empty one. Other columns aren't read. Ids are longs.
+    empty one. Other columns aren't read. Ids are longs. more adds mark, the xxhash64 of the text, and group_id, a
+    number of the linked group that no other shares, null without shingles.
     """
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows = written(source.mapInArrow(signed(k), "id long, n long, digest binary, signature binary"), "signatures")
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).select("id", F.xxhash64("text").alias("mark"), "text")
+    scratch = Scratch(docs.sparkSession, "near")
+    rows = scratch.written(source.mapInArrow(signed(k), "id long, mark long, n long, digest binary, signature binary"), "signatures")
     named = rows.where("n > 0 and id is not null")
-    firsts = named.groupBy("digest").agg(F.min("id").alias("id"))
-    classes = written(named.join(firsts, ["id", "digest"]).select("id", "digest", "n", "signature").dropDuplicates(["id", "digest"]), "classes")
-    keys = classes.select("id", "signature").mapInArrow(banded, "key long, id long")
+    # sizes and signatures follow from the digest
+    firsts = named.groupBy("digest").agg(F.min(F.struct("id", "mark")).alias("first"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+    classes = scratch.written(firsts.select(F.monotonically_increasing_id().alias("node"), "first.id", "first.mark", "n", "digest", "signature"), "classes")
+
+    keys = classes.select("node", "signature").mapInArrow(banded, "key long, node long")
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    keys = written(keys.join(shared, "key"), "bands")
-    weights = keys.groupBy("id").agg(F.sum("size").alias("weight"))
-    weighed = keys.join(weights, "id")
-    leaders = weighed.groupBy("key").agg(F.max(F.struct(F.col("weight"), (-F.col("id")).alias("minus"))).alias("best")).select("key", (-F.col("best.minus")).alias("a"))
-    pairs = keys.join(leaders, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
-    # ids may repeat with other texts: the class's own text stands for it
-    texts = source.where("id is not null").join(classes.select("id").distinct(), "id", "left_semi")
-    links = written(verified(pruned(pairs, classes, percent), texts, percent, k), "links")
+    keys = scratch.written(keys.join(shared, "key"), "bands")
+    weights = keys.groupBy("node").agg(F.sum("size").alias("weight"))
+    leaders = keys.join(weights, "node").groupBy("key").agg(F.max(F.struct(F.col("weight"), (-F.col("node")).alias("minus"))).alias("best")).select("key", (-F.col("best.minus")).alias("a"))
+    pairs = keys.join(leaders, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    survived = scratch.written(pruned(pairs, classes, percent), "survivors")
+
+    best = survived.groupBy("b").agg(F.max(F.struct("equal", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+    led = best.select(F.col("a").alias("main"), F.lit(0).alias("role"), F.col("a").alias("node")).distinct().unionByName(best.select(F.col("a").alias("main"), F.lit(1).alias("role"), F.col("b").alias("node")))
+    first_links = scratch.written(linked(led.withColumn("label", F.col("node")), classes, source, percent, k), "trees")
+    # leaders weigh more than those they lead: the links are trees, and each step doubles the height they are climbed
+    labels = first_links.select(F.col("b").alias("node"), F.col("a").alias("label"))
+    for _ in range(2):
+        labels = labels.join(labels.toDF("label", "above"), "label", "left").select("node", F.coalesce("above", "label").alias("label"))
+    labels = scratch.written(labels, "labels")
+
+    def labelled(df: DataFrame, node: str, label: str) -> DataFrame:
+        return df.join(labels.toDF(node, "__label"), node, "left").withColumn(label, F.coalesce("__label", node)).drop("__label")
+
+    member = labelled(keys.select("key", "node"), "node", "label")
+    most = member.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("members"), F.count("*").alias("parts"))
+    # leaders have met all others: two classes have met
+    member = member.join(most.where("parts > 1 and members > 2").select("key", F.col("most.label").alias("main")), "key").select("main", "node", "label").distinct()
+    roles = F.when(F.col("label") == F.col("main"), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
+    member = scratch.written(member.select("main", F.explode(roles).alias("role"), "node", "label"), "groups")
+    # other leaders that survived
+    left = labelled(labelled(survived.select("a", "b"), "a", "main"), "b", "label").where("main <> label").select("main", "a", "b", "label")
+    left = left.select("main", F.lit(0).alias("role"), F.col("b").alias("node"), "label").unionByName(left.select("main", F.lit(1).alias("role"), F.col("a").alias("node"), F.col("main").alias("label")))
+    apart = scratch.written(met(member, classes, percent).unionByName(left).distinct(), "apart")
+    links = scratch.written(first_links.unionByName(linked(apart, classes, source, percent, k)), "links")
     found = components(links)
-    for first in (FIRST, None):
-        member = keys.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        more = written(met_in_blocks(member, classes, percent, first), "survivors")
-        check = verified if first is not None else verified_in_cells
-        links = written(links.unionByName(check(more, texts, percent, k)), "links")
-        found = components(links)
-    named_class = classes.select("digest", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    result = rows.select("id", "n", "digest").join(named_class, "digest", "left")
-    component = F.coalesce("component", "id")
-    return result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    scratch.cleared("bands", "survivors", "trees", "labels", "groups", "apart", "links")
+
+    least = found.join(classes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("component_id"))
+    found = found.join(least, "component").select("node", "component", "component_id")
+    named_class = classes.select("digest", "node", "id").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("group_id"), F.coalesce("component_id", "id").alias("component_id"))
+    result = rows.select("id", "mark", "n", "digest").join(named_class, "digest", "left")
+    component = F.coalesce("component_id", "id")
+    columns = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept")]
+    return result.select(*columns, *[F.col(c) for c in ("mark", "group_id") if more])
 
 
 #: near_duplicates(k=2) over whole tables in DuckDB.

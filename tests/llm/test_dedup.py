@@ -70,6 +70,45 @@ def test_near_duplicates_of_a_star(spark):
     assert got == near_slow(rows, 2, 80)
 
 
+def test_near_duplicates_in_many_blocks(spark, monkeypatch):
+    """A group that no leader spans, dealt to blocks of a few classes."""
+    for name, value in (("BLOCK", 5), ("PASSING", 9), ("HELD", 700), ("SHOWN", 900)):
+        monkeypatch.setattr(near, name, value)
+    rng = random.Random(5)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for doc in range(90):  # a chain: each text is like its neighbours only
+        words = list(base)
+        for k in range(doc % 45, doc % 45 + 24):
+            words[k] = f"y{k}"
+        if doc >= 45:
+            words[rng.randrange(120)] = f"z{doc}"
+        rows.append((doc, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for k in (2, 5):
+        got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in near.near_duplicates(docs, k=k).collect())
+        assert got == near_slow(rows, k, 80)
+
+
+def test_near_duplicates_of_one_id_with_two_texts(spark):
+    rng = random.Random(3)
+    a, b = ([f"{x}{rng.randrange(1000)}" for _ in range(60)] for x in "ab")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a, "end"])), (3, " ".join([*b, "end"])), (3, " ".join([*b, "end"])), (4, "other words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near.near_duplicates(docs, k=2, more=True).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == near_slow(rows, 2, 80)
+    assert len({r.group_id for r in got}) == 3  # the two texts of id 1 lead two groups
+
+
+def test_blocks_count_what_sets_share():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint64)) for _ in range(30)]
+    block = near.Block([(k, k, s) for k, s in enumerate(sets)])
+    for s in sets:
+        want = [len(np.intersect1d(s, x)) for x in sets]
+        assert block.common(s).tolist() == want and block.common(s, at_once=7).tolist() == want
+
+
 def test_near_duplicates_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near.near_duplicates(empty).count() == 0
