@@ -156,17 +156,26 @@ class Scorer:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> Model:
-    """Trains on at most max_rows rows of labelled_sample(), whole texts: tasks send each one's features and shares, 8
-    bytes for each distinct feature."""
+    """Trains on at most max_rows rows of labelled_sample(), whole texts, and returns the folded weights, 4 * BUCKETS bytes.
+
+    Tasks make each row's features and shares, 8 bytes for each distinct feature; one executor task gathers those of the
+    sample and trains. Without rows the model has no weights: every score is a half.
+    """
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [bag(x.as_py().split()) for x in b.column(0)]
             yield pa.RecordBatch.from_arrays([*(pa.array([x[k].tobytes() for x in found], pa.binary()) for k in (0, 1)), b.column(1)], names=["features", "shares", "label"])
 
-    rows = labelled_sample(docs, labels, label, max_rows).mapInArrow(bags, "features binary, shares binary, label int").collect()
-    rows = sorted((bytes(r.features), bytes(r.shares), int(r.label > 0)) for r in rows)
-    return descended([(np.frombuffer(f, np.int32), np.frombuffer(s, np.float32), label) for f, s, label in rows])
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        if rows:
+            model = descended([(np.frombuffer(f, np.int32), np.frombuffer(s, np.float32), int(label > 0)) for f, s, label in rows])
+            yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], names=["weights", "bias"])
+
+    rows = labelled_sample(docs, labels, label, max_rows).mapInArrow(bags, "features binary, shares binary, label int")
+    found = rows.repartition(1).mapInArrow(train, "weights binary, bias double").first()
+    return Model(np.frombuffer(bytes(found.weights), np.float32), found.bias) if found else Model(np.zeros(BUCKETS, np.float32), 0.0)
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
