@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, written
+from .common import Scratch, held_out
 from .labelled import labelled_sample
 from .token_counts import by_bytes
 
-#: Rows of the sample; units that the fitted model keeps; rows with a word under which it isn't judged by itself.
-MAX_ROWS, MAX_UNITS, LEAST = 12_000, 200_000, 6
+#: Rows of the sample; rows with a word under which it isn't judged by itself.
+MAX_ROWS, LEAST = 12_000, 6
 PREFIXES = (7, 6, 5, 4)
 #: Weight of the informative prior in tokens, and of the flat one; standard errors and log-odds taken off.
 PRIOR, FLAT, MARGIN, DRIFT = 1000.0, 0.5, 2.58, 0.5
@@ -62,7 +62,11 @@ def log_odds(toxic: int, clean: int, all_toxic: int, all_clean: int) -> float:
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (first, end, score), in order: Ruzzo and Tompa's scan over runs of equal sign."""
+    """All maximal-scoring segments (first, end, score), in order: Ruzzo and Tompa's scan over runs of equal sign.
+
+    Each segment kept has a link to the last one before it of a smaller sum before its start. What a search passes by
+    is never looked at again, so the scan is linear.
+    """
     if not len(scores) or not (scores > 0).any():
         return []
     sign = scores > 0
@@ -70,23 +74,22 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     starts = np.concatenate([[0], edges])
     ends = np.concatenate([edges, [len(scores)]])
     totals = np.add.reduceat(scores, starts)
-    total, kept = 0.0, []  # kept: [first, end, sum before, sum at its end]
+    total, kept = 0.0, []  # kept: (first, end, sum before, sum at its end, link)
     for first, end, run in zip(starts.tolist(), ends.tolist(), totals.tolist(), strict=True):
         before, total = total, total + run
         if run <= 0:
             continue
-        now = [first, end, before, total]
         k = len(kept) - 1
         while True:
-            while k >= 0 and kept[k][2] >= now[2]:
-                k -= 1
-            if k < 0 or kept[k][3] >= now[3]:
-                kept.append(now)
+            while k >= 0 and kept[k][2] >= before:
+                k = kept[k][4]
+            if k < 0 or kept[k][3] >= total:
+                kept.append((first, end, before, total, k))
                 break
-            now = [kept[k][0], now[1], kept[k][2], now[3]]
+            first, _, before, _, link = kept[k]
             del kept[k:]
-            k -= 1
-    return [(a, b, after - before) for a, b, before, after in kept]
+            k = link
+    return [(a, b, after - before) for a, b, before, after, _ in kept]
 
 
 @dataclass
@@ -171,34 +174,39 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
-    """Fits on at most max_rows rows of labelled_sample(). Of the units, the MAX_UNITS most frequent that LEAST rows
-    hold come to the driver; the rows themselves stay with the executors."""
-    sample = written(labelled_sample(docs, labels, label, max_rows), "toxic-sample").coalesce(16)
+    """Fits on at most max_rows rows of labelled_sample(). The units that LEAST of them hold and two numbers a row come to
+    the driver; the rows themselves and their segments stay with the executors."""
+    scratch = Scratch(docs.sparkSession, "toxic")
+    sample = scratch.written(labelled_sample(docs, labels, label, max_rows), "sample").coalesce(16)
     counts = sample.mapInArrow(counted, "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    often = counts.where(F.col("toxic") + F.col("clean") >= LEAST).orderBy(F.desc(F.col("toxic") + F.col("clean")), "unit").limit(MAX_UNITS).collect()
-    words = [r for r in often if not r.unit.endswith("*")]
-    all_toxic, all_clean = max(1, sum(r.toxic for r in words)), max(1, sum(r.clean for r in words))
-    model = Model({r.unit: log_odds(r.toxic, r.clean, all_toxic, all_clean) for r in often})
-    clean = [(model.scores[r.unit], r.clean) for r in words if r.clean]
-    if clean:
-        model.rate = solved_rate(*map(np.array, zip(*clean, strict=True)))
+    often = counts.where(F.col("toxic") + F.col("clean") >= LEAST).toArrow().to_pydict()
+    often = sorted(zip(often["unit"], often["toxic"], often["clean"], strict=True))
+    words = [r for r in often if not r[0].endswith("*")]
+    all_toxic, all_clean = max(1, sum(r[1] for r in words)), max(1, sum(r[2] for r in words))
+    model = Model({unit: log_odds(toxic, clean, all_toxic, all_clean) for unit, toxic, clean in often})
+    quiet = [(model.scores[unit], clean) for unit, _, clean in words if clean]
+    if quiet:
+        model.rate = solved_rate(*map(np.array, zip(*quiet, strict=True)))
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for b in batches:
             found = [scorer.scan(x.as_py()) for x in b.column(0)]
-            best = [max((s for _, _, s in f), default=0.0) for _, f in found]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array(best, pa.float64()), pa.array([[s for _, _, s in f] for _, f in found], pa.list_(pa.float64())), b.column(1)], names=["n", "best", "all", "label"])
-
-    rows = sample.mapInArrow(scanned, "n long, best double, all array<double>, label int").collect()
-    quiet = [(r.n, r.best) for r in rows if not r.label and r.n]
-    if quiet:
-        model.k = len(quiet) / sum(n * math.exp(-model.rate * s) for n, s in quiet)
-    scorer = Scorer(model)
-    evidence = [math.log1p(sum(max(0.0, scorer.excess(r.n, s)) for s in r.all)) for r in rows]
-    target = np.array([float(r.label > 0) for r in rows])
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([[s for _, _, s in f] for _, f in found], pa.list_(pa.float64())), b.column(1)], names=["n", "all", "label"])
+
+    rows = scratch.written(sample.mapInArrow(scanned, "n long, all array<double>, label int"), "segments")
+    best = F.coalesce(F.array_max("all"), F.lit(0.0))
+    law = rows.where("label <= 0 and n > 0").agg(F.count("*").alias("rows"), F.sum(F.col("n") * F.exp(-model.rate * best)).alias("expected")).first()
+    if law.rows:
+        model.k = law.rows / law.expected
+    # as Scorer.excess() has it
+    floor = F.log(F.greatest(model.k * F.col("n"), F.lit(1e-9)))
+    evidence = F.aggregate("all", F.lit(0.0), lambda so_far, s: so_far + F.greatest(F.lit(0.0), model.rate * s - floor))
+    judged = rows.select(F.log1p(evidence).alias("evidence"), (F.col("label") > 0).cast("double").alias("target")).toArrow().to_pydict()
+    scratch.cleared("sample", "segments")
+    evidence, target = np.array(judged["evidence"]), np.array(judged["target"])
     if 0 < target.sum() < len(target):
-        model.bias, model.slope = logistic(np.array(evidence), target)
+        model.bias, model.slope = logistic(evidence, target)
     return model
 
 

@@ -35,6 +35,35 @@ def test_maximal_segments(seed):
     assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
 
 
+def test_the_scan_is_linear():
+    """Text that drifts downwards: every run's search would go back to the start."""
+    import time
+
+    scores = np.tile([1.0, -1.5], 60_000)
+    began = time.perf_counter()
+    assert toxicity.segments(scores) == [(2 * k, 2 * k + 1, 1.0) for k in range(60_000)]
+    assert time.perf_counter() - began < 2
+
+
+def test_toxicity_scores_by_brute_force():
+    """Evidence and score of texts, from the definition of segments and the law of their maxima."""
+    model = toxicity.Model({"vile": 1.5, "foul": 0.8, "kind": -0.6, "vile*": 0.9}, rate=0.9, k=0.2, bias=-1.0, slope=1.3)
+    value = {"vile": 1.5, "foul": 0.8, "kind": -0.6, "vilest": 0.9, "table": toxicity.UNKNOWN}
+    rng, scorer = random.Random(6), toxicity.Scorer(model)
+    for n in [0, 1, 2, 8, 20, 24]:
+        words = [rng.choice(list(value)) for _ in range(n)]
+        met, scores = {}, []
+        for w in words:
+            if value[w] > 0:
+                met[w] = met.get(w, 0) + 1
+            scores.append(value[w] / met.get(w, 1) if value[w] > 0 else value[w])
+        excess = [0.9 * s - math.log(0.2 * n) for _, _, s in segments_slow(scores)]
+        want = sum(x for x in excess if x > 0)
+        evidence, kept = scorer.evidence(" ".join(words))
+        assert evidence == pytest.approx(want) and len(kept) == sum(x > 0 for x in excess)
+        assert scorer.score(evidence) == pytest.approx(1 / (1 + math.exp(1.0 - 1.3 * math.log1p(want))))
+
+
 def test_rate_solves_its_equation():
     s, p = np.array([-1.0, 2.0]), np.array([0.9, 0.1])
     rate = toxicity.solved_rate(s, p)
@@ -75,6 +104,19 @@ def test_quality_scores_whole_texts():
     assert good > 0.5 > mixed > bad and s.scores(["good prose"])[0] == pytest.approx(good)
 
 
+def test_quality_scores_by_brute_force(spark):
+    """The mean over words and marks of the mean weight of each word's features, word by word, over a whole table."""
+    rng = np.random.default_rng(4)
+    model = quality.Model(rng.normal(0, 3, quality.BUCKETS).astype(np.float32), -0.2)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id: r.score for r in quality.scored(docs, model).collect()}
+    for r in docs.collect():
+        words = (r.text or "").split()
+        each = {w: float(np.mean(model.weights[quality.features([w])[1]].astype(float))) for w in set(words)}
+        parts = [each[w] for w in words] + [float(model.weights[quality.REPEATED])] * sum(a == b for a, b in zip(words, words[1:]))
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-max(-60, min(60, model.bias + (sum(parts) / len(parts) if parts else 0))))), abs=1e-6)
+
+
 def test_quality_learns_from_whole_texts(spark):
     """Long texts that differ only between sixteen evenly spread runs of sixteen words."""
     rng = random.Random(8)
