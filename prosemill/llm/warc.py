@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import shared_path, written
 
+#: Tasks that read archives, if there are so many archives.
+READERS = 10_000
 #: Bytes of a chunk and of an archive before the next one begins; payload bytes from which equal ones are revisits.
 CHUNK, ARCHIVE_BYTES, LEAST_REVISIT = 1 << 20, 256 << 20, 100
 DATE = "1970-01-01T00:00:00Z"
@@ -179,7 +181,9 @@ def chunk_table(manifest: DataFrame, with_data: bool = True, size: int = CHUNK)
         if rows:
             yield batch(rows)
 
-    paths = manifest.select("path").repartition(F.col("path"))
+    # a number of its own: by their bytes alone all paths would go to one task
+    readers = max(1, min(READERS, manifest.count()))
+    paths = manifest.select("path").repartition(readers, "path")
     return paths.mapInArrow(read, "record_id long, chunk_no long, data binary, n_bytes long, digest string, is_last boolean, record_type string, refers_to long")
 
 

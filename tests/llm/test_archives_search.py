@@ -33,6 +33,14 @@ def test_round_trip(spark, tmp_path):
     assert warc.round_trip(pages.limit(0), str(tmp_path / "none")).count() == 0
 
 
+def test_many_archives_have_many_readers(spark, tmp_path):
+    pages = spark.range(400).selectExpr("id as page_id", "'u' as url", "repeat(cast(id as string), 40) as html").repartition(16)
+    manifest = warc.archived(pages, str(tmp_path / "warc"))
+    table = warc.chunk_table(manifest)
+    assert manifest.count() == 16 and table.where("is_last").count() == 400
+    assert table.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
 def test_damage_is_found():
     digest = hashlib.sha256(b"payload").hexdigest()
     head, http = warc.head(1, "http://a", 7, digest, None, warc.DATE)
