@@ -51,6 +51,7 @@ class Encoder:
 
             self.piece = sentencepiece.SentencePieceProcessor(model_file=path)
             self.slow = lambda text: self.piece.encode(text, num_threads=1)
+            self.many = lambda texts: self.piece.encode(texts, num_threads=1)
             return
         from tokenizers import Tokenizer
 
@@ -58,8 +59,11 @@ class Encoder:
         self.model.no_truncation()
         self.model.no_padding()
         self.slow = lambda text: self.model.encode(text, add_special_tokens=False).ids
+        self.many = lambda texts: self.model.encode_batch_fast(texts, add_special_tokens=False)
         added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        # special strings that white space is no part of are never cut where white space begins
+        self.cut_special = all(not re.search(r"\s", t.content) and not t.lstrip and not t.rstrip for t in self.model.get_added_tokens_decoder().values())
         twin = path.removesuffix(".json") + ".tiktoken"
         if path.endswith(".json") and os.path.exists(twin):
             self.fast = self._twin(twin, set(added))
@@ -76,20 +80,33 @@ class Encoder:
             return None
         return tiktoken.Encoding("twin", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def ids(self, text: str) -> np.ndarray:
+    def parts(self, text: str) -> list[str]:
+        """The pieces of a text that are encoded each by itself. A .model normalises across words: its texts stay whole."""
         if not text:
-            return np.empty(0, np.uint32)
-        if self.path.endswith(".model"):  # normalises across words: never cut
-            return np.asarray(self.slow(text), np.uint32)
-        if self.special is not None and self.special.search(text):
-            return np.asarray(self.slow(text), np.uint32)
-        parts = [self._piece(p) for p in pieces(text)]
-        return parts[0] if len(parts) == 1 else np.concatenate(parts)
-
-    def _piece(self, text: str) -> np.ndarray:
-        if self.fast is None or _UNUSUAL.search(text):
-            return np.asarray(self.slow(text), np.uint32)
-        return np.asarray(self.fast.encode_ordinary(text), np.uint32)
+            return []
+        if self.path.endswith(".model") or not self.cut_special and self.special is not None and self.special.search(text):
+            return [text]
+        return list(pieces(text))
+
+    def quick(self, part: str) -> bool:
+        return self.fast is not None and not _UNUSUAL.search(part) and not (self.special is not None and self.special.search(part))
+
+    def ids(self, text: str) -> np.ndarray:
+        found = [np.asarray(self.fast.encode_ordinary(p) if self.quick(p) else self.slow(p), np.uint32) for p in self.parts(text)]
+        return found[0] if len(found) == 1 else np.concatenate(found) if found else np.empty(0, np.uint32)
+
+    def lengths(self, texts: list[str]) -> np.ndarray:
+        """The number of ids of each text, of all their pieces in one batch call to each library."""
+        parts = [self.parts(t) for t in texts]
+        owner = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
+        every = [p for ps in parts for p in ps]
+        quick = np.fromiter(map(self.quick, every), bool, len(every))
+        count = np.zeros(len(every), np.int64)
+        if quick.any():
+            count[quick] = list(map(len, self.fast.encode_ordinary_batch([p for p, q in zip(every, quick.tolist(), strict=True) if q], num_threads=1)))
+        if not quick.all():
+            count[~quick] = list(map(len, self.many([p for p, q in zip(every, quick.tolist(), strict=True) if not q])))
+        return np.bincount(owner, count, len(texts)).astype(np.int64)
 
 
 @lru_cache(1)

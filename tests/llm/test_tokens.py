@@ -49,11 +49,28 @@ def test_counts(spark):
     assert token_counts(rows(spark)).count() == 6 and token_counts(rows(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_counts_of_a_whole_table(spark, name):
+    """Against the library itself, whole texts one by one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    e = encoder(name)
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts(docs, vocabulary=name).collect()}
+    want = {r.doc_id: (len((r.text or "").encode()), n := len(e.slow(r.text or "")), n > 1024) for r in docs.collect()}
+    assert got == want
+
+
+def test_batch_lengths_with_special_strings():
+    e = encoder("byte_bpe_50k.json")
+    long = " ".join(f"w{k} <|endoftext|>" if k % 900 == 7 else f"w{k}'s\n" for k in range(60_000))
+    assert len(e.parts(long)) > 1
+    assert e.lengths([*ODD, long]).tolist() == [len(e.slow(t)) for t in [*ODD, long]] and e.lengths([]).tolist() == []
+
+
 def test_batches_are_balanced():
     import pyarrow as pa
 
-    got = list(by_bytes(pa.array(["a" * 10, None, "b" * 30, "c"]), 20))
-    assert got == [["a" * 10, ""], ["b" * 30], ["c"]]
+    got = list(by_bytes(pa.array(["a" * 10, None, "b" * 30, "c", "é" * 10]), 20))
+    assert got == [["a" * 10, ""], ["b" * 30], ["c"], ["é" * 10]] and list(by_bytes(pa.array([], pa.string()))) == []
 
 
 @pytest.mark.parametrize("seed", range(20))
