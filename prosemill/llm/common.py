@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,11 +70,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def among(rows: DataFrame, ids: DataFrame, id_col: str, kept: bool = True, most: int = 2_000_000) -> DataFrame:
-    """The rows whose id is among ids, or with kept=False the others; null ids are among none.
+def among(rows: DataFrame, keys: DataFrame, columns: list[Column], kept: bool = True, most: int = 8 << 20) -> DataFrame:
+    """The rows whose columns are among keys, or with kept=False the others. keys: as many longs a row; null equals null.
 
-    Up to most ids are broadcast, which spares the rows a shuffle; beyond it both sides are shuffled.
+    Keys of up to most bytes are broadcast, which spares the rows a shuffle; beyond it both sides are shuffled.
     """
-    ids = written(ids.select(F.col(ids.columns[0]).cast("long").alias("__id")).where("__id is not null").distinct(), "ids")
-    side = F.broadcast(ids) if ids.count() <= most else ids
-    return rows.join(side, F.col(f"`{id_col}`").cast("long") == side["__id"], "left_semi" if kept else "left_anti")
+    keys = written(keys.select([F.col(c).cast("long").alias(f"__key{k}") for k, c in enumerate(keys.columns)]).distinct(), "keys")
+    side = F.broadcast(keys) if keys.count() * 8 * len(columns) <= most else keys
+    same = reduce(Column.__and__, [c.eqNullSafe(side[f"__key{k}"]) for k, c in enumerate(columns)])
+    return rows.join(side, same, "left_semi" if kept else "left_anti")

@@ -165,6 +165,56 @@ def test_pipeline_stages(spark):
     assert kept.select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
 
 
+def near_groups(docs, k=5):
+    """Ids that stay, by comparing all pairs of sets of k-word shingles."""
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+
+    sets, stay = [shingles(t) for _, t in docs], []
+    up = list(range(len(docs)))
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(docs)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                up[root(i)] = root(j)
+    least = {}
+    for i, (doc, _) in enumerate(docs):
+        if sets[i]:
+            least[root(i)] = min(least.get(root(i), doc), doc)
+        else:
+            stay.append(doc)
+    return sorted([*stay, *least.values()])
+
+
+def test_near_dedup_stage_by_brute_force(spark):
+    rng = random.Random(12)
+    base = [[f"w{rng.randrange(300)}" for _ in range(80)] for _ in range(6)]
+    rows = []
+    for doc in range(60):
+        words = list(rng.choice(base))
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(80)] = "new"
+        rows.append((doc, " ".join(words)))
+    rows += [rows[0], rows[0], (0, rows[0][1] + " more"), (70, None), (71, " "), (70, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 5) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect())
+    assert got == near_groups(rows)
+
+
+def test_substring_stage_drops_white_space(spark):
+    passage = "a passage of more than fifty bytes that both documents hold in full"
+    rows = [(1, passage), (2, f"{passage}\n\t\n"), (3, f"{passage} rest"), (4, None), (5, " \n")]
+    docs = spark.createDataFrame([(*r, "en", "s", 5) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.substring_dedup(spark, docs, SF).collect()}
+    assert got == {1: (passage, 5), 3: (" rest", 5), 4: (None, 5), 5: (" \n", 5)}
+
+
 def test_registered():
     import __spark_entry__ as entry
 
