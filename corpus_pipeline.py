@@ -28,10 +28,24 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by five-word shingles at a similarity of 0.8."""
+    """One document, that of the smallest id, of each group linked by five-word shingles at a similarity of 0.8.
+
+    Of rows that repeat an id and a text, or an id within a group, one stays. A row without an id goes if its text is
+    linked with one that has an id. Documents without words are in no group and stay.
+    """
     ship(spark)
-    dropped = near_duplicates(docs, k=5, percent=80).where("not kept and doc_id is not null")
-    return among(docs, dropped.select("doc_id"), "doc_id", kept=False)
+    found = written(near_duplicates(docs, k=5, percent=80, more=True), "near")
+    grouped = found.where("kept and group_id is not null").groupBy("group_id", "doc_id", "mark").agg(F.count("*").alias("n"))
+    first = grouped.groupBy("group_id").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count("*").alias("marks"))
+    others = grouped.join(first.where("marks > 1"), "group_id").where("mark <> first.mark").select("doc_id", "mark")
+    dropped = found.where("not kept and component_id is not null").select("doc_id", "mark").unionByName(others)
+    repeated = grouped.where("n > 1").select("doc_id", "mark")
+    at = [F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))]
+    left = among(docs, dropped, at, kept=False)
+    if repeated.isEmpty():
+        return left
+    once = among(left, repeated, at).withColumn("__mark", at[1]).dropDuplicates(["doc_id", "__mark"]).drop("__mark")
+    return among(left, repeated, at, kept=False).unionByName(once)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,15 +58,15 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # an untouched text stays as it is, null too
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    left = cut.where("n_removed = 0 or trim(kept_text) <> ''").withColumns({"text": text, "n_chars": n_chars})
+    left = cut.where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"\S")).withColumns({"text": text, "n_chars": n_chars})
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark; a null id goes with any other whose text holds one."""
     ship(spark)
     hits = contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return among(docs, hits.select("doc_id"), "doc_id", kept=False)
+    return among(docs, hits.select("doc_id"), [F.col("doc_id").cast("long")], kept=False)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
