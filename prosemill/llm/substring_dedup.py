@@ -3,18 +3,20 @@
 A byte goes if it is covered by a string of LENGTH bytes that also starts in a document with a smaller id.
 
 1. Anchors: of the grams (GRAM bytes) in a window of LENGTH bytes the one of least hash is its anchor. Equal windows
-   have equal anchors at equal places, so windows can be dealt out by their anchors. The windows next to each other
-   that share an anchor make a segment.
-2. Segments meet by anchor, as hashes of 64 bits only. An anchor of one document can't repeat. Of equal segments the smallest
-   document's stands for all; the others are covered whole. A segment that stands alone though its anchor doesn't is
-   undecided.
-3. The bytes of undecided segments are dealt to shards by anchor. Each shard of at most SHARD bytes gets a suffix
-   array by Larsson and Sadakane's refinement, which sorts groups not yet sorted by the ranks h further on; Kasai's
-   common prefixes show the runs of equal windows, and each run's smallest document. Shards of one
-   bucket are merged by binary search in each other's sorted windows.
-4. The covered spans of a document are joined and cut out.
-
-Work and traffic grow with the input; shards and buckets have a bounded size, their numbers grow.
+   have equal anchors at equal places. The windows next to each other that share an anchor make a segment.
+2. Routing: segments meet by anchor, as hashes only, which decide where bytes go. An anchor of one document can't
+   repeat. Of segments with equal hashes the smallest document's is the owner; the others claim to repeat it. A segment
+   that stands alone though its anchor doesn't may share windows with the others of its anchor.
+3. Bytes: the runs of segments that claim one owner go to that owner's runs, those that stand alone to their anchor.
+   What is too much for one block is dealt to parts that meet in pairs, so blocks are of bounded size.
+4. Suffix arrays decide what is covered, of all bytes: each shard of at most SHARD bytes gets one by Larsson and
+   Sadakane's refinement, which sorts groups not yet sorted by the ranks h further on; Kasai's common prefixes, carried
+   along the text, show the runs of equal windows, and each run's smallest document. Shards of one block are merged by
+   binary search in each other's sorted windows.
+5. The covered spans of a document are joined and cut out.
+
+Work and traffic grow with the input, and as the square of the parts of an anchor's segments only where these fill
+several blocks.
 """
 
 from __future__ import annotations
@@ -27,16 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch
 
 LENGTH, GRAM = 50, 24
 #: Grams of a window; positions hashed at once; bytes of a batch of anchors; text for each bucket and each group.
-SPAN, CHUNK, BATCH, BUCKET_BYTES, GROUP_BYTES = LENGTH - GRAM + 1, 1 << 15, 8 << 20, 8 << 20, 32 << 20
+SPAN, CHUNK, BATCH, BUCKET_BYTES, GROUP_BYTES = LENGTH - GRAM + 1, 1 << 15, 8 << 20, 4 << 20, 4 << 20
 #: Bytes of a shard: three ranks fit in one 63-bit key.
 SHARD_BITS = 21
 SHARD = (1 << SHARD_BITS) - 64
-#: Documents with cuts whose ids are broadcast; beyond it texts and ids are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Bytes of a part, of which two make a block; of a row of a run, which overlap by a window.
+PART, PIECE = 4 << 20, 1 << 18
+#: Bytes of rows for each partition.
+PARTITION = 8 << 20
+#: Rows of bytes that stand alone, claim an owner's, or are an owner's.
+ALONE, CLAIM, OWNER = 0, 1, 2
 _B = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LETTERS = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -161,7 +167,8 @@ def grouped(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[i
 
 
 def judged(groups: int):
-    """Rows (group, ids, keys, undecided) for segments that are covered whole or undecided."""
+    """Rows (group, ids, keys, owners, flags) for the segments whose bytes are wanted. flags: 1 for those that stand alone,
+    2 for owners, their sum for both; 0 for those that claim to repeat an owner's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (all_ids, all_grams, all_keys) in grouped(batches, 3):
@@ -171,19 +178,21 @@ def judged(groups: int):
             ids, keys, gram = ids[order], keys[order], gram[order]
             new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
             new_key = new_gram | np.concatenate([[True], keys[1:] != keys[:-1]])
-            first = ids[np.flatnonzero(new_key)][np.cumsum(new_key) - 1]  # of each equal segment
+            heads, which = np.flatnonzero(new_key), np.cumsum(new_key) - 1
+            owners = ids[heads][which]  # of each segment
+            last = ids[np.append(heads[1:], len(ids)) - 1][which]
             at = np.cumsum(new_gram) - 1
             segments = np.bincount(at, new_key)
             least, most = (f.reduceat(ids, np.flatnonzero(new_gram)) for f in (np.minimum, np.maximum))
-            covered = ids > first
-            undecided = ~covered & (segments[at] > 1) & (least[at] < most[at])
-            kept = covered | undecided
-            if not kept.any():
+            claims = ids > owners
+            flags = (~claims & (segments[at] > 1) & (least[at] < most[at])).astype(np.uint8) + 2 * (~claims & (last > owners)).astype(np.uint8)
+            wanted = claims | (flags > 0)
+            if not wanted.any():
                 continue
-            ids, keys, undecided = ids[kept], keys[kept], undecided[kept]
+            ids, keys, owners, flags = ids[wanted], keys[wanted], owners[wanted], flags[wanted]
             group = (mixed(ids.astype(np.uint64)) % np.uint64(groups)).astype(np.int32)
-            rows = [(g, planes(i), k.tobytes(), u.tobytes()) for g, i, k, u in dealt(group, ids, keys, undecided)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["group", "ids", "keys", "flags"])
+            rows = [(g, planes(i), k.tobytes(), planes(o), f.tobytes()) for g, i, k, o, f in dealt(group, ids, keys, owners, flags)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["group", "ids", "keys", "owners", "flags"])
 
     return run
 
@@ -197,51 +206,60 @@ def joined(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[at], ends[np.concatenate([at[1:], [len(starts)]]) - 1] if len(at) else ends
 
 
-def opened(buckets: int):
-    """From a group's verdicts (kind 0) and texts (kind 1): rows of covered spans, and of undecided segments' bytes."""
+def runs(chosen: np.ndarray, owners: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, last) of the segments next to each other that are chosen and have one owner."""
+    at = np.flatnonzero(chosen)
+    if len(at):
+        cuts = np.flatnonzero((np.diff(at) > 1) | (owners[at[1:]] != owners[at[:-1]])) + 1
+        for part in np.split(at, cuts):
+            yield int(part[0]), int(part[-1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, verdicts, ready = None, [], None
-        out: list[tuple] = []
 
-        def flush() -> pa.RecordBatch:
-            types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["bucket", "id", "mark", "first", "last", "data"])
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From a group's verdicts (kind 0) and texts (kind 1): rows (key, kind, id, mark, first, data) of wanted bytes."""
+    group, verdicts, ready = None, [], None
+    out: list[tuple] = []
+    size = 0
 
-        for b in batches:
-            columns = [b.column(i).to_pylist() for i in range(7)]
-            for g, kind, doc, mark, ids, keys, flags, x in zip(*columns, b.column(7), strict=True):
-                if g != group:
-                    group, verdicts, ready = g, [], None
-                if kind == 0:
-                    verdicts.append((unplaned(ids), np.frombuffer(keys, np.uint64), np.frombuffer(flags, bool)))
-                    continue
-                if not verdicts:
-                    continue
-                if ready is None:
-                    v_ids, v_keys, v_flags = (np.concatenate(c) for c in zip(*verdicts, strict=True))
-                    order = np.lexsort((v_keys, v_ids))
-                    ready = v_ids[order], v_keys[order], v_flags[order]
-                lo, hi = np.searchsorted(ready[0], [doc, doc + 1])
-                if lo == hi:
-                    continue
-                text = as_bytes(x)
-                gram, segment, first, last = anchors(text)
-                at = np.minimum(np.searchsorted(ready[1][lo:hi], segment), hi - lo - 1) + lo
-                met = ready[1][at] == segment
-                whole = met & ~ready[2][at]
-                for s, e in zip(*(y.tolist() for y in joined(first[whole], last[whole] + LENGTH)), strict=True):
-                    out.append((None, doc, mark, s, e, None))
-                for k in np.flatnonzero(met & ready[2][at]).tolist():
-                    s, e = int(first[k]), int(last[k]) + LENGTH
-                    out.append((int(bucket_of(gram[k : k + 1], buckets)[0]), doc, mark, s, e, text[s:e].tobytes()))
-                if len(out) >= 20_000:
-                    yield flush()
-                    out = []
-        if out:
-            yield flush()
+    def flush() -> pa.RecordBatch:
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["key", "kind", "id", "mark", "first", "data"])
 
-    return run
+    for b in batches:
+        columns = [b.column(i).to_pylist() for i in range(8)]
+        for g, kind, doc, mark, ids, keys, owners, flags, x in zip(*columns, b.column(8), strict=True):
+            if g != group:
+                group, verdicts, ready = g, [], None
+            if kind == 0:
+                verdicts.append((unplaned(ids), np.frombuffer(keys, np.uint64), unplaned(owners), np.frombuffer(flags, np.uint8)))
+                continue
+            if not verdicts:
+                continue
+            if ready is None:
+                columns_of = [np.concatenate(c) for c in zip(*verdicts, strict=True)]
+                order = np.lexsort((columns_of[1], columns_of[0]))
+                ready = [c[order] for c in columns_of]
+            lo, hi = np.searchsorted(ready[0], [doc, doc + 1])
+            if lo == hi:
+                continue
+            text = as_bytes(x)
+            gram, segment, first, last = anchors(text)
+            at = np.minimum(np.searchsorted(ready[1][lo:hi], segment), hi - lo - 1) + lo
+            met, owner, flag = ready[1][at] == segment, ready[2][at], ready[3][at]
+            wanted = [(ALONE, gram[k].astype(np.int64).item(), k, k) for k in np.flatnonzero(met & (flag & 1 > 0)).tolist()]
+            for kind_of, chosen in ((CLAIM, met & (flag == 0)), (OWNER, met & (flag & 2 > 0))):
+                wanted += [(kind_of, mixed(owner[i : i + 1].astype(np.uint64)).astype(np.int64).item(), i, j) for i, j in runs(chosen, owner)]
+            for kind_of, key, i, j in wanted:
+                s, e = int(first[i]), int(last[j]) + LENGTH
+                for s in range(s, max(s + 1, e - LENGTH + 1), PIECE - LENGTH + 1):
+                    data = text[s : min(e, s + PIECE)].tobytes()
+                    out.append((key, kind_of, doc, mark, s, data))
+                    size += len(data) + 64
+            if size >= BATCH:
+                yield flush()
+                out, size = [], 0
+    if out:
+        yield flush()
 
 
 def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -274,25 +292,37 @@ def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
         h *= 2
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, cap: int = LENGTH) -> np.ndarray:
+def common_prefixes(text: np.ndarray, order: np.ndarray, cap: int = LENGTH, lanes: int = 4096) -> np.ndarray:
     """For each suffix in order the length, up to cap, of its common prefix with the one before it.
 
-    Kasai's lengths in the order of the text, from each suffix's predecessor; capped, they need no value carried from
-    suffix to suffix, so all of them grow byte by byte at once until they differ.
+    Kasai's scan: along the text the length falls by one at most from a suffix to the next, so it is carried and only what
+    is beyond it is compared, a word of 8 bytes at once. The text is cut into lanes that are scanned side by side.
     """
     n = len(text)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    padded = np.concatenate([text, np.zeros(cap, np.uint8)])
-    length = np.zeros(n, np.int64)
-    alive = np.flatnonzero(before >= 0)
-    for k in range(cap):
-        b = before[alive]
-        alive = alive[(alive + k < n) & (b + k < n) & (padded[alive + k] == padded[b + k])]
-        if not len(alive):
-            break
-        length[alive] = k + 1
-    return length[order]
+    padded = np.concatenate([text, np.zeros(cap + 16, np.uint8)]).astype(np.uint64)
+    word = np.zeros(n + cap + 8, np.uint64)
+    for i in range(8):
+        word = (word << np.uint64(8)) | padded[i : i + len(word)]
+    steps = -(-n // lanes)
+    result, length, starts = np.zeros(n, np.int64), np.zeros(lanes, np.int64), np.arange(lanes) * steps
+    bounds = np.array([1 << 8 * k for k in range(1, 8)], np.uint64)
+    for step in range(steps):
+        here = starts + step
+        lane = np.flatnonzero(here < n)
+        here = here[lane]
+        other = before[here]
+        h = np.where(other >= 0, np.maximum(length[lane] - 1, 0), 0)
+        grow = np.flatnonzero(other >= 0)
+        while len(grow):
+            differ = word[here[grow] + h[grow]] ^ word[other[grow] + h[grow]]
+            more = 8 - np.searchsorted(bounds, differ, "right") - (differ != 0)
+            h[grow] += more
+            grow = grow[(more == 8) & (h[grow] < cap)]
+        h = np.minimum(h, np.minimum(cap, n - np.maximum(here, other)))
+        result[here] = length[lane] = h
+    return result[order]
 
 
 class Shard:
@@ -337,28 +367,66 @@ class Shard:
             yield int(self.ids[owner[h]]), int(self.marks[owner[h]]), s + int(place[h]), s + int(place[t]) + LENGTH
 
 
+def solved(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
+    """Covered spans (id, mark, first, last) of rows (id, mark, first, data): shards, merged if there are several."""
+    shards, start, size = [], 0, 0
+    for k in range(len(rows) + 1):
+        if k == len(rows) or size + len(rows[k][3]) > SHARD:
+            ids, marks, firsts, data = zip(*rows[start:k], strict=True)
+            lengths = np.fromiter(map(len, data), np.int64, len(data))
+            shards.append(Shard(*(np.array(c, np.int64) for c in (ids, marks, firsts)), lengths, b"".join(data)))
+            start, size = k, 0
+        if k < len(rows):
+            size += len(rows[k][3])
+    for a in shards:
+        for b in shards:
+            if a is not b:
+                a.merge(b)
+    return [span for shard in shards for span in shard.covered()]
+
+
 def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Covered spans (id, mark, first, last) from the bytes of undecided segments, by bucket."""
-    for _, (ids, marks, firsts, data) in grouped(batches, 4):
-        shards, start, size = [], 0, 0
-        for k in range(len(data) + 1):
-            if k == len(data) or size + len(data[k]) > SHARD:
-                part = slice(start, k)
-                lengths = np.fromiter(map(len, data[part]), np.int64, k - start)
-                shards.append(Shard(np.array(ids[part], np.int64), np.array(marks[part], np.int64), np.array(firsts[part], np.int64), lengths, b"".join(data[part])))
-                start, size = k, 0
-            if k < len(data):
-                size += len(data[k])
-        for a in shards:
-            for b in shards:
-                if a is not b:
-                    a.merge(b)
-        spans = [span for shard in shards for span in shard.covered()]
-        if spans:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*spans, strict=True)], names=["id", "mark", "first", "last"])
-
-
-def covered_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Covered spans (id, mark, first, last) from rows (key, i, j, id, mark, first, data), sorted by block. Small blocks
+    share a shard: windows that equal each other are repeats wherever they come from."""
+    block, rows, size, ready, ready_size = None, [], 0, [], 0
+
+    def out(found: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*found, strict=True) if found else ((),) * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "mark", "first", "last"])
+
+    for b in batches:
+        for *at, doc, mark, first, data in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
+            if at != block:
+                if ready and ready_size + size > SHARD:
+                    yield out(solved(ready))
+                    ready, ready_size = [], 0
+                ready, ready_size, block, rows, size = ready + rows, ready_size + size, at, [], 0
+            rows.append((doc, mark, first, data))
+            size += len(data)
+    if ready and ready_size + size > SHARD:
+        yield out(solved(ready))
+        ready = []
+    if ready or rows:
+        yield out(solved(ready + rows))
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows of wanted bytes dealt to blocks (key, i, j). A key's rows that stand alone are dealt to parts of which each two
+    meet; its claims and its owner's are dealt to parts of which each of one kind meets each of the other."""
+    size = F.octet_length("data").cast("long")
+    parts = rows.groupBy("key").agg(*(F.sum(F.when(F.col("kind") == k, size).otherwise(0)).alias(f"n{k}") for k in (ALONE, CLAIM, OWNER)))
+    large = parts.where(" or ".join(f"n{k} > {PART}" for k in (ALONE, CLAIM, OWNER))).select("key", *(F.greatest(F.lit(1), F.ceil(F.col(f"n{k}") / PART)).cast("int").alias(f"n{k}") for k in (ALONE, CLAIM, OWNER)))
+    found = rows.join(large, "key", "left")
+    every = lambda k: F.sequence(F.lit(0), F.col(f"n{k}") - 1)
+    part = lambda k: F.pmod(F.xxhash64("id", "first"), f"n{k}").cast("int")
+    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    blocks = F.when(F.col("n0").isNull(), F.array(pair(F.lit(0), F.lit(0))))
+    blocks = blocks.when(F.col("kind") == ALONE, F.transform(every(ALONE), lambda q: pair(F.least(part(ALONE), q), F.greatest(part(ALONE), q))))
+    blocks = blocks.when(F.col("kind") == CLAIM, F.transform(every(OWNER), lambda j: pair(part(CLAIM), j))).otherwise(F.transform(every(CLAIM), lambda i: pair(i, part(OWNER))))
+    return found.withColumn("block", F.explode(blocks)).select("key", F.col("block.i").alias("i"), F.col("block.j").alias("j"), "id", "mark", "first", "data")
+
+
+def covered_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, mark, first, last): spans of bytes of each document, not yet joined, that a smaller document's strings cover.
 
     mark is a hash of the text: rows that repeat an id with other texts keep their own spans.
@@ -366,23 +434,25 @@ def covered_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.encode(F.col(f"`{text_col}`").cast("string"), "UTF-8").alias("data")).where(f"id is not null and octet_length(data) >= {LENGTH}")
     total = source.agg(F.coalesce(F.sum(F.octet_length("data").cast("long")), F.lit(0)).alias("n")).first().n
     buckets, groups = max(64, total // BUCKET_BYTES), max(64, total // GROUP_BYTES)
-    offers = source.mapInArrow(offered(buckets), "bucket int, ids binary, grams binary, keys binary").repartition(F.col("bucket")).sortWithinPartitions("bucket")
-    verdicts = written(offers.mapInArrow(judged(groups), "group int, ids binary, keys binary, flags binary"), "verdicts")
+    partitions = int(max(8, total // PARTITION))
+    offers = source.mapInArrow(offered(buckets), "bucket int, ids binary, grams binary, keys binary").repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    verdicts = scratch.written(offers.mapInArrow(judged(groups), "group int, ids binary, keys binary, owners binary, flags binary"), "verdicts")
 
     def grouping(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy().astype(np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array((mixed(ids) % np.uint64(groups)).astype(np.int32)), *b.columns], names=["group", "id", "data", "mark"])
 
-    nothing = F.lit(None).cast("binary")
+    nothing, no_number = F.lit(None).cast("binary"), F.lit(None).cast("long")
     texts = source.withColumn("mark", F.xxhash64("data")).mapInArrow(grouping, "group int, id long, data binary, mark long")
-    texts = texts.select("group", F.lit(1).alias("kind"), "id", "mark", nothing.alias("ids"), nothing.alias("keys"), nothing.alias("flags"), "data")
-    asked = verdicts.select("group", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("mark"), "ids", "keys", "flags", nothing.alias("data"))
-    both = asked.union(texts).repartition(F.col("group")).sortWithinPartitions("group", "kind")
-    opened_rows = both.mapInArrow(opened(buckets), "bucket int, id long, mark long, first long, last long, data binary")
-    found = written(opened_rows, "segments")
-    undecided = found.where("bucket is not null").select("bucket", "id", "mark", "first", "data").repartition(F.col("bucket")).sortWithinPartitions("bucket")
-    return found.where("bucket is null").select("id", "mark", "first", "last").unionByName(undecided.mapInArrow(resolved, "id long, mark long, first long, last long"))
+    texts = texts.select("group", F.lit(1).alias("kind"), "id", "mark", *(nothing.alias(c) for c in ("ids", "keys", "owners", "flags")), "data")
+    asked = verdicts.select("group", F.lit(0).alias("kind"), no_number.alias("id"), no_number.alias("mark"), "ids", "keys", "owners", "flags", nothing.alias("data"))
+    both = asked.union(texts).repartition(partitions, "group").sortWithinPartitions("group", "kind")
+    found = scratch.written(both.mapInArrow(opened, "key long, kind int, id long, mark long, first long, data binary"), "wanted")
+    scratch.cleared("verdicts")
+    at = ["key", "i", "j"]
+    dealt_out = in_blocks(found).repartition(partitions, *at).sortWithinPartitions(*at)
+    return dealt_out.mapInArrow(resolved, "id long, mark long, first long, last long")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -394,18 +464,16 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table gives an empty result. kept_text drops what no longer is UTF-8 where a cut parts a character. Columns of docs
     named as those made here are replaced with keep_text, and other columns aren't read without it.
     """
-    spans = written(covered_spans(docs, id_col, text_col).groupBy("id", "mark").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans")), "spans")
+    scratch = Scratch(docs.sparkSession, "substrings")
+    spans = covered_spans(docs, scratch, id_col, text_col).groupBy("id", "mark").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans"))
+    spans = scratch.written(spans, "spans")
+    scratch.cleared("wanted")
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     others = [c for c in docs.columns if c not in made] if keep_text else [id_col]
     rows = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{id_col}`").cast("long").alias("__id"), F.encode(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), "UTF-8").alias("__data")).withColumn("__mark", F.xxhash64("__data"))
     at = ["__id", "__mark"]
     spans = spans.toDF(*at, "__spans")
-    ids = spans.select(at)
-    few = ids.count() <= BROADCAST_IDS
-    ids = F.broadcast(ids) if few else ids
-    untouched = rows.join(ids, at, "left_anti").withColumn("__spans", F.lit(None).cast(spans.schema["__spans"].dataType))
-    touched = rows.join(ids, at, "left_semi").join(spans, at).select(untouched.columns)
-    both = untouched.unionByName(touched).select(*[F.col(f"`{c}`") for c in others], "__data", "__spans")
+    both = rows.join(spans, at, "left").select(*[F.col(f"`{c}`") for c in others], "__data", "__spans")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema.fields[: len(others)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -189,6 +189,7 @@ def test_suffix_arrays(seed):
     keys = [data[i : i + 50] for i in order]
     assert keys == sorted(keys)
     got = sub.common_prefixes(text, order)
+    assert np.array_equal(got, sub.common_prefixes(text, order, lanes=7))
     for k in range(1, len(order)):
         a, b = data[order[k - 1] :], data[order[k] :]
         n = 0
@@ -206,10 +207,56 @@ def test_segments_differ_by_any_bit_of_their_hashes(monkeypatch):
     got = {}
     for b in sub.judged(1)(sub.offered(1)(iter([docs]))):
         for ids, flags in zip(b.column("ids").to_pylist(), b.column("flags").to_pylist(), strict=True):
-            got |= dict(zip(sub.unplaned(ids).tolist(), np.frombuffer(flags, bool).tolist(), strict=True))
+            got |= dict(zip(sub.unplaned(ids).tolist(), (np.frombuffer(flags, np.uint8) & 1 > 0).tolist(), strict=True))
     assert got == {1: True, 2: True, 3: True, 4: False}
 
 
+def test_claims_of_equal_hashes_are_held_against_the_bytes(spark, monkeypatch):
+    """Hashes only route: where all segments of an anchor get one hash, what differs still stays."""
+    real = sub.anchors
+    monkeypatch.setattr(sub, "anchors", lambda text: (lambda g, s, a, b: (g, g, a, b))(*real(text)))
+    rng = np.random.default_rng(3)
+    letters = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    shared = letters(40)  # too short to cover anything, long enough for equal anchors
+    rows = [(k, letters(60) + shared + letters(60)) for k in range(20)] + [(30, letters(9) + rows_text) for rows_text in [letters(200)]]
+    rows += [(31, rows[-1][1] + letters(5))]
+    source = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1].encode() for r in rows], pa.binary())], names=["id", "data"])
+    verdicts = list(sub.judged(1)(sub.offered(1)(iter([source]))))
+    assert sum(int((np.frombuffer(f, np.uint8) == 0).sum()) for b in verdicts for f in b.column("flags").to_pylist()) > 20  # false claims among them
+    wide = [(0, 0, None, None, *x, None) for b in verdicts for x in zip(*(b.column(c).to_pylist() for c in ("ids", "keys", "owners", "flags")))]
+    wide += [(0, 1, k, 0, None, None, None, None, t.encode()) for k, t in rows]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
+    table = pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*wide), types)], names=list("abcdefghi"))
+    wanted = sorted((r["key"], 0, 0, r["id"], r["mark"], r["first"], r["data"]) for b in sub.opened(iter([table])) for r in b.to_pylist())
+    block = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*wanted)], names=list("abcdefg"))
+    spans = [tuple(r.values()) for b in sub.resolved(iter([block])) for r in b.to_pylist()]
+    assert {s[0] for s in spans} == {31} and sub.joined(np.array([s[2] for s in spans]), np.array([s[3] for s in spans]))[1].tolist() == [209]
+
+
+def test_substrings_in_many_blocks(spark, monkeypatch):
+    """One anchor's segments and one owner's claims over several parts, blocks of several shards."""
+    monkeypatch.setattr(sub, "PART", 3000)
+    monkeypatch.setattr(sub, "PIECE", 700)
+    monkeypatch.setattr(sub, "SHARD", 1500)  # in this process; executors keep theirs
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefghijkl ") for _ in range(n))
+    gram, passage = text(24), text(900)
+    rows = [(k, text(rng.randint(0, 30)) + gram + text(rng.randint(0, 30)) + text(20)) for k in range(150)]
+    rows += [(200 + k, text(rng.randint(0, 40)) + passage + text(rng.randint(0, 40))) for k in range(40)]
+    rows += [(300 + k, rows[k][1][5:] + rows[k + 60][1]) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sub.deduplicated(docs).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sub_slow(rows)
+
+
+def test_shards_of_a_block_merge(monkeypatch):
+    monkeypatch.setattr(sub, "SHARD", 400)
+    rng = np.random.default_rng(8)
+    passage = rng.integers(97, 120, 130).astype(np.uint8).tobytes()
+    rows = [(k, 0, 10 * k, rng.integers(97, 120, 89).astype(np.uint8).tobytes() + bytes([65 + k]) + passage) for k in range(9)]
+    assert sorted(sub.solved(rows)) == [(k, 0, 10 * k + 90, 10 * k + 220) for k in range(1, 9)]
+
+
 def test_shards_merge():
     a, b = b"p" * 10 + b"the same fifty bytes stand in both of these shards, yes", b"the same fifty bytes stand in both of these shards, yes"
     first = sub.Shard(np.array([9]), np.array([1]), np.array([100]), np.array([len(a)]), a)
