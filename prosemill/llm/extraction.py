@@ -1,27 +1,30 @@
-"""Main text of web pages by occurrence counts over the pages of a host.
-
-Every element of a page has a role: its name, class words and id, under its parent's role. Over the pages of one host
-each role, and each run of text, is counted: on how many pages it is, how often in all, how much text it holds. The
-counts add up in any order, so that a host of any size costs one row a token and task. Of n pages of a host with the
-same elements and text each counts as an nth.
-
-Roles that stand once in the pages that hold them, in at least half of the host's pages, are the host's template; runs
-of text that most pages share are template text. Where elements named as articles hold most of a host's text, they are
-its regions, all of a page's. Elsewhere the regions are all of the template but the slots whose text is mostly template
-text or links. What remains in the regions, without template text and subtrees that say that they are menus, forms,
-adverts and the like, is the page's text.
-
-Equivalence classes of tokens with equal occurrence vectors aren't formed: a class's order and gaps would say where
-slots are, not which of them hold an article, and what is kept or dropped is decided by the counts alone.
+"""Main text of web pages by templates deduced from equivalence classes of tokens.
+
+The tokens of a page are its elements, by their roles (name, class words and id, under the parent's role), and its runs
+of text. A token's occurrence vector says how often it stands on each of its host's pages; it is carried as two sums
+modulo a prime over hashes of the pages, which add up in any order, so that a host of any size costs one row a token
+and task. Of n pages with the same elements and text each counts as an nth.
+
+1. Classes: tokens of a host with equal vectors, on enough pages. Those that stand once on each of these are anchors.
+2. Validation: a class is valid if its anchors come in one order on its pages and all lie in one gap of the host's
+   first class, which the pages share: it is nested there. The rest are no anchors.
+3. Template: the anchors of valid classes, nested by their roles, in order. What stands in an anchor but in no smaller
+   one is its slot; slots hold what varies, runs of text that most pages share are the template's own.
+4. The slots of the article: from the root down to the element whose slots share the host's text among them; of its
+   parts those from the first to the last that hold text of weight or a heading that varies, without those that hold
+   links or template text for the most part.
+
+Within the article's slots, and on pages that no template is known of, markup has its say: elements that are menus,
+forms, asides and the like by name, class, id or role go.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from bisect import bisect
+from collections import defaultdict
 from collections.abc import Iterator
-from types import SimpleNamespace
 
 import pyarrow as pa
 import xxhash
@@ -30,16 +33,16 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Distinct pages that a host needs for its text runs to be judged (two that share a run may be versions of one page), and
-#: the share of them that makes a run the template's: of fewer than ten, all.
-LEAST_PAGES, TEMPLATE_SHARE = 3, 0.9
-#: Share of a host's text in runs of that kind from which on its pages are versions of one page, and no run is judged.
+#: Distinct pages that a host needs for a template (two that share a run may be versions of one page); shares of its pages
+#: with a role and with a run of text that make them the template's.
+LEAST_PAGES, ROLE_SHARE, TEMPLATE_SHARE = 3, 0.5, 0.9
+#: Share of a host's text in template runs from which on its pages are versions of one page, and no run is the template's.
 VERSIONS_SHARE = 0.5
-#: Share of pages with a role that makes it the template's, of a host's text in named articles that makes them its
-#: regions, and of the text under a role in template text and links from which on it is no slot of an article's.
-ROLE_SHARE, NAMED_SHARE, FILLED_SHARE = 0.5, 0.5, 0.5
-#: Stands for all elements named as articles of a page.
-NAMED = 0
+#: Share of the text around it that makes a part one of weight; share of a part's text in links, or of template text
+#: against its own, from which on it is no slot of an article's.
+WEIGHT, FILLED_SHARE = 0.05, 0.5
+#: Sums of occurrence vectors are taken modulo this prime.
+PRIME = (1 << 31) - 1
 #: Largest size of all templates that is broadcast; beyond it pages and templates are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 #: Pages with copies that are broadcast; beyond it they are joined by a shuffle.
@@ -50,8 +53,9 @@ _RAW = frozenset("script style textarea title iframe xmp noembed noframes".split
 _BLOCK = frozenset("address article aside blockquote body center details dd dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul caption".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CELL = frozenset("td th br img input".split())
-#: Elements that never hold an article's text.
-_NOT_TEXT = frozenset("head nav footer aside form button select script style noscript iframe svg math template menu dialog object canvas audio video title textarea label datalist".split())
+#: Elements that aren't shown as text, and elements that aren't an article's.
+_UNSHOWN = frozenset("head script style noscript iframe svg math template object canvas audio video title textarea datalist".split())
+_NOT_TEXT = frozenset("nav footer aside form button select menu dialog label".split())
 #: Words of a class, id or role that say the same.
 _NOT_WORDS = frozenset(
     "nav navbar navigation menu sidebar footer comment comments ad ads advert adverts advertisement advertising banner cookie cookies consent notice notices popup modal promo promotion sponsor sponsored share sharing social related breadcrumb breadcrumbs pagination pager widget newsletter subscribe subscription disqus respond replies complementary contentinfo search login signup masthead toolbar".split()
@@ -72,34 +76,35 @@ def hashed(text: str) -> int:
 
 
 class Element:
-    __slots__ = ("name", "role", "role_hash", "out", "article", "link")
+    __slots__ = ("name", "role", "role_hash", "unshown", "out", "article", "link", "heading")
 
     def __init__(self, name: str, attributes: str, parent: Element | None):
-        words, shown, out = set(), [], name in _NOT_TEXT
+        words, shown, unshown = set(), [], name in _UNSHOWN
         if attributes and not attributes.isspace():
             for m in _ATTRIBUTE.finditer(attributes):
                 key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
                 if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-                    out = True
+                    unshown = True
                 elif key != "itemprop":
                     words.update(w.lower() for w in _PART.findall(value))
                 shown.append(f"{key}={_DIGITS.sub('0', value)}")
         inside = parent is not None and parent.article
         self.article = inside or name in ("article", "main") or "articlebody" in attributes.lower()
-        if name == "header" and not inside or words & _NOT_WORDS and name not in ("html", "body"):
-            out = True
-        self.name, self.out = name, out or parent is not None and parent.out
+        out = name in _NOT_TEXT or name == "header" and not inside or bool(words & _NOT_WORDS) and name not in ("html", "body")
+        self.name, self.out, self.unshown = name, out or parent is not None and parent.out, unshown or parent is not None and parent.unshown
         self.link = name == "a" or parent is not None and parent.link
+        self.heading = name in _HEADINGS or parent is not None and parent.heading
         self.role = f"{parent.role if parent is not None else ''}/{name}[{' '.join(sorted(shown))}]"
         self.role_hash = hashed(self.role)
 
 
 class Page:
-    """roles: every element's role, its parent's and if it is an article's, in order; blocks: (elements open around it, text, characters of links in it)."""
+    """roles: every element's role, its parent's and its place, in order; blocks: (elements open around it, text, characters
+    of links in it, place). Places count elements and blocks together."""
 
     def __init__(self, source: str):
-        self.roles: list[tuple[int, int, bool]] = []
-        self.blocks: list[tuple[tuple[Element, ...], str, int]] = []
+        self.roles: list[tuple[int, int, int]] = []
+        self.blocks: list[tuple[tuple[Element, ...], str, int, int]] = []
         self.stack: list[Element] = []
         self.made: dict[tuple[int, str, str], Element] = {}
         self.texts: list[str] = []
@@ -127,7 +132,7 @@ class Page:
 
     def text(self, raw: str) -> None:
         top = self.stack[-1] if self.stack else None
-        if top is None or not top.out:
+        if top is None or not top.unshown:
             shown = html.unescape(raw) if "&" in raw else raw
             self.texts.append(shown)
             if top is not None and top.link:
@@ -136,7 +141,7 @@ class Page:
     def flush(self) -> None:
         if self.texts:
             if shown := " ".join("".join(self.texts).split()):
-                self.blocks.append((tuple(self.stack), shown, min(self.linked, len(shown))))
+                self.blocks.append((tuple(self.stack), shown, min(self.linked, len(shown)), len(self.roles) + len(self.blocks)))
             self.texts, self.linked = [], 0
 
     def open(self, name: str, attributes: str) -> None:
@@ -155,7 +160,7 @@ class Page:
         if made is None:
             made = self.made[key] = Element(name, attributes.removesuffix("/"), parent)
         self.stack.append(made)
-        self.roles.append((made.role_hash, parent.role_hash if parent else 0, made.article))
+        self.roles.append((made.role_hash, parent.role_hash if parent else 0, len(self.roles) + len(self.blocks)))
 
     def end(self, names: set[str], holders: frozenset[str] | set[str]) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
@@ -177,8 +182,8 @@ class Page:
 
 
 def content(host: str, page: Page) -> int:
-    """A hash of the host, the elements and the text outside menus and the like."""
-    return hashed(f"{host} {[role for role, _, _ in page.roles]}{[text for _, text, _ in page.blocks]}")
+    """A hash of the host, the elements and the text that belongs to no menu or the like by name."""
+    return hashed(f"{host} {[role for role, _, _ in page.roles]}{[b[1] for b in page.blocks if not (b[0] and b[0][-1].out)]}")
 
 
 def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,35 +203,35 @@ def with_copies(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(sources) if sources.count() <= BROADCAST_ROWS else sources, "source", "left").select("host", "html", "copies")
 
 
-def tokens(page: Page) -> dict[int, list]:
-    """hash -> [count, parent or for a run the innermost role, kind, characters, those without links] of a page's tokens.
+def run_of(stack: tuple[Element, ...], text: str) -> int:
+    """The token of a run of text: what it says, and where."""
+    return hashed(f"{stack[-1].role_hash if stack else 0} {text}")
 
-    kind: 0 a run of text, 1 a role, 2 a role with a heading in it, or a heading.
-    """
-    found: dict[int, list] = {}
-    for role, parent, _ in page.roles:
-        found.setdefault(role, [0, parent, 1, 0, 0])[0] += 1
-    for stack, text, linked in page.blocks:
-        heading = any(e.name in _HEADINGS for e in stack)
-        for role in {e.role_hash for e in stack} | ({NAMED} if any(e.article for e in stack) else set()):
-            t = found.setdefault(role, [1, 0, 1, 0, 0])
-            t[2:] = max(t[2], 1 + heading), t[3] + len(text), t[4] + len(text) - linked
-        t = found.setdefault(hashed(text), [0, stack[-1].role_hash if stack else 0, 0, 0, 0])
-        t[0], t[3], t[4] = t[0] + 1, t[3] + len(text), t[4] + len(text) - linked
+
+def tokens(page: Page) -> dict[int, list[int]]:
+    """token -> [count, parent, 1 for a role and 0 for a run, first place] of a page."""
+    found: dict[int, list[int]] = {}
+    for role, parent, place in page.roles:
+        found.setdefault(role, [0, parent, 1, place])[0] += 1
+    for stack, text, _, place in page.blocks:
+        found.setdefault(run_of(stack, text), [0, stack[-1].role_hash if stack else 0, 0, place])[0] += 1
     return found
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (host, token) for each page, of weight 1 over its copies."""
+    """Rows of (host, token) for each page, of weight 1 over its copies; left and right: the terms of the token's vector."""
     for b in batches:
-        columns: list[list] = [[] for _ in range(8)]
+        columns: list[list] = [[] for _ in range(9)]
         for host, source, copies in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-            weight = 1 / (copies or 1)
-            for token, (count, parent, kind, size, mass) in tokens(Page(source.as_py())).items():
-                for column, x in zip(columns, (host, token, weight, count * weight, parent, kind, size * weight, mass * weight), strict=True):
+            page, copies = Page(source.as_py()), copies or 1
+            h = content(host, page) & ((1 << 64) - 1)
+            part = pow(copies, -1, PRIME)  # a copy's share of a sum modulo the prime
+            left, right = (h % PRIME) * part % PRIME, (h >> 31) % PRIME * part % PRIME
+            for token, (count, parent, kind, place) in tokens(page).items():
+                for column, x in zip(columns, (host, token, 1 / copies, count / copies, left * count % PRIME, right * count % PRIME, parent, kind, place / copies), strict=True):
                     column.append(x)
-        types = [pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int32(), pa.float64(), pa.float64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=["host", "token", "pages", "count", "parent", "kind", "size", "mass"])
+        types = [pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=["host", "token", "pages", "count", "left", "right", "parent", "kind", "place"])
 
 
 def host_of(url: str) -> F.Column:
@@ -235,83 +240,193 @@ def host_of(url: str) -> F.Column:
     return F.when(host != "", host)
 
 
-def filled(roles: list, texts: list) -> list[int]:
-    """The template's roles that are no slots of an article's, of a host without named articles.
-
-    roles: (token, parent, kind, pages, count, size, mass) of those on enough pages; texts: (parent, size, mass) of
-    template text. A role whose text is mostly template text and links is left out, unless it holds half of all other
-    text, or a heading and no template text.
+def classes(pages: DataFrame) -> DataFrame:
+    """(host, all_pages, classes) of hosts of LEAST_PAGES distinct pages or more; a class: its pages, the count of each token
+    and the tokens in order, from (host, html, copies) rows."""
+    seen = pages.mapInArrow(counted, "host string, token long, pages double, count double, left long, right long, parent long, kind int, place double")
+    # whole numbers but for the rounding of their sums
+    sums = [*(F.round(F.sum(c)).cast("long").alias(c) for c in ("pages", "count")), *((F.sum(c) % PRIME).alias(c) for c in ("left", "right"))]
+    vectors = seen.groupBy("host", "token").agg(*sums, F.max("parent").alias("parent"), F.max("kind").alias("kind"), (F.sum("place") / F.sum("pages")).alias("place"))
+    vectors = written(vectors.where(f"kind = 1 or pages >= {LEAST_PAGES} * {TEMPLATE_SHARE}"), "page-vectors")
+    hosts = vectors.where("kind = 1").groupBy("host").agg(F.max("pages").alias("all_pages")).where(f"all_pages >= {LEAST_PAGES}")
+    often = vectors.join(hosts, "host").where(f"pages >= if(kind = 1, {ROLE_SHARE}, {TEMPLATE_SHARE}) * all_pages")
+    token = F.struct("place", "token", "parent", "kind")
+    equal = often.groupBy("host", "all_pages", "pages", "count", "left", "right").agg(F.sort_array(F.collect_list(token)).alias("tokens"))
+    return equal.groupBy("host", "all_pages").agg(F.sort_array(F.collect_list(F.struct("pages", "count", "tokens")), asc=False).alias("classes"))
+
+
+def nested(places: list[list[int | None]]) -> list[bool]:
+    """Of classes with the places of their tokens on a page, those that this page speaks against: their tokens come in
+    another order, or lie in several gaps of the first class."""
+    first = [x for x in places[0] if x is not None] if places else []
+    against = []
+    for k, own in enumerate(places):
+        here = [x for x in own if x is not None]
+        gaps = {bisect(first, x) for x in here} if k else {0}
+        against.append(any(x > y for x, y in zip(here, here[1:], strict=False)) or len(gaps) > 1)
+    return against
+
+
+def validated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (host, token, against, size, mass, heading, own) from pages with their host's classes.
+
+    against: pages that speak against the class of that first token. Else of the innermost anchor around text: its
+    characters that vary, those of them outside links, those in headings, and those of template runs.
     """
-    parents = {r.token: r.parent for r in roles}
-    size, mass = Counter(), Counter()
-    for t in texts:
-        at = t.parent
-        while at in parents:
-            size[at] += t.size
-            mass[at] += t.mass
-            at = parents[at]
-    own = {r.token: r.mass - mass[r.token] for r in roles}
-    most = max(own.values(), default=0)
-    return sorted(
-        r.token
-        for r in roles
-        if r.count == r.pages and r.size and own[r.token] < 0.5 * most and own[r.token] <= FILLED_SHARE * r.size and not (r.kind == 2 and not size[r.token])
-    )
+    known: dict[str, tuple] = {}
+    for b in batches:
+        found: dict[tuple[str, int], list[float]] = defaultdict(lambda: [0.0] * 5)
+        for host, source, copies, every in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3), strict=True):
+            if host not in known:
+                if len(known) > 1000:
+                    known.clear()
+                once = [[t["token"] for t in c["tokens"]] for c in every.as_py() if c["count"] == c["pages"]]
+                roles = {t["token"] for c in every.as_py() if c["count"] == c["pages"] for t in c["tokens"] if t["kind"] == 1}
+                runs = {t["token"] for c in every.as_py() for t in c["tokens"] if t["kind"] == 0}
+                known[host] = once, roles, runs
+            (once, roles, runs), page, weight = known[host], Page(source.as_py()), 1 / (copies or 1)
+            places = {t: x[3] for t, x in tokens(page).items()}
+            for own, against in zip(once, nested([[places.get(t) for t in c] for c in once]), strict=True):
+                if against:
+                    found[host, own[0]][0] += weight
+            for stack, text, linked, _ in page.blocks:
+                at = next((e.role_hash for e in reversed(stack) if e.role_hash in roles), 0)
+                sums = found[host, at]
+                if run_of(stack, text) in runs:
+                    sums[4] += weight * len(text)
+                else:
+                    sums[1] += weight * len(text)
+                    sums[2] += weight * (len(text) - linked)
+                    sums[3] += weight * len(text) * bool(stack and stack[-1].heading)
+        keys = list(found)
+        columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), *(pa.array([found[k][i] for k in keys], pa.float64()) for i in range(5))]
+        yield pa.RecordBatch.from_arrays(columns, names=["host", "token", "against", "size", "mass", "heading", "own"])
+
+
+class Template:
+    """The valid anchors of a host's classes, nested, with what their slots hold."""
+
+    def __init__(self, every: list[dict], slots: dict[int, list[float]]):
+        valid = [c["tokens"] for c in every if c["count"] == c["pages"] and slots.get(c["tokens"][0]["token"], [0.0])[0] <= (1 - TEMPLATE_SHARE) * c["pages"]]
+        up = {t["token"]: t["parent"] for c in every for t in c["tokens"] if t["kind"] == 1}
+        self.place = {t["token"]: t["place"] for c in valid for t in c if t["kind"] == 1}
+        self.runs = sorted(t["token"] for c in every for t in c["tokens"] if t["kind"] == 0)
+
+        def anchor(role: int) -> int:
+            while role and role not in self.place:
+                role = up.get(role, 0)
+            return role
+
+        #: 0 is the page itself; slots hold size, mass, heading, own
+        self.parts: dict[int, list[int]] = defaultdict(list)
+        for t in sorted(self.place, key=self.place.get):
+            self.parts[anchor(up[t])].append(t)
+        self.slot: dict[int, list[float]] = defaultdict(lambda: [0.0] * 4)
+        for t, sums in slots.items():
+            if t == 0 or t in up:
+                self.slot[anchor(t)] = [x + y for x, y in zip(self.slot[anchor(t)], sums[1:], strict=True)]
+        size, _, _, own = (sum(s[k] for s in self.slot.values()) for k in range(4))
+        if own >= VERSIONS_SHARE * (size + own) > 0:
+            self.runs = []
+            for t, s in self.slot.items():
+                self.slot[t] = [s[0] + s[3], s[1] + s[3], s[2], 0.0]
+        self.whole: dict[int, list[float]] = {}
+        stack = [(0, False)]
+        while stack:  # sums of whole parts, smallest first
+            t, done = stack.pop()
+            if done:
+                self.whole[t] = [sum(x) for x in zip(self.slot[t], *(self.whole[c] for c in self.parts[t]), strict=True)]
+            else:
+                stack += [(t, True), *((c, False) for c in self.parts[t])]
+
+    def fits(self, part: int) -> bool:
+        """A part is no menu and not mostly the template's own text."""
+        size, mass, _, own = self.whole[part]
+        return mass >= FILLED_SHARE * size and own * FILLED_SHARE <= size * (1 - FILLED_SHARE)
+
+    def holds(self, part: int, around: int) -> bool:
+        """A part has text of weight, or a heading that varies."""
+        size, mass, heading, _ = self.whole[part]
+        return size > 0 and self.fits(part) and (mass >= WEIGHT * self.whole[around][1] or heading > 0.5 * size)
+
+    def article(self) -> tuple[int, list[int]]:
+        """The element that holds the article's slots (0: the page), and the parts in it that are none of the article's."""
+        at = 0
+        while True:
+            held = [c for c in self.parts[at] if self.holds(c, at)]
+            if len(held) != 1 or self.slot[at][1] >= WEIGHT * self.whole[at][1]:
+                break
+            at = held[0]
+        out, below = [], list(self.parts[at])
+        if held and self.slot[at][1] < WEIGHT * self.whole[at][1]:  # a frame: what stands around its parts isn't text's
+            first, last = self.place[held[0]], self.place[held[-1]]
+            out = [c for c in self.parts[at] if not first <= self.place[c] <= last]
+        while below:  # menus and the like at any depth; template text alone goes by its runs
+            t = below.pop()
+            if self.whole[t][0] > 0 and not self.fits(t):
+                out.append(t)
+            else:
+                below += self.parts[t]
+        return at, sorted(set(out))
 
 
 def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, filled) from (host, roles, texts)."""
+    """(host, inside, parts, texts) from (host, classes, slots)."""
     for b in batches:
         found = []
-        for roles, texts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            found.append(filled([SimpleNamespace(**r) for r in roles], [SimpleNamespace(**t) for t in texts or ()]))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["host", "filled"])
+        for host, every, slots in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            template = Template(every, {s["token"]: [s[c] for c in ("against", "size", "mass", "heading", "own")] for s in slots})
+            found.append((host, *template.article(), template.runs))
+        columns = zip(*found, strict=True) if found else ((),) * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], names=["host", "inside", "parts", "texts"])
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, named, filled, texts): of each host if its regions are named articles, the roles that else are none's, and
-    the hashes of its template text, from all its pages."""
+    """(host, inside, parts, texts): of each host with a template the role of the element that holds the article's slots (0:
+    the page), the roles in it that are none of the article's, and the template's runs of text, from all its pages."""
     rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html")).where("host is not null and html is not null")
-    seen = with_copies(rows).mapInArrow(counted, "host string, token long, pages double, count double, parent long, kind int, size double, mass double")
-    # in how many distinct pages a token is, and how often in all: whole numbers but for the rounding of their sums
-    vectors = seen.groupBy("host", "token").agg(*(F.round(F.sum(c)).cast("long").alias(c) for c in ("pages", "count", "size", "mass")), F.max("parent").alias("parent"), F.max("kind").alias("kind"))
-    vectors = written(vectors.where(f"kind >= 1 or pages >= {LEAST_PAGES} * {TEMPLATE_SHARE}"), "page-vectors")
-    hosts = vectors.where("kind >= 1").groupBy("host").agg(F.max("pages").alias("all_pages"), F.max("mass").alias("all_mass"), F.max(F.when(F.col("token") == NAMED, F.col("mass"))).alias("named"))
-    vectors = vectors.join(hosts.drop("named"), "host")
-    texts = vectors.where(f"kind = 0 and all_pages >= {LEAST_PAGES} and pages >= {TEMPLATE_SHARE} * all_pages").groupBy("host").agg(F.collect_list(F.struct("token", "parent", "size", "mass")).alias("texts"), F.sum("mass").alias("shared"), F.max("all_mass").alias("all_mass"))
-    texts = texts.where(f"shared < {VERSIONS_SHARE} * all_mass or all_mass = 0").select("host", "texts")
-    # named articles are the regions if they hold enough of the text; else the template's roles are looked at
-    hosts = hosts.select("host", F.expr(f"coalesce(named > 0 and named >= {NAMED_SHARE} * all_mass, false)").alias("named")).join(texts, "host", "left")
-    roles = vectors.where(f"kind >= 1 and token <> {NAMED} and pages >= {ROLE_SHARE} * all_pages").groupBy("host").agg(F.collect_list(F.struct("token", "parent", "kind", "pages", "count", "size", "mass")).alias("roles"))
-    slots = hosts.where("not named").select("host", "texts").join(roles, "host").select("host", "roles", "texts").mapInArrow(decided, "host string, filled array<long>")
-    return hosts.join(slots, "host", "left").select("host", "named", "filled", F.col("texts.token").alias("texts"))
-
-
-def extract(source: str, filled: frozenset[int] | None = None, texts: frozenset[int] = frozenset(), named: bool = False) -> str:
-    """The page's text: blocks in its named articles if there is text in them, or in no filled role, joined by empty lines."""
-    blocks = [(stack, text) for stack, text, _ in Page(source).blocks]
-    inside = [(stack, text) for stack, text in blocks if any(e.article for e in stack)] if named else []
-    kept = inside or [(stack, text) for stack, text in blocks if not filled or not any(e.role_hash in filled for e in stack)]
-    return "\n\n".join(text for _, text in kept if not texts or hashed(text) not in texts)
+    rows = with_copies(rows)
+    found = written(classes(rows), "page-classes")
+    size = found.agg(F.coalesce(F.sum(F.length("host") + F.aggregate("classes", F.lit(0), lambda n, c: n + 16 + 32 * F.size(c["tokens"]))), F.lit(0)).alias("n")).first().n
+    checked = rows.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host").select("host", "html", "copies", "classes")
+    sums = ("against", "size", "mass", "heading", "own")
+    slots = checked.mapInArrow(validated, "host string, token long, " + ", ".join(f"{c} double" for c in sums)).groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in sums))
+    slots = slots.groupBy("host").agg(F.collect_list(F.struct("token", *sums)).alias("slots"))
+    return found.join(slots, "host").select("host", "classes", "slots").mapInArrow(decided, "host string, inside long, parts array<long>, texts array<long>")
+
+
+def extract(source: str, inside: int | None = None, parts: frozenset[int] = frozenset(), texts: frozenset[int] = frozenset()) -> str:
+    """The page's text: blocks in the article's slots, joined by empty lines; by markup alone where inside is null.
+
+    A page without the element keeps all its slots. Headings of the template stay, since articles share them.
+    """
+    kept = [(stack, text) for stack, text, _, _ in Page(source).blocks if not (stack and stack[-1].out)]
+    if inside is not None:
+        roles = [{e.role_hash for e in stack} for stack, _ in kept]
+        if inside and not any(inside in r for r in roles):
+            inside = 0
+        kept = [(stack, text) for (stack, text), r in zip(kept, roles, strict=True) if (not inside or inside in r) and not r & parts and (bool(stack) and stack[-1].heading or run_of(stack, text) not in texts)]
+    return "\n\n".join(text for _, text in kept)
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text and n_chars (code points of text) for each row of pages.
 
-    A null or empty page has an empty text. A page without a host (null or odd URL), or one that lacks its host's
-    regions, keeps all blocks outside menus and the like. Pages of one host with equal elements and text count once; of
-    hosts of under LEAST_PAGES distinct pages no text run is judged; repeated rows are extracted each; a null id stays null; an empty table gives an empty one. Other columns aren't read.
+    A null or empty page has an empty text. A page without a host (null or odd URL), or of a host of under LEAST_PAGES
+    distinct pages, of which no template can be known, keeps all blocks outside menus and the like by name. Pages of one
+    host with equal elements and text count once; repeated rows are extracted each; a null id stays null; an empty table
+    gives an empty one. Other columns aren't read.
     """
     found = written(templates(pages, url_col, html_col), "page-templates")
-    size = found.agg(F.coalesce(F.sum(F.length("host") + 16 + 8 * (F.greatest(F.size("texts"), F.lit(0)) + F.greatest(F.size("filled"), F.lit(0)))), F.lit(0)).alias("n")).first().n
+    size = found.agg(F.coalesce(F.sum(F.length("host") + 24 + 8 * (F.size("texts") + F.size("parts"))), F.lit(0)).alias("n")).first().n
     rows = pages.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{url_col}`").cast("string").alias("__url"), F.col(f"`{html_col}`").cast("string").alias("__html"), host_of(url_col).alias("host"))
-    joined = rows.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left").select("__id", "__url", "__html", "filled", "texts", "named")
+    joined = rows.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left").select("__id", "__url", "__html", "inside", "parts", "texts")
     kind = joined.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = zip(b.column(2), *(b.column(k).to_pylist() for k in (3, 4, 5)), strict=True)
-            out = [extract(source.as_py() or "", frozenset(filled or ()), frozenset(texts or ()), bool(named)) for source, filled, texts, named in rows]
+            out = [extract(source.as_py() or "", inside, frozenset(parts or ()), frozenset(texts or ())) for source, inside, parts, texts in rows]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     return joined.mapInArrow(run, f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long")

@@ -88,6 +88,48 @@ def test_all_regions_stay(spark):
     assert texts_of(spark, two) == {k: f"{b}\n\n{c}" for k, (_, b, c) in enumerate(parts)}
 
 
+@pytest.mark.parametrize("n", [3, 9, 12])
+def test_headings_that_articles_share_stay(spark, n):
+    rng = random.Random(n)
+    words = lambda k: " ".join(f"word{rng.randrange(400)}" for _ in range(k))
+    parts = [(words(6), words(60), words(50)) for _ in range(n)]
+    sources = [f"<html><body><article><h1>{a}</h1><h2>Introduction</h2><p>{b}</p><h2>Results</h2><p>{c}</p></article></body></html>" for a, b, c in parts]
+    assert texts_of(spark, sources) == {k: f"{a}\n\nIntroduction\n\n{b}\n\nResults\n\n{c}" for k, (a, b, c) in enumerate(parts)}
+
+
+def test_untold_templates(spark):
+    """Neither articles nor telling names: links, notices and boxes around the text are told by the host's pages alone."""
+    rng = random.Random(21)
+    words = lambda k: " ".join(f"word{rng.randrange(400)}" for _ in range(k))
+    sources, want = [], []
+    for k in range(15):
+        title, writer, body = words(5), words(2), [words(rng.randint(20, 60)) for _ in range(rng.randint(2, 5))]
+        links = "".join(f"<li><a href=/{j}>{words(2)}</a></li>" for j in range(rng.randint(4, 9)))
+        paragraphs = "".join(f"<p>{p}</p>" for p in body)
+        box = f"<div class=q7><p>Join our readers now</p><p>{words(2)}</p></div>" if k % 3 else ""
+        sources.append(f"<html><body><div class=q1><ul>{links}</ul></div><div class=q2>{words(3)}</div><div class=q3><h1>{title}</h1><p class=q4>{writer}</p><div class=q5>{paragraphs}<p class=q6>You are reading Host</p></div></div>{box}<div class=q8><p>Kept by Host</p><p>{rng.randrange(9)} visitors</p></div></body></html>")
+        want.append("\n\n".join([title, writer, *body]))
+    got = texts_of(spark, sources)
+    assert got == dict(enumerate(want))
+    assert all(ext.extract(s) != w for s, w in zip(sources, want, strict=True))  # markup alone doesn't tell
+
+
+def test_classes_are_nested_in_one_order():
+    root = [0, 10, 20, 30]
+    assert ext.nested([root, [11, 13], [12, 25], [15, 14], [None, 5], [31, 40]]) == [False, False, True, True, False, False]
+    assert ext.nested([[3, 1]]) == [True] and ext.nested([]) == []
+
+
+def test_occurrence_vectors_make_classes(spark):
+    """Tokens of one vector are one class; copies of a page count once."""
+    page = lambda k: f"<body><div class=a><b>{k}</b></div>{'<i>x</i>' * (k % 2)}<p>{k}</p><p>{k} more</p></body>"
+    rows = [("host", page(k), None) for k in range(6)] + [("few", page(1), None)]
+    rows = [(h, s, 4 if s == page(2) else c) for h, s, c in rows] + [("host", page(2), 4)] * 3
+    found = ext.classes(spark.createDataFrame(rows, "host string, html string, copies long")).collect()
+    assert [r.host for r in found] == ["host"] and found[0].all_pages == 6
+    assert [(c.pages, c["count"], len(c.tokens)) for c in found[0].classes] == [(6, 12, 1), (6, 6, 3), (3, 3, 1)]
+
+
 def test_contamination(spark):
     rng = random.Random(2)
     words = [f"w{k}" for k in range(3000)]
