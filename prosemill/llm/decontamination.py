@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 WINDOW, STRIDE, RANK, COSINE = 32, 16, 256, 0.25
 #: Share of a passage's energy that makes a candidate too; under half, so that copies always are.
 ENERGY = 0.45
-#: Share of an item's words that a common subsequence must cover, alone or with this share of its answer's words.
-COVERED, PARAPHRASED, ANSWERED = 0.7, 0.5, 0.8
+#: Share of an item's words that a common subsequence must cover, alone (and one word more, which tells in short items) or
+#: with this share of its answer's words.
+COVERED, PARAPHRASED, ANSWERED = 0.6, 0.5, 0.8
 #: Part of an item's distinct words that makes its answer; passages held by a task at once, more go in further passes.
 ANSWER_PART, ITEMS = 0.25, 4096
 SEED = 11
@@ -67,7 +68,8 @@ class Block:
 
 @dataclass
 class Index:
-    """vocabulary: word -> number; idf: inverse frequencies, the last that of all other words."""
+    """vocabulary: word -> number, of the whole benchmark; idf: inverse frequencies, the last that of all other words; blocks
+    and items: those of one pass."""
 
     vocabulary: dict[bytes, int]
     idf: np.ndarray
@@ -136,16 +138,6 @@ def cut_up(words: list[bytes]) -> list[list[bytes]]:
     return [words[k * len(words) // n : (k + 1) * len(words) // n] for k in range(n)]
 
 
-def n_passages(items: DataFrame) -> int:
-    """The passages of all items' texts."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sum(len(cut_up(words_of(x))) for x in b.column(0).to_pylist())], pa.int64())], names=["n"])
-
-    return items.select("text").mapInArrow(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-
-
 def block_of(spark: SparkSession, cut: list[tuple[int, list[bytes]]], vocabulary: dict[bytes, int], idf: np.ndarray) -> Block:
     """cut: (item number, words) of at most RANK passages."""
     own = {w: k for k, w in enumerate(sorted({w for _, words in cut for w in words}))}
@@ -162,16 +154,23 @@ def block_of(spark: SparkSession, cut: list[tuple[int, list[bytes]]], vocabulary
     return Block(place, rows, (a @ vectors).astype(np.float32), norms, most, most_energy, np.array([j for j, _ in cut]))
 
 
-def indexed(docs: DataFrame, items: DataFrame, text_col: str) -> Index:
-    """items: (item_id, text), few enough for a task's memory."""
+def indexed(docs: DataFrame, items: DataFrame, text_col: str) -> list[Index]:
+    """The indexes of all passes. items: (item_id, text), few enough for the driver's memory. Vocabulary and frequencies are
+    the whole benchmark's, so that no item's result depends on the others of its pass."""
     held = [(r.item_id, words_of(r.text)) for r in items.orderBy("item_id", "text").collect()]
     held = [(i, w) for i, w in held if w]
     vocabulary = {w: k for k, w in enumerate(sorted({w for _, item in held for w in item}))}
     counts, n = frequencies(docs, vocabulary, text_col)
     idf = np.log((n + 1) / (np.append(counts, 0) + 1)) + 0.05
-    cut = [(j, part) for j, (_, w) in enumerate(held) for part in cut_up(w)]
-    blocks = max(1, -(-len(cut) // RANK))
-    return Index(vocabulary, idf, [block_of(items.sparkSession, cut[k::blocks], vocabulary, idf) for k in range(blocks) if cut], held)
+    ends = np.cumsum([len(cut_up(w)) for _, w in held], dtype=np.int64)
+    passes = (ends - 1) // ITEMS if held else ends
+    found = []
+    for k in np.unique(passes).tolist():
+        part = [held[j] for j in np.flatnonzero(passes == k).tolist()]
+        cut = [(j, words) for j, (_, w) in enumerate(part) for words in cut_up(w)]
+        blocks = -(-len(cut) // RANK)
+        found.append(Index(vocabulary, idf, [block_of(items.sparkSession, cut[b::blocks], vocabulary, idf) for b in range(blocks)], part))
+    return found
 
 
 def common(item: list[bytes], region: list[bytes]) -> int:
@@ -244,7 +243,7 @@ class Searcher:
                     continue
                 share = common(item, region) / len(item)
                 answer = len(self.answers[j] & set(region)) / len(self.answers[j])
-                if share >= COVERED or share >= PARAPHRASED and answer >= ANSWERED:
+                if share >= COVERED + 1 / len(item) or share == 1 or share >= PARAPHRASED and answer >= ANSWERED:
                     now = (item_id, cosine, share, answer, start)
                     best[item_id] = max(best.get(item_id, now), now, key=lambda h: (h[2], h[3], h[1], -h[4]))
         return [best[i] for i in sorted(best)]
@@ -258,13 +257,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     columns aren't read. Benchmarks of over ITEMS passages are searched in several passes of about that many.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    blocks = max(1, -(-n_passages(items) // ITEMS))
     side = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = side.schema[0].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, item_id long, cosine double, lcs_share double, answer_share double, first_word long"
     result = None
-    for block in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        index = indexed(docs, part, text_col)
+    for index in indexed(docs, items, text_col):
 
         def search(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             searcher = Searcher(index)
@@ -274,6 +271,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 columns = [pa.array(item, pa.int64()), *(pa.array(c, pa.float64()) for c in (cosine, share, answer)), pa.array(first, pa.int64())]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *columns], names=[id_col, "item_id", "cosine", "lcs_share", "answer_share", "first_word"])
 
-        found = side.mapInArrow(search, f"`{id_col}` {kind}, item_id long, cosine double, lcs_share double, answer_share double, first_word long")
+        found = side.mapInArrow(search, schema)
         result = found if result is None else result.unionByName(found)
-    return result
+    return side.sparkSession.createDataFrame([], schema) if result is None else result

@@ -158,6 +158,50 @@ def copies_found(spark, items, docs):
     return {r.doc_id for r in dec.contaminated(df, bench).collect() if r.doc_id == r.item_id}
 
 
+def common_slow(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for k, y in enumerate(b, 1):
+            last, row[k] = row[k], last + 1 if x == y else max(row[k], row[k - 1])
+    return row[-1]
+
+
+def test_paraphrases_are_found(spark):
+    """A quarter of an item's words replaced: recall of candidates and of the result against all common subsequences."""
+    rng = random.Random(15)
+    texts = [dec.words_of(r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300).collect()]
+    texts = [[w.decode() for w in t] for t in texts if len(t) >= 150]
+    pool = [w for t in texts for w in t]
+    items = [t[at : at + rng.randint(12, 60)] for t in texts[:60] for at in [rng.randrange(80)]]
+    docs = []
+    for k, item in enumerate(items):
+        around, at = texts[60 + k % (len(texts) - 60)], rng.randrange(60)
+        changed = list(item)
+        for j in rng.sample(range(len(item)), len(item) // 4):
+            changed[j] = rng.choice(pool)
+        docs.append(around[:at] + changed + around[at:150])
+    df = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    pairs = {(d, i) for d, words in enumerate(docs) for i, item in enumerate(items) if common_slow(item, words) >= 0.65 * len(item)}
+    planted = {(k, k) for k in range(len(items))}
+    assert len(planted & pairs) >= 0.97 * len(planted)
+    [index] = dec.indexed(df, bench, "text")
+    searcher = dec.Searcher(index)
+    met = {(d, index.items[j][0]) for d, words in enumerate(docs) for j in searcher.candidates([w.encode() for w in words])}
+    found = {(r.doc_id, r.item_id) for r in dec.contaminated(df, bench).collect()}
+    assert len(met & planted) >= 0.95 * len(planted) and len(found & planted) >= 0.9 * len(planted)
+    assert len(found - planted) <= 0.05 * len(planted)
+
+
+def test_passes_dont_change_results(spark, monkeypatch):
+    docs, bench = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    whole = sorted(map(tuple, dec.contaminated(docs, bench).select("doc_id", "item_id", "lcs_share", "answer_share", "first_word").collect()))
+    monkeypatch.setattr(dec, "ITEMS", 7)
+    assert len(dec.indexed(docs, bench.selectExpr("item_id", "text"), "text")) > 5
+    assert whole and whole == sorted(map(tuple, dec.contaminated(docs, bench).select("doc_id", "item_id", "lcs_share", "answer_share", "first_word").collect()))
+
+
 def test_more_items_than_vectors(spark):
     rng = random.Random(5)
     noise = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
