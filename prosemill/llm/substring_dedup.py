@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -343,8 +344,13 @@ class Shard:
         self.ids, self.marks, self.starts = ids, marks, starts
         heads = np.flatnonzero(new)
         self.least = np.minimum.reduceat(ids[self.owner], heads)
-        padded = np.lib.stride_tricks.sliding_window_view(text, LENGTH)
-        self.windows = np.ascontiguousarray(padded[at[heads]]).view(f"S{LENGTH}").reshape(-1)
+        self.text, self.heads = text, at[heads]
+
+    @cached_property
+    def windows(self) -> np.ndarray:
+        """The sorted distinct windows themselves, made only where shards meet."""
+        windows = np.lib.stride_tricks.sliding_window_view(self.text, LENGTH)
+        return np.ascontiguousarray(windows[self.heads]).view(f"S{LENGTH}").reshape(-1)
 
     def merge(self, other: Shard) -> None:
         """Takes over the smaller documents of windows that the other shard has, found by binary search."""
