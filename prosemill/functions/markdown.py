@@ -1,7 +1,7 @@
 """A masking markdown scanner: code, link targets and URLs become NULs, in a text of the same length.
 
-Blocks: fenced and indented code, ATX and setext headings, nested list items, link reference definitions. Spans: code
-between equal runs of backticks, inline links' targets, autolinks, bare URLs.
+Blocks: fenced and indented code, HTML, ATX and setext headings, nested list items, tables, link reference and footnote
+definitions. Spans: code between equal runs of backticks, inline links' targets, autolinks, bare URLs. Lines end at \\n.
 """
 
 from __future__ import annotations
@@ -16,10 +16,27 @@ _ATX = re.compile(r" {0,3}(#{1,6})(?=[ \t]|$)")
 _ITEM = re.compile(r"( *)([-+*]|\d{1,9}[.)])(?=[ \t]|$)[ \t]*")
 _SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*$")
 _RULE = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
-_REFERENCE = re.compile(r" {0,3}\[[^\]\n]+\]:[ \t]*(<[^>\n]*>|\S+)")
+_FOOTNOTE = re.compile(r" {0,3}\[\^[^\]\s]+\]:[ \t]*")
+_ROW = re.compile(r" {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
+_CELL = re.compile(r"(?:[^|\\]|\\.)+")
+_REFERENCE = re.compile(r" {0,3}\[(?!\^)[^\]\n]+\]:[ \t]*(<[^>\n]*>|\S+)")
 _TICKS = re.compile(r"`+")
 _TARGET = re.compile(r"\]\([ \t]*(<[^>\n]*>|(?:[^\s()\\]|\\.|\([^\s()]*\))+)")
 _AUTO = re.compile(r"<(?:[a-zA-Z][a-zA-Z0-9+.-]{1,31}:[^\s<>]*|[\w.!#$%&'*+/=?^`{|}~-]+@[\w-]+(?:\.[\w-]+)+)>")
+#: HTML blocks: how they begin, what ends them (an empty line if nothing does), and if they can end a paragraph.
+_HTML = [
+    (re.compile(r"<(?:script|pre|style|textarea)(?:[ \t>]|$)", re.I), re.compile(r"</(?:script|pre|style|textarea)>", re.I), True),
+    (re.compile(r"<!--"), re.compile(r"-->"), True),
+    (re.compile(r"<\?"), re.compile(r"\?>"), True),
+    (re.compile(r"<!\[CDATA\["), re.compile(r"\]\]>"), True),
+    (re.compile(r"<![A-Za-z]"), re.compile(r">"), True),
+    (re.compile(r"</?(?:address|article|aside|base|basefont|blockquote|body|caption|center|col|colgroup|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|form|frame|frameset|h[1-6]|head|header|hr|html|iframe|legend|li|link|main|menu|menuitem|nav|noframes|ol|optgroup|option|p|param|search|section|summary|table|tbody|td|tfoot|th|thead|title|tr|track|ul)(?:[ \t>]|/>|$)", re.I), None, True),
+    (re.compile(r"(?:<[a-zA-Z][a-zA-Z0-9-]*(?:[ \t]+[a-zA-Z_:][\w.:-]*(?:[ \t]*=[ \t]*(?:[^\s\"'=<>`]+|'[^']*'|\"[^\"]*\"))?)*[ \t]*/?>|</[a-zA-Z][a-zA-Z0-9-]*[ \t]*>)[ \t]*$"), None, False),
+]
+#: What any block or span that matters begins with; a text without it is prose throughout.
+_MARKS = re.compile(r"[`<\[]|~~~|https?://|^(?: {0,3}(?:#|[-+*=]|\d{1,9}[.)])| {4}| *\t)", re.M)
+_INLINE = re.compile(r"`|\]\(|<")
+_LINE = re.compile(r"[^\n]*\n|[^\n]+")
 _URL = re.compile(r"https?://[^\s)\]]*")
 _BOLD = re.compile(r"\*\*(.*?)\*\*", re.S)
 _QUOTES = (('"', '"'), ("“", "”"), ("'", "'"), ("‘", "’"), ("«", "»"))
@@ -56,16 +73,40 @@ class Regions:
         return [(m.start(), m[0]) for m in re.finditer(r"[^\0]+", self.masked)]
 
 
-def _hide(chars: list[str], start: int, end: int) -> None:
-    for k in range(start, min(end, len(chars))):
-        if chars[k] != "\n":
-            chars[k] = MASK
+def _hidden(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text with NULs in the spans, line ends kept."""
+    out, at = [], 0
+    for start, end in sorted(spans):
+        start, end = max(start, at), min(end, len(text))
+        if start < end:
+            part = text[start:end]
+            out += [text[at:start], re.sub(r"[^\n]", MASK, part) if "\n" in part else MASK * len(part)]
+            at = end
+    return "".join([*out, text[at:]]) if out else text
+
+
+def _html(rest: str, in_paragraph: bool) -> tuple[bool, re.Pattern | None]:
+    """If an HTML block begins with a line, and what ends it."""
+    shown = rest.lstrip(" ")
+    if shown.startswith("<"):
+        for begins, ends, interrupts in _HTML:
+            if (interrupts or not in_paragraph) and begins.match(shown):
+                return True, ends
+    return False, None
+
+
+def _cells(line: str, at: int) -> list[tuple[int, int]]:
+    return [(at + m.start(), at + m.end()) for m in _CELL.finditer(line) if m[0].strip()]
 
 
 def build_regions(text: str) -> Regions:
-    chars, scopes = list(text), []
+    if not _MARKS.search(text):
+        return Regions(text)
+    hidden: list[tuple[int, int]] = []
+    scopes: list[tuple[int, int, str, int]] = []
     items: list[tuple[int, int, int, int]] = []  # (start, content indent, marker indent, level)
     fence, fence_at, place, blank, paragraph = None, 0, 0, True, None
+    html, html_end, table, before = False, None, False, 0
     inline: list[tuple[int, int]] = []  # stretches of text that may hold spans
 
     def close_items(indent: int, end: int) -> None:
@@ -73,18 +114,22 @@ def build_regions(text: str) -> Regions:
             start, _, _, level = items.pop()
             scopes.append((start, end, "list-item", level))
 
-    for line in text.splitlines(keepends=True) if text else []:
+    for line in _LINE.findall(text):
         start, place = place, place + len(line)
-        body = line.rstrip("\n")
+        body, last, before = line.rstrip("\n"), before, start
         indent = len(body) - len(body.lstrip(" "))
         if fence is not None:
             m = _FENCE.match(body.lstrip(" ") if items else body)
             if m and m[1][0] == fence[0] and len(m[1]) >= len(fence) and not m[2].strip():
-                _hide(chars, fence_at, place)
+                hidden.append((fence_at, place))
                 fence = None
             continue
+        if html:
+            html = not html_end.search(body) if html_end else bool(body.strip())
+            if html or html_end:
+                continue
         if not body.strip():
-            blank, paragraph = True, None
+            blank, paragraph, table = True, None, False
             continue
         marker = _ITEM.match(body)
         if items and indent < items[-1][1] and (blank or marker):
@@ -94,38 +139,58 @@ def build_regions(text: str) -> Regions:
         at = start + min(inside, indent)
         m = _FENCE.match(rest)
         if m and not (m[1][0] == "`" and "`" in m[2]):
-            fence, fence_at, blank, paragraph = m[1], at + len(rest) - len(rest.lstrip(" ")), False, None
+            fence, fence_at, blank, paragraph, table = m[1], at + len(rest) - len(rest.lstrip(" ")), False, None, False
             continue
         if indent - inside >= 4 and (blank or paragraph is None) and not (marker and items):
             if paragraph is None:
-                _hide(chars, start, place)
+                hidden.append((start, place))
                 blank = False
                 continue
+        if indent - inside < 4:
+            html, html_end = _html(rest, paragraph is not None)
+            if html:
+                html = not (html_end and html_end.search(rest))
+                blank, paragraph, table = False, None, False
+                continue
         if _RULE.match(rest) and not (paragraph is not None and _SETEXT.match(rest)):
-            blank, paragraph = False, None
+            blank, paragraph, table = False, None, False
             continue
         if marker and indent - inside < 4 and not _RULE.match(rest):
             close_items(indent, start) if items and indent < items[-1][1] else None
             width = marker.end() if marker.end() > len(marker[1]) + len(marker[2]) and marker.end() < len(body) else len(marker[1]) + len(marker[2]) + 1
             items.append((start + indent, width, indent, len(items) + 1))
             inline.append((start + marker.end(), place))
-            blank, paragraph = False, start
+            blank, paragraph, table = False, start, False
             continue
         atx = _ATX.match(rest)
         if atx:
             scopes.append((at + atx.start(1), start + len(body), "heading", len(atx[1])))
             inline.append((at, place))
-            blank, paragraph = False, None
+            blank, paragraph, table = False, None, False
+            continue
+        if table:
+            inline += _cells(rest, at)
             continue
+        if paragraph is not None and paragraph == last and "|" in rest + text[last:start] and _ROW.match(rest):
+            header = _cells(text[last:start].rstrip("\n"), last)
+            if len(header) == len(_cells(rest, at)):
+                inline[-1:] = header
+                table = True
+                continue
         if paragraph is not None and not items and _SETEXT.match(rest):
             scopes.append((paragraph, start + len(body), "heading", 1 if "=" in rest else 2))
             blank, paragraph = False, None
             continue
         reference = _REFERENCE.match(rest) if paragraph is None else None
         if reference:
-            _hide(chars, at + reference.start(1), at + reference.end(1))
+            hidden.append((at + reference.start(1), at + reference.end(1)))
             blank = False
             continue
+        note = _FOOTNOTE.match(rest)
+        if note:
+            inline.append((at + note.end(), place))
+            blank, paragraph = False, start
+            continue
         if inline and paragraph is not None and inline[-1][1] == start:
             inline[-1] = (inline[-1][0], place)
         else:
@@ -133,31 +198,33 @@ def build_regions(text: str) -> Regions:
         paragraph = start if paragraph is None else paragraph
         blank = False
     if fence is not None:
-        _hide(chars, fence_at, len(text))
+        hidden.append((fence_at, len(text)))
     close_items(-1, len(text))
-    for s, e in inline:
-        _spans(chars, text, s, e)
-    masked = "".join(chars)
-    for m in _URL.finditer(masked):
-        _hide(chars, *m.span())
-    return Regions("".join(chars), sorted(scopes))
+    if _INLINE.search(text):
+        for s, e in inline:
+            _spans(hidden, text, s, e)
+    masked = _hidden(text, hidden)
+    if "http" in masked:
+        masked = _hidden(masked, [m.span() for m in _URL.finditer(masked)])
+    return Regions(masked, sorted(scopes))
 
 
-def _spans(chars: list[str], text: str, start: int, end: int) -> None:
+def _spans(hidden: list[tuple[int, int]], text: str, start: int, end: int) -> None:
     """Code spans, then targets and autolinks in what is left of text[start:end]."""
-    at = start
-    while m := _TICKS.search(text, at, end):
-        close = next((c for c in _TICKS.finditer(text, m.end(), end) if len(c[0]) == len(m[0])), None)
+    code: list[tuple[int, int]] = []
+    ticks = list(_TICKS.finditer(text, start, end))
+    k = 0
+    while k < len(ticks):
+        close = next((j for j in range(k + 1, len(ticks)) if len(ticks[j][0]) == len(ticks[k][0])), None)
         if close is None:
-            at = m.end()
+            k += 1
             continue
-        _hide(chars, m.end(), close.end())
-        at = close.end()
-    left = "".join(chars[start:end])
-    for m in _TARGET.finditer(left):
-        _hide(chars, start + m.start(1), start + m.end(1))
-    for m in _AUTO.finditer(left):
-        _hide(chars, start + m.start(), start + m.end())
+        code.append((ticks[k].end() - start, ticks[close].end() - start))
+        k = close + 1
+    left = _hidden(text[start:end], code)
+    hidden += [(start + s, start + e) for s, e in code]
+    hidden += [(start + m.start(1), start + m.end(1)) for m in _TARGET.finditer(left)]
+    hidden += [(start + m.start(), start + m.end()) for m in _AUTO.finditer(left)]
 
 
 def mask_quoted(regions: Regions, dictionary: frozenset[str] | set[str]) -> Regions:

@@ -36,6 +36,11 @@ def token_positions(text: str) -> list[int]:
     return [m.start() for m in re.finditer(r"\S+", text)]
 
 
+def first_words(text: str, n: int) -> str:
+    """The first n white-space words of a window, one space between them."""
+    return " ".join(text.split(None, n)[:n])
+
+
 def _breaks(text: str) -> list[int]:
     """Places where sentences end by Unicode's sentence rules, for text whose line ends part paragraphs."""
     out, n, at = [], len(text), 0

@@ -89,26 +89,32 @@ def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 def vocab_hits(docs: DataFrame, terms: DataFrame, longest: int) -> DataFrame:
     """(doc_id, idx, n, term, entry_id): at each token the longest term that starts there. terms: (term, entry_id).
 
-    Phrases are made at tokens that begin one only; the dictionary is as large as the rules and is broadcast.
+    The longest is chosen within a document's row, of tokens that begin a term, so only hits leave it; the dictionary is
+    as large as the rules, and its entries are joined by broadcast.
     """
-    w = runs(F.col("text"))
-    heads = [r.head for r in terms.select(F.split("term", " ")[0].alias("head")).distinct().collect()]
-    at = docs.select("doc_id", w.alias("w")).select("doc_id", "w", F.posexplode("w").alias("place", "head")).where(F.col("head").isin(heads))
-    lengths = F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("place")))
-    gram = F.transform(lengths, lambda n: F.struct(n.cast("long").alias("n"), F.array_join(F.slice("w", F.col("place") + 1, n), " ").alias("term")))
-    grams = at.select("doc_id", F.col("place").cast("long").alias("idx"), F.explode(gram).alias("g")).select("doc_id", "idx", "g.n", "g.term")
-    hits = grams.join(F.broadcast(terms), "term")
-    best = Window.partitionBy("doc_id", "idx")
-    return hits.withColumn("most", F.max("n").over(best)).where("n = most").select("doc_id", "idx", "n", "term", "entry_id")
+    known: dict[int, list[str]] = {}
+    for r in terms.select("term").distinct().collect():
+        known.setdefault(r.term.count(" ") + 1, []).append(r.term)
+    heads = sorted({t.split(" ")[0] for ts in known.values() for t in ts})
+
+    def longest_at(head: Column, i: Column) -> Column:
+        found = [(n, head if n == 1 else F.array_join(F.slice("w", i + 1, n), " ")) for n in sorted(known, reverse=True) if n <= longest]
+        return F.coalesce(*[F.when(gram.isin(known[n]), F.struct(i.cast("long").alias("idx"), F.lit(n).cast("long").alias("n"), gram.alias("term"))) for n, gram in found])
+
+    at = docs.select("doc_id", runs(F.col("text")).alias("w"))
+    hits = F.filter(F.transform("w", lambda head, i: F.when(head.isin(heads), longest_at(head, i))), lambda h: h.isNotNull())
+    return at.select("doc_id", F.inline(hits)).join(F.broadcast(terms), "term").select("doc_id", "idx", "n", "term", "entry_id")
 
 
 def spans(docs: DataFrame, pattern: str) -> DataFrame:
-    """(doc_id, k, start, matched) of a pattern's matches, which mustn't be empty: gaps and matches give the places."""
+    """(doc_id, k, start, matched) of a pattern's matches, which mustn't be empty: gaps and matches give the places, which
+    are summed once in the row."""
     gaps, found = F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
     rows = docs.select("doc_id", gaps.alias("gaps"), found.alias("found")).where(F.size("found") > 0)
-    rows = rows.select("doc_id", "gaps", "found", F.posexplode("found").alias("k", "matched"))
-    start = F.aggregate(F.slice("gaps", 1, F.col("k") + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice("found", 1, F.col("k")), F.lit(0), lambda a, x: a + F.length(x))
-    return rows.select("doc_id", F.col("k").cast("long").alias("k"), start.cast("long").alias("start"), "matched")
+    ends = F.aggregate(F.zip_with(F.slice("gaps", 1, F.size("found")), "found", lambda g, m: F.length(g) + F.length(m)), F.array(F.lit(0)), lambda ends, n: F.concat(ends, F.array(F.element_at(ends, -1) + n)))
+    rows = rows.select("doc_id", "gaps", "found", ends.alias("ends"))
+    starts = F.transform("found", lambda m, k: F.struct(k.cast("long").alias("k"), (F.get("ends", k) + F.length(F.get("gaps", k))).cast("long").alias("start"), m.alias("matched")))
+    return rows.select("doc_id", F.inline(starts))
 
 
 def streak(rows: DataFrame, key: str, order: str, same: Column) -> DataFrame:

@@ -2,82 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.markdown import build_regions, mask_quoted
-from .functions.words import lcs_ratio, lower_runs, sentence_units
+from . import engine_queries
 from .operators import native as N
-from .operators.scan import clusters, repeated
-from .plans import engine, render
-from .plugins import BUILTIN
-from .rules.loader import load, load_text
-from .rules.model import Repetition, Settings
-from .rules.stems import expand
-from .sources import from_table
+from .plans import engine
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-#: A pack whose terms occur in generated text.
-PACK = """
-[[group]]
-id-base = "FUNCTION"
-kind = "vocab"
-tier = 2
-category = "function words"
-[[group.entries]]
-slug = "the-of"
-terms = ["the of"]
-replacement = "of the"
-[[group.entries]]
-slug = "and"
-terms = ["and the", "the and"]
-[[group.entries]]
-slug = "that"
-terms = ["that"]
-replacement = "which"
-
-[[group]]
-id-base = "LICENCE"
-kind = "literal-ban"
-tier = 1
-category = "artifact"
-[[group.entries]]
-slug = "line"
-terms = ["licensed under", "released under", "version {N}"]
-
-[[group]]
-id-base = "NUMBER"
-kind = "pattern"
-tier = 2
-category = "data"
-[[group.entries]]
-slug = "phone"
-regex = '\\((?P<area>[0-9]{3})\\) [0-9]{3}-[0-9]{4}'
-message = "a phone number of area {area}"
-
-[[group]]
-id-base = "RHYTHM"
-kind = "metric"
-tier = 3
-category = "rhythm"
-stat = "sent_len_cv"
-threshold-lt = 0.5
-message = "variation {value}"
-
-[[group]]
-id-base = "REPEATS"
-kind = "repetition"
-tier = 3
-category = "repetition"
-variant = "near-verbatim"
-threshold = 0.55
-"""
 TERMS = [("the of", "W#a"), ("of the", "W#b"), ("and the", "W#c"), ("the", "W#d"), ("in", "W#e"), ("de la", "W#f")]
 PATTERNS = [("[0-9]{3}-[0-9]{4}", "P1#tail", 2), ("[0-9]{3}-[0-9]{4}", "P2#tail", 3), ("@[a-z]+", "P3#at", 1)]
 CLUSTER = [("the", 0), ("of", 1), ("and", 2), ("that", 3), ("with", 4), ("from", 5)]
@@ -182,41 +119,15 @@ def metric_floor_nulls(spark, sf_dir):
     return docs_of(spark, sf_dir).select((N.word_count(F.col("text")) >= 250).alias("judged")).groupBy("judged").agg(F.count("*").alias("docs"))
 
 
-EOL = [(1, "a\r\nb\rc\n"), (2, "no ends"), (3, "\r\r\n\n"), (4, "x\r\n\r\ny")]
-
-
-@query(r"select id, replace(replace(t, '\r\n', '\n'), '\r', '\n') as norm, cast((length(t) - length(replace(t, '\r\n', ''))) / 2 as bigint) as pairs from (values (1, 'a\r\nb\rc\n'), (2, 'no ends'), (3, '\r\r\n\n'), (4, 'x\r\n\r\ny')) v(id, t)".replace(r"\r", "' || chr(13) || '").replace(r"\n", "' || chr(10) || '"))
-def eol_normalize(spark, sf_dir):
-    df = spark.createDataFrame(EOL, "id int, t string")
-    return df.select("id", F.regexp_replace("t", "\r\n?", "\n").alias("norm"), N.count_of(F.col("t"), "\r\n").alias("pairs"))
-
-
-@query(r"select page_id, cast(len(u) as bigint) as n_urls, cast(coalesce(list_sum(list_transform(u, lambda x: length(x))), 0) as bigint) as masked from (select page_id, regexp_extract_all(html, 'https?://[^ \t\n\r)\]]*') as u from pages)")
-def bare_url_mask(spark, sf_dir):
-    u = F.regexp_extract_all("html", F.lit("https?://[^ \t\n\r)\\]]*"), F.lit(0))
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.size(u).cast("long").alias("n_urls"), F.aggregate(u, F.lit(0), lambda a, x: a + F.length(x)).cast("long").alias("masked"))
-
-
-@query(r"select page_id, cast(length(regexp_replace(html, '<[^>]*>', ' ', 'g')) as bigint) as visible from pages")
-def visible_prose(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.length(F.regexp_replace("html", "<[^>]*>", " ")).cast("long").alias("visible"))
-
-
-@query(rf"select doc_id, cast(idx as bigint) as idx, cast(len(list_filter(string_split_regex(p, '[ \t\n\r]+'), lambda w: regexp_matches(w, '[\p{{L}}\p{{N}}]'))) as bigint) as words from (select doc_id, unnest(u) as p, unnest(range(0, len(u))) as idx from (select doc_id, string_split(text, chr(10)) as u from documents)) where regexp_matches(p, '[\p{{L}}\p{{N}}]')")
-def paragraph_units(spark, sf_dir):
-    rows = docs_of(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "p")).where(F.col("p").rlike(N.ALNUM))
-    return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), N.word_count(F.col("p")).cast("long").alias("words"))
-
-
 @query(f"select doc_id, cast(len(w) as bigint) as tokens, cast(len(list_distinct(w)) as bigint) as kinds from (select doc_id, {RUNS_SQL} as w from documents)")
 def token_explode(spark, sf_dir):
     w = N.runs(F.col("text"))
     return docs_of(spark, sf_dir).select("doc_id", F.size(w).cast("long").alias("tokens"), F.size(F.array_distinct(w)).cast("long").alias("kinds"))
 
 
-@query(rf"select item_id, cast(i - 1 as bigint) as idx, w[i] as token from (select item_id, w, unnest(range(1, len(w) + 1)) as i from (select item_id, {RUNS_SQL} as w from benchmark))")
+@query(rf"select doc_id, cast(i - 1 as bigint) as idx, w[i] as token from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from (select doc_id, {RUNS_SQL} as w from documents))")
 def token_positions(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.posexplode(N.runs(F.col("text"))).alias("idx", "token"))
+    rows = docs_of(spark, sf_dir).select("doc_id", F.posexplode(N.runs(F.col("text"))).alias("idx", "token"))
     return rows.withColumn("idx", F.col("idx").cast("long"))
 
 
@@ -235,15 +146,6 @@ def vocab_phrase_longest(spark, sf_dir):
     return word_hits(spark, sf_dir)
 
 
-STEMS = [(f, base) for base in ("the", "shin", "of") for f in expand(base)]
-
-
-@query(f"with t(term, base) as {values(STEMS)} select base, term, count(*) as hits from (select unnest({RUNS_SQL}) as term from documents) join t using (term) group by all")
-def vocab_stems(spark, sf_dir):
-    terms = N.small(spark, STEMS, "term string, base string")
-    return N.token_rows(docs_of(spark, sf_dir)).withColumnRenamed("token", "term").join(F.broadcast(terms), "term").groupBy("base", "term").agg(F.count("*").alias("hits"))
-
-
 @query(r"select doc_id, cast(len(m) as bigint) as hits, m[1] as first from (select doc_id, regexp_extract_all(text, '(?i)cc by-nc [0-9]+') as m from documents) where len(m) > 0")
 def literal_digits(spark, sf_dir):
     m = F.regexp_extract_all("text", F.lit("(?i)cc by-nc [0-9]+"), F.lit(0))
@@ -284,12 +186,6 @@ def cluster_document(spark, sf_dir):
     return clustered(N.token_rows(docs_of(spark, sf_dir)), spark, ["doc_id"])
 
 
-@query(rf"{CLUSTER_SQL} select doc_id, cast(idx as bigint) as idx, count(distinct lemma) as distinct_terms from (select doc_id, idx, unnest(regexp_extract_all(lower(p), '[\p{{L}}\p{{N}}]+')) as token from (select doc_id, unnest(u) as p, unnest(range(0, len(u))) as idx from (select doc_id, string_split(text, chr(10)) as u from documents))) join t using (token) group by doc_id, idx having count(distinct lemma) > 3")
-def cluster_paragraph(spark, sf_dir):
-    rows = docs_of(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "text")).select("doc_id", F.col("idx").cast("long").alias("idx"), F.explode(N.runs(F.col("text"))).alias("token"))
-    return clustered(rows, spark, ["doc_id", "idx"])
-
-
 @query(rf"""with u as ({UNITS_SQL}), f as (select doc_id, idx, regexp_matches(unit, '\b[a-z]+, [a-z]+, and [a-z]+\b') as f, row_number() over (partition by doc_id order by idx) as r from u),
 i as (select doc_id, r - row_number() over (partition by doc_id order by idx) as i from f where f) select doc_id, max(n) as streak from (select doc_id, i, count(*) as n from i group by all) group by doc_id""")
 def tricolon_streak(spark, sf_dir):
@@ -315,51 +211,12 @@ def sent_len_cv(spark, sf_dir):
     return rows.groupBy("doc_id").agg(F.round(F.stddev_pop("n") / F.avg("n"), 6).alias("cv"), F.count("*").alias("sentences")).where("sentences >= 6")
 
 
-SHINGLES_SQL = rf"select item_id, case when len(w) >= 4 then list_distinct(list_transform(range(1, len(w) - (case when len(w) >= 8 then 8 else 4 end) + 2), lambda i: array_to_string(list_slice(w, i, i + (case when len(w) >= 8 then 8 else 4 end) - 1), ' '))) else [] end as s from (select item_id, {RUNS_SQL} as w from benchmark)"
+SHINGLES_SQL = rf"select doc_id, case when len(w) >= 4 then list_distinct(list_transform(range(1, len(w) - (case when len(w) >= 8 then 8 else 4 end) + 2), lambda i: array_to_string(list_slice(w, i, i + (case when len(w) >= 8 then 8 else 4 end) - 1), ' '))) else [] end as s from (select doc_id, {RUNS_SQL} as w from documents)"
 
 
-@query(f"select item_id, cast(len(s) as bigint) as shingles from ({SHINGLES_SQL})")
+@query(f"select doc_id, cast(len(s) as bigint) as shingles from ({SHINGLES_SQL})")
 def shingles(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.size(N.shingles(N.runs(F.col("text")))).cast("long").alias("shingles"))
-
-
-@query(rf"""with u as ({UNITS_SQL}), c as (select *, row_number() over (partition by doc_id order by idx) as r from u where len(string_split_regex(unit, '[ \t\n\r]+')) >= 7)
-select a.doc_id, a.idx as a, b.idx as b from c a join c b on a.doc_id = b.doc_id and b.r - a.r between 1 and 20 and lower(a.unit) = lower(b.unit)""")
-def jaccard_pairs(spark, sf_dir):
-    """Pairs of equal sentences (Jaccard similarity 1) of a document within 20 sentences: an equality and range join."""
-    rows = N.units(docs_of(spark, sf_dir)).where(F.size(F.split("unit", N.SPACES)) >= 7)
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("idx"))).withColumn("key", F.lower("unit"))
-    a, b = rows.select("doc_id", "key", F.col("idx").alias("a"), F.col("r").alias("ra")), rows.select("doc_id", "key", F.col("idx").alias("b"), F.col("r").alias("rb"))
-    return a.join(b, ["doc_id", "key"]).where("rb - ra between 1 and 20").select("doc_id", "a", "b")
-
-
-@query(rf"select item_id, cast(len(list_distinct(list_filter({RUNS_SQL}, lambda w: octet_length(encode(w)) >= 3 and w not in ('the', 'and', 'that', 'with', 'from', 'for', 'was', 'are')))) as bigint) as content from benchmark")
-def content_words(spark, sf_dir):
-    w = F.filter(N.runs(F.col("text")), lambda x: (F.octet_length(x) >= 3) & ~x.isin("the", "and", "that", "with", "from", "for", "was", "are"))
-    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.size(F.array_distinct(w)).cast("long").alias("content"))
-
-
-CLAIMS = [("vocab", "use", "A#1", 2, 1), ("vocab", "use", "B#1", 1, 2), ("vocab", "big", "A#2", 2, 3), ("literal-ban", "use", "C#1", 3, 4), ("vocab", "big", "D#1", 2, 5)]
-THRESHOLDS = [("G1", "dash", "gt", 2.0, 1), ("G2", "dash", "gt", 3.0, 2), ("G3", "dash", "lt", 1.0, 3), ("G4", "cv", "lt", 0.5, 4), ("G5", "cv", "lt", 0.3, 5)]
-
-
-@query(f"with c(kind, term, entry_id, tier, ordinal) as {values(CLAIMS)} select kind, term, entry_id from (select *, row_number() over (partition by kind, term order by tier, ordinal) as r from c) where r = 1")
-def term_dedup(spark, sf_dir):
-    w = Window.partitionBy("kind", "term").orderBy("tier", "ordinal")
-    return N.small(spark, CLAIMS, "kind string, term string, entry_id string, tier int, ordinal int").withColumn("r", F.row_number().over(w)).where("r = 1").select("kind", "term", "entry_id")
-
-
-@query(f"with c(id, stat, direction, cutoff, ordinal) as {values(THRESHOLDS)} select id, stat, direction from (select *, row_number() over (partition by stat, direction order by case when direction = 'gt' then -cutoff else cutoff end, ordinal) as r from c) where r = 1")
-def metric_dedup(spark, sf_dir):
-    strict = F.when(F.col("direction") == "gt", -F.col("cutoff")).otherwise(F.col("cutoff"))
-    w = Window.partitionBy("stat", "direction").orderBy(strict, "ordinal")
-    return N.small(spark, THRESHOLDS, "id string, stat string, direction string, cutoff double, ordinal int").withColumn("r", F.row_number().over(w)).where("r = 1").select("id", "stat", "direction")
-
-
-@query(f"with c(id, stat, direction, cutoff, ordinal) as {values(THRESHOLDS)} select stat as variant, id from (select *, row_number() over (partition by stat order by cutoff desc, ordinal) as r from c) where r = 1")
-def repetition_dedup(spark, sf_dir):
-    w = Window.partitionBy("stat").orderBy(F.desc("cutoff"), "ordinal")
-    return N.small(spark, THRESHOLDS, "id string, stat string, direction string, cutoff double, ordinal int").withColumn("r", F.row_number().over(w)).where("r = 1").select(F.col("stat").alias("variant"), "id")
+    return docs_of(spark, sf_dir).select("doc_id", N.runs(F.col("text")).alias("w")).select("doc_id", F.size(N.shingles(F.col("w"))).cast("long").alias("shingles"))
 
 
 LEVELS = {"W": "note", "W#a": "error", "W#f": "allow"}
@@ -391,11 +248,6 @@ def fix_overlap_antijoin(spark, sf_dir):
     return N.without_overlaps(found).select("doc_id", "start", "entry_id")
 
 
-@query(r"select doc_id, md5(regexp_replace(text, '\bthat\b', 'which', 'g')) as fixed from documents where regexp_matches(text, '\bthat\b') and lang = 'en'")
-def fix_rewrite(spark, sf_dir):
-    return docs_of(spark, sf_dir).where(F.col("text").rlike("\\bthat\\b") & (F.col("lang") == "en")).select("doc_id", F.md5(F.regexp_replace("text", "\\bthat\\b", "which")).alias("fixed"))
-
-
 @query(f"""with h as ({HITS_SQL}) select '{{"doc_id":' || doc_id || ',"idx":' || idx || ',"entry_id":"' || entry_id || '","replacement":null}}' as json from h""")
 def json_lines(spark, sf_dir):
     return word_hits(spark, sf_dir).select(F.to_json(F.struct("doc_id", "idx", "entry_id", F.lit(None).cast("string").alias("replacement")), {"ignoreNullFields": "false"}).alias("json"))
@@ -416,172 +268,7 @@ def member_excerpt(spark, sf_dir):
     return docs_of(spark, sf_dir).select("doc_id", N.member_excerpt(F.col("text")).alias("excerpt"))
 
 
-EXCLAIM_SQL = r"select cast(doc_id as varchar) as path, round(m * 1000.0 / w, 6) as rate from (select doc_id, length(text) - length(replace(text, '!', '')) as m, len(list_filter(string_split_regex(text, '[ \t\n\r]+'), lambda x: x <> '')) as w from documents) where w >= 250 and m * 1000.0 / w > 1.0"
-
-
-@query(EXCLAIM_SQL)
-def exclaim_rate(spark, sf_dir):
-    t = F.col("text")
-    n = F.size(F.filter(F.split(t, N.SPACES), lambda w: w != ""))
-    rows = docs_of(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), N.count_of(t, "!").alias("m"), n.alias("w"))
-    return rows.where("w >= 250 and m * 1000.0D / w > 1.0").select("path", F.round(F.col("m") * F.lit(1000.0) / F.col("w"), 6).alias("rate"))
-
-
-@query(f"select path, 'EXCLAIM#rate' as rule_id from ({EXCLAIM_SQL})")
-def plugin_findings(spark, sf_dir):
-    """The built-in plugin through the engine's host."""
-    docs = from_table(docs_of(spark, sf_dir), "doc_id")
-    return engine.scan(docs, load_text([]), plugins=[(BUILTIN["EXCLAIM"], BUILTIN["EXCLAIM"].defaults)]).select("path", "rule_id")
-
-
-# The queries below have no form in SQL: markdown, sentences, sequences and graphs of each document. Tests hold them
-# against their definitions.
-
-
-@query()
-def doc_findings(spark, sf_dir):
-    """All scanners over all documents."""
-    return engine.scan(from_table(docs_of(spark, sf_dir), "doc_id"), load_text([("pack", PACK)])).drop("url")
-
-
-@query()
-def doc_stats(spark, sf_dir):
-    return engine.doc_stats(from_table(docs_of(spark, sf_dir), "doc_id"))
-
-
-@query()
-def starter_findings(spark, sf_dir):
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return engine.scan(turns.select(F.concat_ws("/", "conv_id", "turn").alias("path"), "text"), load()).drop("url")
-
-
-@query()
-def fixed_documents(spark, sf_dir):
-    fixed = engine.fix(from_table(docs_of(spark, sf_dir), "doc_id"), load_text([("pack", PACK)]))
-    return fixed.select("path", F.md5("fixed").alias("fixed"), "applied", "overlapped", "unfixable")
-
-
-@query()
-def fix_summary(spark, sf_dir):
-    return engine.fix_summary(engine.fix(from_table(docs_of(spark, sf_dir), "doc_id"), load_text([("pack", PACK)])))
-
-
-@query()
-def rule_listing(spark, sf_dir):
-    return engine.rule_listing(spark, load(), Settings({"starter-vocab": "note"}), [(BUILTIN["EXCLAIM"], {})])
-
-
-@query()
-def json_findings(spark, sf_dir):
-    return render.json_lines(engine.scan(from_table(docs_of(spark, sf_dir), "doc_id"), load_text([("pack", PACK)]))).select("json")
-
-
-@query()
-def github_findings(spark, sf_dir):
-    return render.github_lines(engine.scan(from_table(docs_of(spark, sf_dir), "doc_id"), load_text([("pack", PACK)]))).select("annotation")
-
-
-def per_document(docs: DataFrame, f: Callable[[str], list[tuple]], schema: str) -> DataFrame:
-    """Rows that f makes of each text, with its doc_id."""
-    names = ["doc_id", *(x.split()[0] for x in schema.split(", "))]
-    types = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
-    kinds = [pa.int64(), *(types[x.split()[1]] for x in schema.split(", "))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(doc, *r) for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True) for r in f(text.as_py() or "")]
-            columns = zip(*rows, strict=True) if rows else ((),) * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {schema}")
-
-
-def _masked(text: str) -> list[tuple]:
-    r = build_regions(text)
-    return [(r.masked.count("\0"), len(r.scopes), len(r.bold()))]
-
-
-@query()
-def markdown_mask(spark, sf_dir):
-    return per_document(docs_of(spark, sf_dir), _masked, "hidden long, scopes long, bold long")
-
-
-def _mentions(text: str) -> list[tuple]:
-    r = build_regions(text)
-    return [(mask_quoted(r, frozenset({"the", "of", "and"})).masked.count("\0") - r.masked.count("\0"),)]
-
-
-@query()
-def use_mention_mask(spark, sf_dir):
-    return per_document(docs_of(spark, sf_dir), _mentions, "hidden long")
-
-
-def _sentences(text: str) -> list[tuple]:
-    return [(s, e) for s, e in sentence_units(text, 7)]
-
-
-@query()
-def sentence_spans(spark, sf_dir):
-    return per_document(docs_of(spark, sf_dir), _sentences, "start long, stop long")
-
-
-def _clusters(text: str) -> list[tuple]:
-    import re
-
-    surface = re.compile("|".join(rf"(?<![A-Za-z0-9]){t}(?![A-Za-z0-9])" for t, _ in CLUSTER))
-    return [(s, e, len(t)) for (s, e), t in clusters(text, surface, dict(CLUSTER), "sentence") if len(t) > 3]
-
-
-@query()
-def cluster_sentence(spark, sf_dir):
-    return per_document(docs_of(spark, sf_dir), _clusters, "start long, stop long, distinct_terms long")
-
-
-def _lcs(text: str) -> list[tuple]:
-    units = [lower_runs(text[s:e]) for s, e in sentence_units(text, 7)]
-    return [(k, k + 1, lcs_ratio(a, b)) for k, (a, b) in enumerate(zip(units, units[1:], strict=False))]
-
-
-@query()
-def lcs_pairs(spark, sf_dir):
-    return per_document(docs_of(spark, sf_dir), _lcs, "a long, b long, ratio double")
-
-
-def _near(text: str) -> list[tuple]:
-    return [(g[0][0], len(g)) for g in repeated(text, Repetition("near-verbatim", 0.55, 2, 200))]
-
-
-@query()
-def near_verbatim_components(spark, sf_dir):
-    return per_document(docs_of(spark, sf_dir), _near, "start long, members long")
-
-
-def _family(text: str) -> list[tuple]:
-    return [(g[0][0], len(g)) for g in repeated(text.replace("\n", "\n\n"), Repetition("content-family", 0.6, 2))]
-
-
-@query()
-def content_family_components(spark, sf_dir):
-    return per_document(docs_of(spark, sf_dir), _family, "start long, members long")
-
-
-def hashed_embedder(texts: list[str]):
-    """A deterministic stand-in for a sentence encoder: unit bags of hashed words."""
-    import zlib
-
-    import numpy as np
-
-    out = np.zeros((len(texts), 384), np.float32)
-    for k, t in enumerate(texts):
-        for w in lower_runs(t):
-            out[k, zlib.crc32(w.encode()) % 384] += 1
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
-
-
-def _propositional(text: str) -> list[tuple]:
-    return [(g[0][0], len(g)) for g in repeated(text, Repetition("propositional", 0.78, 2, 500), hashed_embedder)]
 
 
-@query()
-def propositional_components(spark, sf_dir):
-    return per_document(docs_of(spark, sf_dir), _propositional, "start long, members long")
+QUERIES |= engine_queries.QUERIES
+ORACLE_SQL |= engine_queries.ORACLE_SQL

@@ -38,9 +38,18 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["doc_stats", "fixed_documents", "sentence_spans", "lcs_pairs", "near_verbatim_components", "propositional_components", "cluster_sentence"])
-def test_runs_whole(spark, name):
-    assert entry.queries()[name](spark, SF).columns
+def test_queries_make_rows(spark):
+    assert not [n for n in sorted(prose.ORACLE_SQL) if entry.queries()[n](spark, SF).isEmpty()]
+
+
+def test_long_documents_fit(spark):
+    """20,000 words of which every one begins a term."""
+    from prosemill.operators import native
+
+    docs = spark.createDataFrame([(1, "the of " * 10_000)], "doc_id long, text string")
+    terms = spark.createDataFrame([("the of", "a"), ("of the", "b"), ("the", "c")], "term string, entry_id string")
+    assert native.vocab_hits(docs, terms, 2).count() == 19_999
+    assert native.spans(docs, "the").agg({"start": "max"}).first()[0] == 7 * 9_999
 
 
 def test_kernel_counts_agree_with_native(spark):
