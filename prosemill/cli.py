@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
+import os
 import sys
+from itertools import groupby
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -12,7 +15,7 @@ from pyspark.sql import SparkSession
 from . import config as configs
 from .plans import engine, render
 from .plugins import BUILTIN, loaded
-from .rules.loader import LoadErrors, load, starter
+from .rules.loader import LoadErrors, load
 from .sources import from_files
 
 
@@ -20,6 +23,7 @@ def main(argv: list[str] | None = None) -> int:
     top = argparse.ArgumentParser(prog="prosemill")
     top.add_argument("--config")
     top.add_argument("--rule-file", action="append", default=[])
+    top.add_argument("--rules-dir", help="folder of built-in packs")
     commands = top.add_subparsers(dest="command", required=True)
     lint = commands.add_parser("lint")
     lint.add_argument("paths", nargs="+")
@@ -44,15 +48,20 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     try:
         config = configs.discover(explicit=args.config)
-        packs = [starter()] if "starter" in config.builtin else []
+        root = configs.pack_root(args.rules_dir)
+        packs = [configs.builtin_pack(stem, root) for stem in config.builtin]
         packs += [Path(config.folder or ".") / p for p in config.extra_paths] + [Path(p) for p in args.rule_file]
         ruleset = load(packs, embedder=False)
-    except (configs.ConfigError, LoadErrors) as e:
+    except LoadErrors as e:
+        print(render.load_errors(e.errors), file=sys.stderr)
+        return 2
+    except configs.ConfigError as e:
         print(e, file=sys.stderr)
         return 2
     settings, (plugins, odd) = config.settings(), loaded(config.plugins)
     for w in ruleset.warnings + odd:
         print(f"warning: {w}", file=sys.stderr)
+    logging.basicConfig(level=os.environ.get("PROSEMILL_LOG", "WARNING").upper())
     spark = SparkSession.builder.appName("prosemill").getOrCreate()
     if args.command == "rules":
         rows = engine.rule_listing(spark, ruleset, settings, plugins).collect()
@@ -64,6 +73,8 @@ def main(argv: list[str] | None = None) -> int:
         fixed = engine.fix(docs, ruleset, settings)
         if args.out:
             fixed.select("path", "fixed").write.mode("overwrite").parquet(args.out)
+        for r in fixed.where("applied > 0").select("path", "applied").orderBy("path").toLocalIterator():
+            print(f"{r.path}: {r.applied} fixed")
         total = engine.fix_summary(fixed).first()
         print(f"{total.applied} fixed in {total.files_changed} files, {total.skipped_overlaps} overlap, {total.unfixable} can't be fixed")
         return int(total.skipped_overlaps + total.unfixable > 0)
@@ -75,8 +86,11 @@ def main(argv: list[str] | None = None) -> int:
         for r in engine.ordered_lines(render.github_lines(found)).toLocalIterator():
             print(r.annotation)
     else:
-        hit = docs.join(found.select("path").distinct(), "path", "left_semi")
-        print(render.human(engine.ordered(found).toLocalIterator(), {r.path: r.text for r in hit.toLocalIterator()}, args.width))
+        # a document's text comes with its findings, one document at a time
+        told = engine.ordered(found.join(docs.select("path", "text"), "path")).toLocalIterator()
+        for path, rows in groupby(told, key=lambda r: r.path):
+            rows = list(rows)
+            print(render.human(rows, {path: rows[0].text}, args.width))
     return int(engine.blocking(found))
 
 

@@ -107,3 +107,23 @@ def plugin_path(declared: str, config_folder: str | None, data_folder: str) -> P
     if path.is_absolute():
         return path
     return Path(config_folder or ".") / path if declared.startswith(("./", "../")) else Path(data_folder) / path
+
+
+def pack_root(given: str | Path | None = None) -> Path | None:
+    """The folder of packs: the given one, the user's, that of the working folder; None for those of the package only."""
+    if given is not None:
+        return Path(given)
+    return next((p for p in (Path.home() / ".config/prosemill/rules", Path("rules")) if p.is_dir()), None)
+
+
+def builtin_pack(stem: str, root: Path | None) -> Path:
+    """<stem>.toml of the root, else of the package, where `starter` is a folder of packs."""
+    if root is not None and (root / f"{stem}.toml").is_file():
+        return root / f"{stem}.toml"
+    from .rules.loader import starter
+
+    if stem == "starter":
+        return starter()
+    if (starter() / f"{stem}.toml").is_file():
+        return starter() / f"{stem}.toml"
+    raise ConfigError(f"packs: no built-in pack {stem!r}" + (f" in {root}" if root else ""))

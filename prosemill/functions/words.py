@@ -7,6 +7,7 @@ import re
 _UAX_WORD = re.compile(r"\w+(?:(?:(?<=[^\W\d_])['’.:·](?=[^\W\d_])|(?<=\d)[.,;'’](?=\d))\w+)*")
 _RUN = re.compile(r"[^\W_]+")
 _ALNUM = re.compile(r"[^\W_]")
+_WORD_OF_ANY = re.compile(r"[^\s\w]*_*[^\W_]\S*|\S*[^\W_]\S*")
 #: Abbreviations after which no sentence ends.
 GUARDS = ("e.g", "i.e", "dr", "vs", "etc", "mr")
 #: Words without content of their own.
@@ -20,12 +21,13 @@ _SPACE = " \t\xa0"
 
 def tokens(masked: str) -> list[tuple[int, int, str]]:
     """(start, end, lower-case word) by Unicode's word rules, of words with a letter or digit; hyphens part words."""
-    return [(m.start(), m.end(), m[0].lower()) for m in _UAX_WORD.finditer(masked) if _ALNUM.search(m[0])]
+    found = [(m.start(), m.end(), m[0].lower()) for m in _UAX_WORD.finditer(masked)]
+    return [t for t in found if _ALNUM.search(t[2])] if "_" in masked else found
 
 
 def word_count(text: str) -> int:
     """White-space-separated words with a letter or digit."""
-    return sum(_ALNUM.search(w) is not None for w in text.split())
+    return len(_WORD_OF_ANY.findall(text))
 
 
 def lower_runs(text: str) -> list[str]:

@@ -60,6 +60,7 @@ class Scanner:
                         self.vocabulary.setdefault(" ".join(term.split()), []).append((g, e))
         self.longest = max((t.count(" ") + 1 for t in self.vocabulary), default=1)
         self.heads = {t.split(" ")[0] for t in self.vocabulary if " " in t}
+        self.starts = {t.split(" ")[0] for t in self.vocabulary}
         self.literals = [(g, e, [literals.compiled(t) for t in e.terms]) for g in ruleset.groups if g.kind == "literal-ban" and s.live(g) for e in g.entries if s.level(g.id, e.id) != "allow"]
         # equal sources run once and serve all their owners
         owners: dict[str, list[tuple[Group, Entry]]] = {}
@@ -130,7 +131,10 @@ class _Document:
 
     def vocab(self) -> None:
         text, words = self.regions.masked, tokens(self.regions.masked)
+        starts = self.s.starts
         for k, (start, _, word) in enumerate(words):
+            if word not in starts:
+                continue
             for n in range(self.s.longest if word in self.s.heads else 1, 0, -1):
                 part = words[k : k + n]
                 if len(part) < n or any(text[a[1] : b[0]] != " " for a, b in zip(part, part[1:], strict=False)):

@@ -7,6 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from ..rules.model import LoadError
+from .truncate import window
+
 _SEVERITY = {1: "error", 2: "warning", 3: "note"}
 
 
@@ -39,28 +42,35 @@ def github_lines(findings: DataFrame) -> DataFrame:
 
 
 def human(rows: Iterable[Row], sources: dict[str, str], width: int = 0) -> str:
-    """Diagnostics with the source line and carets; findings of a whole document or of stretches have no carets."""
+    """Diagnostics with the source lines and carets under each line of the span, cut to a width; findings of a stretch
+    have no carets and two lines at most, those of a whole document no lines."""
     out = []
     for r in rows:
         out.append(f"{_SEVERITY[r.tier]}[{r.rule_id}]: {r.message}")
         if (r.start, r.end) != (0, 0):
             out.append(f"  --> {r.path}:{r.line}:{r.col}")
-            lines = sources.get(r.path, "").split("\n")
-            shown = lines[r.line - 1 : r.line + 1] if r.anchorless else lines[r.line - 1 : r.line]
-            for k, line in enumerate(shown):
-                out.append(f"{r.line + k:>5} | {clipped(line, r.col - 1 if not k else 0, width)}")
-            if r.anchorless and r.excerpt.count("\n") > 1:
-                out.append("      | ...")
-            if not r.anchorless and not width:
-                out.append("      | " + " " * (r.col - 1) + "^" * max(1, len(r.excerpt.split("\n")[0])))
+            lines, parts = sources.get(r.path, "").split("\n"), r.excerpt.split("\n")
+            for k, part in enumerate(parts[:2] if r.anchorless else parts):
+                line = lines[r.line - 1 + k] if r.line - 1 + k < len(lines) else ""
+                at = r.col - 1 if not k else 0
+                shown, before, size = window(line, at, at + len(part), width)
+                out.append(f"{r.line + k:>5} {'│' if r.anchorless else '|'} {shown}")
+                if not r.anchorless:
+                    out.append("      | " + " " * before + "^" * size)
+            if r.anchorless and len(parts) > 2:
+                out.append("      │ …")
         out += [f"      = {name}: {value}" for name, value in (("help", r.advice), ("note", r.context), ("see", f"{r.url.text} - {r.url.href}" if r.url else None)) if value]
         out.append("")
     return "\n".join(out)
 
 
-def clipped(line: str, at: int, width: int) -> str:
-    """The part of a line around a place that fits a width; 0 fits all."""
-    if not width or len(line) <= width:
-        return line
-    start = max(0, min(at - width // 2, len(line) - width))
-    return ("…" if start else "") + line[start : start + width] + ("…" if start + width < len(line) else "")
+def load_errors(errors: Iterable[LoadError]) -> str:
+    """Errors of rule packs under the file that each is in, by line."""
+    by_path: dict[str, list[LoadError]] = {}
+    for e in errors:
+        by_path.setdefault(e.path, []).append(e)
+    out = []
+    for path, found in by_path.items():
+        out.append(f"error: {path}: {len(found)} problem{'s' * (len(found) > 1)}")
+        out += [f"  {f'line {e.line}: ' if e.line else ''}{e.message}" for e in sorted(found, key=lambda e: e.line or 0)]
+    return "\n".join(out)
