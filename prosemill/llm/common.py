@@ -61,8 +61,11 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def cleared(self, *names: str) -> None:
+        """Deletes tables that nothing reads any more. Shuffle files of the plans that have ended go when the driver collects
+        its garbage, which it is asked to do: else they stay on executors' disks for half an hour."""
         for name in names:
             removed(self.spark, self.tables.pop(name))
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def held_out(doc_id: Column) -> Column:

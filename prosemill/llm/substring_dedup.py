@@ -293,7 +293,7 @@ def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
         h *= 2
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, cap: int = LENGTH, lanes: int = 4096) -> np.ndarray:
+def common_prefixes(text: np.ndarray, order: np.ndarray, cap: int = LENGTH, lanes: int = 1 << 14) -> np.ndarray:
     """For each suffix in order the length, up to cap, of its common prefix with the one before it.
 
     Kasai's scan: along the text the length falls by one at most from a suffix to the next, so it is carried and only what
@@ -358,62 +358,77 @@ class Shard:
         same = other.windows[at] == self.windows
         self.least = np.where(same, np.minimum(self.least, other.least[at]), self.least)
 
-    def covered(self) -> Iterator[tuple[int, int, int, int]]:
+    def covered(self) -> tuple[np.ndarray, ...]:
         """(document, mark, start, end) of joined covered spans."""
         hit = self.least[self.run] < self.ids[self.owner]
         owner, place = self.owner[hit], self.place[hit]
-        order = np.lexsort((place, owner))
+        order = np.argsort(owner * np.int64(1 << SHARD_BITS) + place)
         owner, place = owner[order], place[order]
         # windows of one segment next to each other are one span
         new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1)]) if len(owner) else np.empty(0, bool)
         heads = np.flatnonzero(new)
         tails = np.concatenate([heads[1:], [len(owner)]]) - 1 if len(heads) else heads
-        for h, t in zip(heads.tolist(), tails.tolist(), strict=True):
-            s = int(self.starts[owner[h]])
-            yield int(self.ids[owner[h]]), int(self.marks[owner[h]]), s + int(place[h]), s + int(place[t]) + LENGTH
-
-
-def solved(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
-    """Covered spans (id, mark, first, last) of rows (id, mark, first, data): shards, merged if there are several."""
-    shards, start, size = [], 0, 0
-    for k in range(len(rows) + 1):
-        if k == len(rows) or size + len(rows[k][3]) > SHARD:
-            ids, marks, firsts, data = zip(*rows[start:k], strict=True)
-            lengths = np.fromiter(map(len, data), np.int64, len(data))
-            shards.append(Shard(*(np.array(c, np.int64) for c in (ids, marks, firsts)), lengths, b"".join(data)))
-            start, size = k, 0
-        if k < len(rows):
-            size += len(rows[k][3])
+        at = owner[heads]
+        return self.ids[at], self.marks[at], self.starts[at] + place[heads], self.starts[at] + place[tails] + LENGTH
+
+
+#: Rows side by side: ids, marks, first places, lengths, and all their bytes.
+Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]
+
+
+def solved(parts: list[Rows]) -> tuple[np.ndarray, ...]:
+    """Covered spans (id, mark, first, last) of rows: shards, merged if there are several."""
+    ids, marks, firsts, lengths = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    data = parts[0][4] if len(parts) == 1 else b"".join(p[4] for p in parts)
+    ends, shards, k = np.cumsum(lengths), [], 0
+    while k < len(ids):
+        before = int(ends[k - 1]) if k else 0
+        to = max(k + 1, int(np.searchsorted(ends, before + SHARD, "right")))
+        shards.append(Shard(ids[k:to], marks[k:to], firsts[k:to], lengths[k:to], data[before : int(ends[to - 1])]))
+        k = to
     for a in shards:
         for b in shards:
             if a is not b:
                 a.merge(b)
-    return [span for shard in shards for span in shard.covered()]
+    return tuple(np.concatenate(c) for c in zip(*(shard.covered() for shard in shards), strict=True))
 
 
 def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Covered spans (id, mark, first, last) from rows (key, i, j, id, mark, first, data), sorted by block. Small blocks
-    share a shard: windows that equal each other are repeats wherever they come from."""
-    block, rows, size, ready, ready_size = None, [], 0, [], 0
+    share a shard: windows that equal each other are repeats wherever they come from. No block is parted."""
+    held: list[Rows] = []
+    size, block = 0, None
 
-    def out(found: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*found, strict=True) if found else ((),) * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "mark", "first", "last"])
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in solved(held)], names=["id", "mark", "first", "last"])
 
     for b in batches:
-        for *at, doc, mark, first, data in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
-            if at != block:
-                if ready and ready_size + size > SHARD:
-                    yield out(solved(ready))
-                    ready, ready_size = [], 0
-                ready, ready_size, block, rows, size = ready + rows, ready_size + size, at, [], 0
-            rows.append((doc, mark, first, data))
-            size += len(data)
-    if ready and ready_size + size > SHARD:
-        yield out(solved(ready))
-        ready = []
-    if ready or rows:
-        yield out(solved(ready + rows))
+        if not b.num_rows:
+            continue
+        at = np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
+        ids, marks, firsts = (b.column(k).to_numpy() for k in (3, 4, 5))
+        data = b.column(6)
+        offsets = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+        values = memoryview(data.buffers()[2]) if data.buffers()[2] is not None else memoryview(b"")
+        begins = np.flatnonzero(np.concatenate([[block is None or bool((at[0] != block).any())], (at[1:] != at[:-1]).any(axis=1)]))
+        p, n = 0, len(ids)
+        while p < n:
+            if size + offsets[n] - offsets[p] <= SHARD:
+                to = n
+            else:  # as many blocks as a shard takes, or one that is larger
+                later = begins[np.searchsorted(begins, p, "left" if held else "right") :]
+                fit = later[size + offsets[later] - offsets[p] <= SHARD]
+                to = int(fit[-1]) if len(fit) else int(later[0]) if len(later) else n
+            if to > p:
+                held.append((ids[p:to], marks[p:to], firsts[p:to], np.diff(offsets[p : to + 1]), bytes(values[offsets[p] : offsets[to]])))
+                size += int(offsets[to] - offsets[p])
+            if to < n:
+                yield out()
+                held, size = [], 0
+            p = to
+        block = at[-1]
+    if held:
+        yield out()
 
 
 def in_blocks(rows: DataFrame) -> DataFrame:
