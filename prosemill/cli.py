@@ -67,7 +67,7 @@ def main(argv: list[str] | None = None) -> int:
         rows = engine.rule_listing(spark, ruleset, settings, plugins).collect()
         print(json.dumps({"rules": [r.asDict() for r in rows]}, ensure_ascii=False) if args.json else "\n".join(f"{r.id:<40} {r.tier} {r.kind:<12} {r.category:<20} {r.level}" for r in rows))
         return 0
-    docs = from_files(spark, *args.paths)
+    docs = from_files(spark, *args.paths, globs=config.extra_globs)
     if args.command == "fix":
         settings.max_tier = None
         fixed = engine.fix(docs, ruleset, settings)

@@ -47,6 +47,7 @@ class Config:
     builtin: list[str] = field(default_factory=lambda: ["starter"])
     extra_paths: list[str] = field(default_factory=list)
     tiers: list[int] = field(default_factory=lambda: [1, 2, 3])
+    extra_globs: list[str] = field(default_factory=list)
     format: str = "human"
     color: str = "auto"
     lints: dict[str, str] = field(default_factory=dict)

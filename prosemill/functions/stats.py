@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from .markdown import Regions
 from .words import sentences, word_count
 
+#: Patterns and words that the statistics count by.
 _TRICOLON = re.compile(r"\b[a-z]+, [a-z]+, and [a-z]+\b", re.ASCII)
 _EMOJI = re.compile("[\U0001f300-\U0001faff☀-➿]")
 _MINOR = frozenset("of the and in on to an a for".split())

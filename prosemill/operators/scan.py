@@ -13,7 +13,7 @@ from typing import Any
 from ..functions import stats as stat_functions
 from ..functions.eol import Normalized, byte_offsets, line_col, normalize
 from ..functions.markdown import Regions, build_regions, mask_quoted
-from ..functions.words import components, content_words, jaccard, lcs_ratio, lower_runs, overlap, paragraphs, sentence_units, sentences, shingles, token_positions, tokens, tokens_between
+from ..functions.words import components, content_words, jaccard, lcs_ratio, lower_runs, paragraphs, sentence_units, sentences, shingles, token_positions, tokens, tokens_between
 from ..plugins import Envelope, Plugin, PluginError
 from ..rules import literals, policy, template
 from ..rules.model import DEFAULT_MESSAGES, Entry, Group, Repetition, Ruleset, Settings
@@ -255,11 +255,17 @@ def propositional(prose: str, units: list[tuple[int, int]], threshold: float, ma
 
     if len(units) < 2:
         return []
-    at, v = token_positions(prose), np.asarray(embedder([prose[s:e] for s, e in units]), np.float32)
+    v = np.asarray(embedder([prose[s:e] for s, e in units]), np.float32)
     if len(v) != len(units):
         raise ValueError(f"{len(v)} vectors for {len(units)} units")
-    close = (v @ v.T).astype(np.float64) >= threshold
-    return [(i, j) for i in range(len(units)) for j in range(i + 1, len(units)) if close[i, j] and tokens_between(at, units[i][0], units[j][0]) <= max_distance]
+    at = np.searchsorted(token_positions(prose), [s for s, _ in units])
+    ends = np.searchsorted(at, at + max_distance, "right")  # of the units within the distance
+    out = []
+    for k in range(0, len(units), 256):  # no more products at once than the distance allows
+        to = min(k + 256, len(units))
+        close = (v[k:to] @ v[k : ends[to - 1]].T).astype(np.float64) >= threshold
+        out += [(k + i, k + j) for i, j in zip(*(x.tolist() for x in np.nonzero(close)), strict=True) if i < j and k + j < ends[k + i]]
+    return out
 
 
 def content_family(prose: str, units: list[tuple[int, int]], threshold: float) -> list[tuple[int, int]]:
@@ -271,8 +277,19 @@ def content_family(prose: str, units: list[tuple[int, int]], threshold: float) -
             for w in s:
                 counts[w] = counts.get(w, 0) + 1
         sets = [{w for w in s if counts[w] <= len(sets) // 2} for s in sets]
-    fixed = [frozenset(s) for s in sets]
-    return [(i, j) for i in range(len(fixed)) for j in range(i + 1, len(fixed)) if min(len(fixed[i]), len(fixed[j])) >= 6 and len(fixed[i] & fixed[j]) >= 2 and overlap(fixed[i], fixed[j]) >= threshold]
+    # of paragraphs that have words in common, how many: by each word's earlier paragraphs
+    places: dict[str, list[int]] = {}
+    out = []
+    for j, words in enumerate(sets):
+        if len(words) < 6:
+            continue
+        shared: dict[int, int] = {}
+        for w in words:
+            for i in places.setdefault(w, []):
+                shared[i] = shared.get(i, 0) + 1
+            places[w].append(j)
+        out += [(i, j) for i, n in shared.items() if n >= 2 and n / min(len(sets[i]), len(words)) >= threshold]
+    return sorted(out)
 
 
 def repeated(prose: str, rule: Repetition, embedder: Embedder | None = None) -> list[list[tuple[int, int]]]:

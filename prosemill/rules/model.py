@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 KINDS = ("vocab", "pattern", "literal-ban", "metric", "repetition")
 SCOPES = ("prose", "heading", "list-item", "anywhere")
+#: Names of statistics.
 STATS = (
     "em_dash_rate",
     "curly_double_ratio",
@@ -22,7 +23,7 @@ WINDOWS = ("paragraph", "sentence", "document")
 #: Repetition variants and the members that each needs unless its rule says otherwise.
 VARIANTS = {"near-verbatim": 2, "propositional": 2, "content-family": 3}
 LEVELS = {"allow": None, "error": 1, "warn": 2, "note": 3}
-#: Messages of rules that give none.
+#: Messages of rules that give none.
 DEFAULT_MESSAGES = {
     "vocab": "AI-tell vocabulary",
     "pattern": "AI writing construction",

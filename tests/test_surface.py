@@ -130,3 +130,12 @@ def test_word_counts(text):
     from prosemill.functions.words import word_count
 
     assert word_count(text) == sum(any(c.isalnum() for c in w) for w in text.split())
+
+
+def test_extra_globs(spark, tmp_path):
+    from prosemill.sources import from_files
+
+    for name in ("a.md", "b.log", "c.note", "d.bin"):
+        (tmp_path / name).write_text(name)
+    got = {r.text for r in from_files(spark, str(tmp_path), globs=["*.log", "c.*"]).collect()}
+    assert got == {"a.md", "b.log", "c.note"} and {r.text for r in from_files(spark, str(tmp_path)).collect()} == {"a.md"}
