@@ -297,7 +297,9 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, cap: int = LENGTH, lane
     """For each suffix in order the length, up to cap, of its common prefix with the one before it.
 
     Kasai's scan: along the text the length falls by one at most from a suffix to the next, so it is carried and only what
-    is beyond it is compared, a word of 8 bytes at once. The text is cut into lanes that are scanned side by side.
+    is beyond it is compared, a word of 8 bytes at once. That holds of suffixes that differ within the depth they are
+    sorted by; after a length of cap, which may be a tie, nothing is carried. The text is cut into lanes that are scanned
+    side by side.
     """
     n = len(text)
     before = np.full(n, -1, np.int64)
@@ -314,7 +316,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, cap: int = LENGTH, lane
         lane = np.flatnonzero(here < n)
         here = here[lane]
         other = before[here]
-        h = np.where(other >= 0, np.maximum(length[lane] - 1, 0), 0)
+        h = np.where((other >= 0) & (length[lane] < cap), np.maximum(length[lane] - 1, 0), 0)
         grow = np.flatnonzero(other >= 0)
         while len(grow):
             differ = word[here[grow] + h[grow]] ^ word[other[grow] + h[grow]]

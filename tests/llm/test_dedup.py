@@ -198,6 +198,37 @@ def test_suffix_arrays(seed):
         assert got[k] == n
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_common_prefixes_of_long_repeats(seed):
+    """Repeats that are longer than suffixes are sorted by, of which the next bytes order them otherwise."""
+    rng = np.random.default_rng(seed)
+    long = [rng.integers(97, 123, rng.integers(90, 300)) for _ in range(3)]
+    text = np.concatenate([np.concatenate([rng.integers(97, 123, rng.integers(0, 40)), long[rng.integers(3)][rng.integers(0, 20) :]]) for _ in range(60)]).astype(np.uint8)
+    order, data = sub.suffix_array(text), text.tobytes()
+    want = [0] * len(order)
+    for k in range(1, len(order)):
+        a, b = data[order[k - 1] :][:50], data[order[k] :][:50]
+        want[k] = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    for lanes in (1, 5, 4096):
+        assert sub.common_prefixes(text, order, lanes=lanes).tolist() == want
+
+
+def test_substrings_of_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id: tuple(r)[1:] for r in sub.deduplicated(docs).collect()}
+    seen: set[bytes] = set()
+    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
+        data = (r.text or "").encode()
+        windows, gone = [data[k : k + 50] for k in range(len(data) - 49)], np.zeros(len(data), bool)
+        for k, w in enumerate(windows):
+            if w in seen:
+                gone[k : k + 50] = True
+        seen.update(windows)
+        rest = bytes(np.frombuffer(data, np.uint8)[~gone])
+        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        assert got[r.doc_id] == (len(data), int(gone.sum()), spans, hashlib.sha256(rest).hexdigest())
+
+
 def test_segments_differ_by_any_bit_of_their_hashes(monkeypatch):
     """Segments of one anchor whose hashes share their high or their low half aren't taken as equal."""
     hashes = {b"a": 7 << 32 | 1, b"b": 7 << 32 | 2, b"c": 9 << 32 | 1, b"d": 7 << 32 | 1}
