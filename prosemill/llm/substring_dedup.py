@@ -6,10 +6,11 @@ A byte goes if it is covered by a string of LENGTH bytes that also starts in a d
    have equal anchors at equal places. The windows next to each other that share an anchor make a segment.
 2. Routing: segments meet by anchor, as hashes only, which decide where bytes go. An anchor of one document can't
    repeat. Of segments with equal hashes the smallest document's is the owner; the others claim to repeat it. A segment
-   that stands alone though its anchor doesn't may share windows with the others of its anchor.
+   that stands alone though its anchor doesn't may share windows with the others of its anchor: with those that have
+   the same SIDE bytes before or after it, as any window has so many on one side of its anchor.
 3. Bytes: the runs of segments that claim one owner go to that owner's runs, those that stand alone to their anchor.
    What is too much for one block is dealt to parts that meet in pairs, so blocks are of bounded size.
-4. Suffix arrays decide what is covered, of all bytes: each shard of at most SHARD bytes gets one by Larsson and
+4. Suffix arrays decide what is covered, of all bytes but runs that equal another's byte for byte: each shard of at most SHARD bytes gets one by Larsson and
    Sadakane's refinement, which sorts groups not yet sorted by the ranks h further on; Kasai's common prefixes, carried
    along the text, show the runs of equal windows, and each run's smallest document. Shards of one block are merged by
    binary search in each other's sorted windows.
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 LENGTH, GRAM = 50, 24
+#: Bytes of which each window has so many before its anchor or after it.
+SIDE = (LENGTH - GRAM) // 2
 #: Grams of a window; positions hashed at once; bytes of a batch of anchors; text for each bucket and each group.
 SPAN, CHUNK, BATCH, BUCKET_BYTES, GROUP_BYTES = LENGTH - GRAM + 1, 1 << 15, 8 << 20, 4 << 20, 4 << 20
 #: Bytes of a shard: three ranks fit in one 63-bit key.
@@ -65,8 +68,14 @@ _UP = _powers(int(_B), CHUNK + LENGTH + 1)
 _DOWN = _powers(pow(int(_B), -1, 1 << 64), CHUNK + LENGTH + 1)
 
 
+def side(sums: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """1 to 65535 for the SIDE bytes from each place on."""
+    return (mixed((sums[at + SIDE] - sums[at]) * _DOWN[at]) >> np.uint64(48)).astype(np.int64) % 65535 + 1
+
+
 def anchors(text: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of one text: (gram hash, segment hash, first window, last window) of each segment, in order."""
+    """Of one text: (gram hash, segment hash, first window, last window, sides) of each segment, in order. sides: 16 bits of
+    a hash of the bytes before the anchor and 16 of those after it, each 0 if no window of the segment has SIDE of them."""
     n = len(text) - LENGTH + 1
     found: list[tuple[np.ndarray, ...]] = []
     for at in range(0, n, CHUNK):
@@ -86,9 +95,12 @@ def anchors(text: np.ndarray) -> tuple[np.ndarray, ...]:
         last = np.concatenate([first[1:], [windows]]) - 1
         place = (least[first] & np.uint64(0xFFFF)).astype(np.int64)
         segment = mixed((sums[last + LENGTH] - sums[first]) * _DOWN[first] + (place - first).astype(np.uint64) * _M2)
-        found.append((hashes[place], segment, first + at, last + at))
+        ends = place + GRAM
+        before = np.where(place - first >= SIDE, side(sums, np.maximum(place - SIDE, 0)), 0)
+        after = np.where(place - last <= LENGTH - GRAM - SIDE, side(sums, np.minimum(ends, len(part) - SIDE)), 0)
+        found.append((hashes[place], segment, first + at, last + at, (before << 16 | after).astype(np.uint32)))
     if not found:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -124,24 +136,24 @@ def dealt(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
 
 
 def offered(buckets: int):
-    """Rows (bucket, ids, grams, keys): the distinct segments of each document, by their whole hashes, dealt by anchor."""
+    """Rows (bucket, ids, grams, keys, sides): the distinct segments of each document, by their whole hashes, dealt by anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, size = [], 0
 
         def out() -> pa.RecordBatch:
-            ids, grams, keys, bucket = (np.concatenate(x) for x in zip(*waiting, strict=True))
-            rows = [(b, planes(i), g.tobytes(), k.tobytes()) for b, i, g, k in dealt(bucket, ids, grams, keys)]
-            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "ids", "grams", "keys"])
+            ids, grams, keys, sides, bucket = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            rows = [(b, planes(i), g.tobytes(), k.tobytes(), s.tobytes()) for b, i, g, k, s in dealt(bucket, ids, grams, keys, sides)]
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "ids", "grams", "keys", "sides"])
 
         for b in batches:
             for doc, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                gram, segment, _, _ = anchors(as_bytes(x))
+                gram, segment, _, _, sides = anchors(as_bytes(x))
                 if len(gram):
                     keys, at = np.unique(segment, return_index=True)
-                    waiting.append((np.full(len(keys), doc, np.int64), low_half(gram[at]), keys, bucket_of(gram[at], buckets)))
+                    waiting.append((np.full(len(keys), doc, np.int64), low_half(gram[at]), keys, sides[at], bucket_of(gram[at], buckets)))
                     size += len(keys)
-                if size * 18 >= BATCH:
+                if size * 24 >= BATCH:
                     yield out()
                     waiting, size = [], 0
         if waiting:
@@ -167,16 +179,31 @@ def grouped(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[i
         yield at, held
 
 
+def shared(gram: np.ndarray, part: np.ndarray, segment: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """If a row's part, which isn't 0, is that of another segment of its gram too, in several documents."""
+    if not len(gram):
+        return np.empty(0, bool)
+    group = gram.astype(np.uint64) << np.uint64(16) | part
+    order = np.argsort(group, kind="stable")  # segments stay in order
+    group, found = group[order], np.empty(len(gram), bool)
+    new = np.concatenate([[True], group[1:] != group[:-1]])
+    heads, at = np.flatnonzero(new), np.cumsum(new) - 1
+    least, most, first, last = (f.reduceat(x[order], heads) for x in (ids, segment) for f in (np.minimum, np.maximum))
+    found[order] = ((least < most) & (first < last))[at] & (part[order] > 0)
+    return found
+
+
 def judged(groups: int):
     """Rows (group, ids, keys, owners, flags) for the segments whose bytes are wanted. flags: 1 for those that stand alone,
     2 for owners, their sum for both; 0 for those that claim to repeat an owner's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (all_ids, all_grams, all_keys) in grouped(batches, 3):
+        for _, (all_ids, all_grams, all_keys, all_sides) in grouped(batches, 4):
             ids = np.concatenate([unplaned(x) for x in all_ids])
             gram, keys = np.concatenate([np.frombuffer(x, np.uint32) for x in all_grams]), np.concatenate([np.frombuffer(x, np.uint64) for x in all_keys])
+            sides = np.concatenate([np.frombuffer(x, np.uint32) for x in all_sides])
             order = np.lexsort((ids, keys, gram))
-            ids, keys, gram = ids[order], keys[order], gram[order]
+            ids, keys, gram, sides = ids[order], keys[order], gram[order], sides[order]
             new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
             new_key = new_gram | np.concatenate([[True], keys[1:] != keys[:-1]])
             heads, which = np.flatnonzero(new_key), np.cumsum(new_key) - 1
@@ -186,7 +213,11 @@ def judged(groups: int):
             segments = np.bincount(at, new_key)
             least, most = (f.reduceat(ids, np.flatnonzero(new_gram)) for f in (np.minimum, np.maximum))
             claims = ids > owners
-            flags = (~claims & (segments[at] > 1) & (least[at] < most[at])).astype(np.uint8) + 2 * (~claims & (last > owners)).astype(np.uint8)
+            open_ = np.flatnonzero((segments[at] > 1) & (least[at] < most[at]))
+            alone = np.zeros(len(ids), bool)
+            for part in (sides >> np.uint32(16), sides & np.uint32(0xFFFF)):
+                alone[open_] |= shared(gram[open_], part[open_], which[open_], ids[open_])
+            flags = (~claims & alone).astype(np.uint8) + 2 * (~claims & (last > owners)).astype(np.uint8)
             wanted = claims | (flags > 0)
             if not wanted.any():
                 continue
@@ -244,7 +275,7 @@ def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if lo == hi:
                 continue
             text = as_bytes(x)
-            gram, segment, first, last = anchors(text)
+            gram, segment, first, last, _ = anchors(text)
             at = np.minimum(np.searchsorted(ready[1][lo:hi], segment), hi - lo - 1) + lo
             met, owner, flag = ready[1][at] == segment, ready[2][at], ready[3][at]
             wanted = [(ALONE, gram[k].astype(np.int64).item(), k, k) for k in np.flatnonzero(met & (flag & 1 > 0)).tolist()]
@@ -379,10 +410,23 @@ Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]
 
 
 def solved(parts: list[Rows]) -> tuple[np.ndarray, ...]:
-    """Covered spans (id, mark, first, last) of rows: shards, merged if there are several."""
+    """Covered spans (id, mark, first, last) of rows: shards, merged if there are several. Of rows with equal bytes those of
+    the smallest document stand for all; the others are covered."""
     ids, marks, firsts, lengths = (np.concatenate([p[k] for p in parts]) for k in range(4))
     data = parts[0][4] if len(parts) == 1 else b"".join(p[4] for p in parts)
-    ends, shards, k = np.cumsum(lengths), [], 0
+    ends = np.cumsum(lengths)
+    pieces = [data[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
+    least: dict[bytes, int] = {}
+    for piece, i in zip(pieces, ids.tolist(), strict=True):
+        if i < least.get(piece, i + 1):
+            least[piece] = i
+    equal = np.fromiter((i > least[piece] for piece, i in zip(pieces, ids.tolist(), strict=True)), bool, len(ids))
+    covered = [(ids[equal], marks[equal], firsts[equal], firsts[equal] + lengths[equal])]
+    if equal.any():
+        data = b"".join(piece for piece, e in zip(pieces, equal.tolist(), strict=True) if not e)
+        ids, marks, firsts, lengths = (x[~equal] for x in (ids, marks, firsts, lengths))
+        ends = np.cumsum(lengths)
+    shards, k = [], 0
     while k < len(ids):
         before = int(ends[k - 1]) if k else 0
         to = max(k + 1, int(np.searchsorted(ends, before + SHARD, "right")))
@@ -392,7 +436,7 @@ def solved(parts: list[Rows]) -> tuple[np.ndarray, ...]:
         for b in shards:
             if a is not b:
                 a.merge(b)
-    return tuple(np.concatenate(c) for c in zip(*(shard.covered() for shard in shards), strict=True))
+    return tuple(np.concatenate(c) for c in zip(*covered, *(shard.covered() for shard in shards), strict=True))
 
 
 def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -458,7 +502,7 @@ def covered_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     total = source.agg(F.coalesce(F.sum(F.octet_length("data").cast("long")), F.lit(0)).alias("n")).first().n
     buckets, groups = max(64, total // BUCKET_BYTES), max(64, total // GROUP_BYTES)
     partitions = int(max(8, total // PARTITION))
-    offers = source.mapInArrow(offered(buckets), "bucket int, ids binary, grams binary, keys binary").repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    offers = source.mapInArrow(offered(buckets), "bucket int, ids binary, grams binary, keys binary, sides binary").repartition(partitions, "bucket").sortWithinPartitions("bucket")
     verdicts = scratch.written(offers.mapInArrow(judged(groups), "group int, ids binary, keys binary, owners binary, flags binary"), "verdicts")
 
     def grouping(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
