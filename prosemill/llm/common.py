@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from functools import reduce
 
@@ -60,12 +61,17 @@ class Scratch:
         self.tables[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def settled(self) -> None:
+        """Lets go of the shuffle files of plans that have ended, which the written tables stand for. They go when the driver
+        collects its garbage, which it is asked to do: else they stay on executors' disks for up to half an hour."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def cleared(self, *names: str) -> None:
-        """Deletes tables that nothing reads any more. Shuffle files of the plans that have ended go when the driver collects
-        its garbage, which it is asked to do: else they stay on executors' disks for half an hour."""
+        """Deletes tables that nothing reads any more."""
         for name in names:
             removed(self.spark, self.tables.pop(name))
-        self.spark.sparkContext._jvm.System.gc()
+        self.settled()
 
 
 def held_out(doc_id: Column) -> Column:

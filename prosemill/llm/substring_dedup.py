@@ -505,6 +505,8 @@ def covered_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     offers = source.mapInArrow(offered(buckets), "bucket int, ids binary, grams binary, keys binary, sides binary").repartition(partitions, "bucket").sortWithinPartitions("bucket")
     verdicts = scratch.written(offers.mapInArrow(judged(groups), "group int, ids binary, keys binary, owners binary, flags binary"), "verdicts")
 
+    scratch.settled()
+
     def grouping(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy().astype(np.uint64)
