@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from functools import reduce
 
@@ -64,8 +65,10 @@ class Scratch:
     def settled(self) -> None:
         """Lets go of the shuffle files of plans that have ended, which the written tables stand for. They go when the driver
         collects its garbage, which it is asked to do: else they stay on executors' disks for up to half an hour."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # what has just ended is still held by the events that tell of it
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
 
     def cleared(self, *names: str) -> None:
         """Deletes tables that nothing reads any more."""

@@ -477,13 +477,14 @@ def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def in_blocks(rows: DataFrame) -> DataFrame:
+def in_blocks(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows of wanted bytes dealt to blocks (key, i, j). A key's rows that stand alone are dealt to parts of which each two
     meet; its claims and its owner's are dealt to parts of which each of one kind meets each of the other."""
     size = F.octet_length("data").cast("long")
     parts = rows.groupBy("key").agg(*(F.sum(F.when(F.col("kind") == k, size).otherwise(0)).alias(f"n{k}") for k in (ALONE, CLAIM, OWNER)))
     large = parts.where(" or ".join(f"n{k} > {PART}" for k in (ALONE, CLAIM, OWNER))).select("key", *(F.greatest(F.lit(1), F.ceil(F.col(f"n{k}") / PART)).cast("int").alias(f"n{k}") for k in (ALONE, CLAIM, OWNER)))
-    found = rows.join(large, "key", "left")
+    # a table, whose size is known: rows needn't be shuffled to meet a small one
+    found = rows.join(scratch.written(large, "large"), "key", "left")
     every = lambda k: F.sequence(F.lit(0), F.col(f"n{k}") - 1)
     part = lambda k: F.pmod(F.xxhash64("id", "first"), f"n{k}").cast("int")
     pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
@@ -520,7 +521,7 @@ def covered_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     found = scratch.written(both.mapInArrow(opened, "key long, kind int, id long, mark long, first long, data binary"), "wanted")
     scratch.cleared("verdicts")
     at = ["key", "i", "j"]
-    dealt_out = in_blocks(found).repartition(partitions, *at).sortWithinPartitions(*at)
+    dealt_out = in_blocks(found, scratch).repartition(partitions, *at).sortWithinPartitions(*at)
     return dealt_out.mapInArrow(resolved, "id long, mark long, first long, last long")
 
 
@@ -536,7 +537,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scratch = Scratch(docs.sparkSession, "substrings")
     spans = covered_spans(docs, scratch, id_col, text_col).groupBy("id", "mark").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans"))
     spans = scratch.written(spans, "spans")
-    scratch.cleared("wanted")
+    scratch.cleared("wanted", "large")
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     others = [c for c in docs.columns if c not in made] if keep_text else [id_col]
     rows = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{id_col}`").cast("long").alias("__id"), F.encode(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), "UTF-8").alias("__data")).withColumn("__mark", F.xxhash64("__data"))
