@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +41,7 @@ SPAN, CHUNK, BATCH, BUCKET_BYTES, GROUP_BYTES = LENGTH - GRAM + 1, 1 << 15, 8 <<
 SHARD_BITS = 21
 SHARD = (1 << SHARD_BITS) - 64
 #: Bytes of a part, of which two make a block; of a row of a run, which overlap by a window.
-PART, PIECE = 4 << 20, 1 << 18
+PART, PIECE = 2 << 20, 1 << 18
 #: Bytes of rows for each partition.
 PARTITION = 8 << 20
 #: Rows of bytes that stand alone, claim an owner's, or are an owner's.
@@ -373,29 +372,29 @@ class Shard:
         run = np.cumsum(prefix < LENGTH)[window]
         at = order[window]
         new = np.concatenate([[True], run[1:] != run[:-1]])
-        self.run, self.owner, self.place = np.cumsum(new) - 1, owner[at], place[at]
+        self.run, self.owner, self.place = (x.astype(np.int32) for x in (np.cumsum(new) - 1, owner[at], place[at]))
         self.ids, self.marks, self.starts = ids, marks, starts
         heads = np.flatnonzero(new)
         self.least = np.minimum.reduceat(ids[self.owner], heads)
         self.text, self.heads = text, at[heads]
 
-    @cached_property
     def windows(self) -> np.ndarray:
-        """The sorted distinct windows themselves, made only where shards meet."""
+        """The sorted distinct windows themselves: LENGTH times the text, so made where two shards meet and not kept."""
         windows = np.lib.stride_tricks.sliding_window_view(self.text, LENGTH)
         return np.ascontiguousarray(windows[self.heads]).view(f"S{LENGTH}").reshape(-1)
 
     def merge(self, other: Shard) -> None:
         """Takes over the smaller documents of windows that the other shard has, found by binary search."""
-        at = np.minimum(np.searchsorted(other.windows, self.windows), len(other.windows) - 1)
-        same = other.windows[at] == self.windows
+        mine, theirs = self.windows(), other.windows()
+        at = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
+        same = theirs[at] == mine
         self.least = np.where(same, np.minimum(self.least, other.least[at]), self.least)
 
     def covered(self) -> tuple[np.ndarray, ...]:
         """(document, mark, start, end) of joined covered spans."""
         hit = self.least[self.run] < self.ids[self.owner]
-        owner, place = self.owner[hit], self.place[hit]
-        order = np.argsort(owner * np.int64(1 << SHARD_BITS) + place)
+        owner, place = self.owner[hit].astype(np.int64), self.place[hit].astype(np.int64)
+        order = np.argsort(owner << SHARD_BITS | place)
         owner, place = owner[order], place[order]
         # windows of one segment next to each other are one span
         new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1)]) if len(owner) else np.empty(0, bool)
